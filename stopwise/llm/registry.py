@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shards, simhash, tokens
-from .common import table
+from . import language, quality, secrets, shards, simhash, tokens, toxicity
+from .common import held_out, table
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs), "doc_id")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, *toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op2_simhash_groups, op3_shuffled_shards, op4_cross_parsing, op5_token_counts, op8_linked_secrets, op9_nearest_toxicity, op10_line_quality)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_groups, op3_shuffled_shards, op5_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
