@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Space. The terms are those that tell the labels apart in the training part: at most ``max_terms`` by chi-squared, each in
-``MIN_DF`` labelled examples and a share of ``MIN_SHARE`` of one label's or more, each text counted once. Their document frequencies are counted over all documents.
+``MIN_DF`` labelled examples and a share of ``MIN_SHARE`` of one label's or more, copies of a text counted once. Their document frequencies are counted over all documents.
 
 Search. Labelled examples (a bounded sample of ``max_examples`` by a seeded hash; the bound is a parameter) become unit
 vectors, equal ones merged with their counts. They are sorted so that like stands by like and cut into
@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def sampled_labels(labels: DataFrame, max_examples: int, seed: int = 5) -> DataF
     return rows.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
 
 
+def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The least hash of a text's five-word shingles: copies and near copies mostly share it, other texts do not."""
+    out = []
+    for text in texts(batch.column(1)):
+        words = terms(text)
+        shingles = zip(*(words[k:] for k in range(min(5, max(len(words), 1)))), strict=False)
+        out.append(min((xxhash.xxh64_intdigest(" ".join(x)) for x in shingles), default=0) >> 1)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "sketch"])
+
+
 def choose_terms(examples: DataFrame, max_terms: int) -> list[str]:
     """Terms by chi-squared of presence and label; ``max_terms`` rows reach the driver."""
 
@@ -177,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_te
     known = sampled_labels(labels, max_examples)
     # at most about max_examples ids (16 bytes each), so the texts stay where they are
     examples = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    once = examples.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("doc_id"))  # of each text one copy, not a group's many
+    once = map_arrow(examples.select("doc_id", "text"), "doc_id long, sketch long", _sketched).groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))
     chosen = choose_terms(examples.join(F.broadcast(once), "doc_id", "left_semi"), max_terms)
     if not chosen:
         return [], None
