@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space as the word rule ``[^\x20\x09-\x0D]+`` has it, for Java and DuckDB regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Texts are handed to Python code in slices of at most about so many bytes.
@@ -53,6 +55,7 @@ def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
             for part in bounded(batch):
                 yield work(part)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 MAX_BUCKETS = 1 << 20
 ROW_BYTES = 16
 
@@ -78,6 +80,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id",
 
     keyed = df.select(*names, bucket.alias("__bucket"), mixed.alias("__mixed"))
     dealt = keyed.repartition(max(1, min(n_buckets, 1 << 16)), "__bucket").sortWithinPartitions("__bucket", "__mixed", id_col, text_col)
+    ship(df.sparkSession)
     return dealt.drop("__mixed").mapInArrow(run, schema)
 
 

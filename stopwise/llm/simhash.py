@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut_lineage, map_arrow, raw_texts
 from .components import components
 
@@ -238,6 +239,7 @@ def link_edges(distinct: DataFrame, node_limit: int = 50_000, radius: int = RADI
 
     nodes = upper_nodes(distinct, node_limit).select("path", "node", "code", "fp", _gray_rank(F.col("code")).alias("rank"))
     dealt = nodes.repartition("path", "node").sortWithinPartitions("path", "node", "rank").select("path", "node", "code", "fp")
+    ship(distinct.sparkSession)
     return dealt.mapInArrow(run, "u long, v long")
 
 
