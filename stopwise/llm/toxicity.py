@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Space. The terms are those that tell the labels apart in the training part: at most ``max_terms`` by chi-squared, each in
+Space. Terms are words and their beginnings of four to eight letters. Chosen are those that tell the labels apart in the training part: at most ``max_terms`` by chi-squared, each in
 ``MIN_DF`` labelled examples and a share of ``MIN_SHARE`` of one label's or more, copies of a text counted once. Their document frequencies are counted over all documents.
 
 Search. Labelled examples (a bounded sample of ``max_examples`` by a seeded hash; the bound is a parameter) become unit
@@ -30,16 +30,22 @@ from pyspark.sql import functions as F
 from .common import held_out, map_arrow, texts
 
 THRESHOLD, MIN_DF, MIN_CHI2, MIN_SHARE = 0.3, 8, 40.0, 0.02
-BLOCK, K, SOFT, PRIOR = 64, 40, 0.05, 2.0
+BLOCK, K, SOFT, PRIOR = 64, 24, 0.03, 2.0
+STEMS = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"\w+")
 
 Vector = tuple[tuple[int, int], ...]
 
 
-def terms(text: str) -> list[str]:
+def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def forms(word: str) -> tuple[str, ...]:
+    """The terms of a word: itself and its beginnings, so that inflected and compound forms of a stem are one term."""
+    return (word, *(word[:k] + "*" for k in STEMS if len(word) >= k))
+
+
 def sampled_labels(labels: DataFrame, max_examples: int, seed: int = 5) -> DataFrame:
     """(doc_id, toxic): about ``max_examples`` ids of the training part at most."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -53,19 +59,19 @@ def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The least hash of a text's five-word shingles: copies and near copies mostly share it, other texts do not."""
     out = []
     for text in texts(batch.column(1)):
-        words = terms(text)
+        words = words_of(text)
         shingles = zip(*(words[k:] for k in range(min(5, max(len(words), 1)))), strict=False)
         out.append(min((xxhash.xxh64_intdigest(" ".join(x)) for x in shingles), default=0) >> 1)
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "sketch"])
 
 
 def choose_terms(examples: DataFrame, max_terms: int) -> list[str]:
-    """Terms by chi-squared of presence and label; ``max_terms`` rows reach the driver."""
+    """Terms by chi-squared of presence and label, none a beginning of another; 20 * ``max_terms`` short rows reach the driver at most."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         clean, toxic = Counter(), Counter()
         for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(set(terms(text)))
+            (toxic if label else clean).update({t for w in set(words_of(text)) for t in forms(w)})
         every = list(clean.keys() | toxic.keys())
         return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([clean[t] for t in every], pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "clean", "toxic"])
 
@@ -80,22 +86,44 @@ def choose_terms(examples: DataFrame, max_terms: int) -> list[str]:
     chi2 = n * gap * gap / (float(n0) * n1 * df * (n - df))
     common = (F.col("a1") >= MIN_SHARE * n1) | (F.col("a0") >= MIN_SHARE * n0)
     counts = counts.where((df >= MIN_DF) & (df < n) & common).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    return sorted(r[0] for r in counts.orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect())
+    chosen: list[str] = []
+    for (term,) in counts.orderBy(F.desc("chi2"), F.length("term"), "term").limit(20 * max_terms).select("term").collect():
+        # of a stem and its forms only the one that tells most
+        if len(chosen) < max_terms and not any(term.strip("*").startswith(c.strip("*")) or c.strip("*").startswith(term.strip("*")) for c in chosen):
+            chosen.append(term)
+    return sorted(chosen)
+
+
+class Places:
+    """Number of each chosen term, looked up by word, with words kept once seen."""
+
+    def __init__(self, chosen: list[str]):
+        self.of = {t: k for k, t in enumerate(chosen)}
+        self.seen: dict[str, tuple[int, ...]] = {}
 
+    def word(self, word: str) -> tuple[int, ...]:
+        if word not in self.seen:
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            self.seen[word] = tuple(self.of[t] for t in forms(word) if t in self.of)
+        return self.seen[word]
 
-def _vector(text: str, place: dict[str, int]) -> Vector:
-    found = Counter(place[t] for t in terms(text) if t in place)
-    return tuple(sorted(found.items()))
+    def vector(self, text: str) -> Vector:
+        found: Counter[int] = Counter()
+        for word in words_of(text):
+            for k in self.word(word):
+                found[k] += 1
+        return tuple(sorted(found.items()))
 
 
 def document_frequency(docs: DataFrame, chosen: list[str]) -> tuple[np.ndarray, int]:
     """How many of all documents have each chosen term; the number of documents."""
-    place = {t: k for k, t in enumerate(chosen)}
+    place = Places(chosen)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = Counter()
         for text in texts(batch.column(0)):
-            seen.update(place[t] for t in place.keys() & set(terms(text)))
+            seen.update({k for word in set(words_of(text)) for k in place.word(word)})
         seen[-1] = batch.num_rows
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
@@ -192,12 +220,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_te
     chosen = choose_terms(examples.join(F.broadcast(once), "doc_id", "left_semi"), max_terms)
     if not chosen:
         return [], None
-    place = {t: k for k, t in enumerate(chosen)}
+    place = Places(chosen)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         merged: dict[Vector, list[int]] = {}
         for who, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            one = merged.setdefault(_vector(text or "", place), [0, 0, who])
+            one = merged.setdefault(place.vector(text or ""), [0, 0, who])
             one[0] += 1
             one[1] += label
             one[2] = min(one[2], who)
@@ -213,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_te
 
 def scored(docs: DataFrame, chosen: list[str], index: BlockMaxIndex | None) -> DataFrame:
     """(doc_id, score, evidence) of every document; only the text is looked at."""
-    place = {t: k for k, t in enumerate(chosen)}
+    place = Places(chosen)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
     cache: dict[Vector, tuple[float, list[int]]] = {}
 
@@ -222,7 +250,7 @@ def scored(docs: DataFrame, chosen: list[str], index: BlockMaxIndex | None) -> D
         if len(cache) > 100_000:
             cache.clear()
         for text in texts(batch.column(1)):
-            v = _vector(text, place)
+            v = place.vector(text)
             if v not in cache:
                 cache[v] = found.score(v) if found else (0.0, [])
             scores.append(cache[v][0])
