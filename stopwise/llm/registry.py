@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, secrets, shards, simhash, tokens, toxicity
+from . import language, licences, mixing, quality, secrets, shards, simhash, tokens, toxicity
 from .common import held_out, table
 
 
+def op1_sentence_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -32,6 +36,12 @@ def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents"))
+    first = F.round(F.get("passes", F.lit(0))["position"], 9)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+
+
 def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_simhash_groups, op3_shuffled_shards, op4_cross_parsing, op5_token_counts, op8_linked_secrets, op9_nearest_toxicity, op10_line_quality)
+QUERIES = (op1_sentence_licences, op2_simhash_groups, op3_shuffled_shards, op4_cross_parsing, op5_token_counts, op7_curriculum_mix, op8_linked_secrets, op9_nearest_toxicity, op10_line_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sentence_licences": licences.scan_sql(), "op7_curriculum_mix": mixing.mix_sql()}
