@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -47,7 +48,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_arrow(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply ``work`` to Arrow batches cut to bounded size; rows stay in the partition they are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

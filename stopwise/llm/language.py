@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, map_arrow, texts
 
@@ -151,13 +152,19 @@ def learn(docs: DataFrame, sample_docs: int = 64, sample_chars: int = 600, seed:
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *carry: str) -> DataFrame:
-    """Columns ``carry`` of ``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
+    """Columns ``carry`` of ``docs`` with ``lang_pred`` and ``score``, which replace any of these names; only the text is looked at."""
+    kept = [c for c in carry if c not in ("lang_pred", "score")]
+    narrow = docs.select(*kept, F.col("text").alias("__text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = _parser(samples).predict(texts(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["carried", "lang_pred", "score"])
+        lang, score = _parser(samples).predict(texts(batch.column(len(kept))))
+        arrays = [*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)]
+        return pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score"])
 
-    narrow = docs.select(F.struct(*(F.col(c) for c in carry)).alias("carried"), F.col("text"))
-    kind = narrow.schema["carried"].dataType.simpleString()
-    out = map_arrow(narrow, f"carried {kind}, lang_pred string, score double", work)
-    return out.select("carried.*", "lang_pred", "score")
+    fields = [*narrow.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return map_arrow(narrow, T.StructType(fields), work)
+
+
+def reject_unknown(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:
+    """``docs`` without the documents whose language cannot be told."""
+    return identify(docs, samples, *docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

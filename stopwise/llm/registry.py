@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licences, mixing, quality, secrets, shards, simhash, tokens, toxicity
+from . import decontaminate, language, licences, mixing, quality, secrets, shards, simhash, tokens, toxicity
 from .common import held_out, table
 
 
@@ -36,6 +36,11 @@ def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "exact_slots")
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     first = F.round(F.get("passes", F.lit(0))["position"], 9)
@@ -56,7 +61,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_sentence_licences, op2_simhash_groups, op3_shuffled_shards, op4_cross_parsing, op5_token_counts, op7_curriculum_mix, op8_linked_secrets, op9_nearest_toxicity, op10_line_quality)
+QUERIES = (op1_sentence_licences, op2_simhash_groups, op3_shuffled_shards, op4_cross_parsing, op5_token_counts, op6_template_leaks, op7_curriculum_mix, op8_linked_secrets, op9_nearest_toxicity, op10_line_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
