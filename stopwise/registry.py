@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import network
+from .plans import journeys, network
 
-_MODULES = (network,)
+_MODULES = (network, journeys)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
