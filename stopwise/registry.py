@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import journeys, network
+from .plans import journeys, live, network
 
-_MODULES = (network, journeys)
+_MODULES = (network, journeys, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
