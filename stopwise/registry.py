@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import journeys, live, network
+from .plans import journeys, live, network, texts
 
-_MODULES = (network, journeys, live)
+_MODULES = (network, journeys, live, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
