@@ -104,13 +104,13 @@ def mixed(docs: DataFrame, *columns: str) -> DataFrame:
     same = F.xxhash64("doc_id", "source", "text")
     way = plan(docs, True, same.alias("__same")).select("__same", "passes")
     repeated = cut_lineage(way.groupBy("__same").count().where("count > 1").select("__same"))
-    way, left = way.where(F.size("passes") > 0), docs.withColumn("__same", same)
+    way, left = way.where(F.size("passes") > 0).withColumnRenamed("passes", "__passes"), docs.withColumn("__same", same)
     if repeated.isEmpty():
         out = left.join(way, "__same")
     else:  # of equal rows one is met by the passes of all
         one = left.join(repeated, "__same", "left_semi").dropDuplicates(["__same"])
         out = left.join(repeated, "__same", "left_anti").unionByName(one).join(way, "__same")
-    out = out.select(*columns, F.explode("passes.position").alias("__position"), "__same")
+    out = out.select(*columns, F.explode("__passes.position").alias("__position"), "__same")
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return out.repartitionByRange(int(n), "__position", "__same").sortWithinPartitions("__position", "__same").select(*columns)
 
