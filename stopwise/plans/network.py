@@ -15,7 +15,7 @@ DAY, AT_S, RADIUS = dt.date(2024, 1, 15), 28_800, 2_500.0
 ORIGINS = (0, 3, 7)
 QUERIES, SQL = {}, {}
 
-HAVERSINE = "2 * 6371000.0::double * asin(least(1.0::double, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+HAVERSINE = "2 * 6371000.0::double * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))"
 
 
 def query(sql: str | None = None, views: bool = True):
