@@ -48,6 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of so many narrow rows (hashes, ids) at most is broadcast: about 16 MB.
+SMALL_ROWS = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df``, which has to be cut from its lineage, marked for broadcast only if its counted rows are ``SMALL_ROWS`` at most; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def map_arrow(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply ``work`` to Arrow batches cut to bounded size; rows stay in the partition they are in."""
 
