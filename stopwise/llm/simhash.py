@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut_lineage, map_arrow, raw_texts
+from .common import cut_lineage, if_small, map_arrow, raw_texts
 from .components import components
 
 WIDTH, SEED, RADIUS = 3, 42, 3
@@ -62,14 +62,15 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, key, fp): the fingerprint as a signed long, and a hash of id and text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.fromiter(map(fingerprint, raw_texts(batch.column(1))), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.fromiter(map(fingerprint, raw_texts(batch.column(2))), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "key", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(narrow, "doc_id long, fp long", work)
+    who = F.col(id_col).cast("long")
+    narrow = docs.select(who.alias("doc_id"), F.xxhash64(who, text_col).alias("key"), F.col(text_col).alias("text"))
+    return map_arrow(narrow, "doc_id long, key long, fp long", work)
 
 
 def _gray_rank(code: Column) -> Column:
@@ -245,15 +246,20 @@ def link_edges(distinct: DataFrame, node_limit: int = 50_000, radius: int = RADI
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node_limit: int = 50_000) -> DataFrame:
     """(doc_id, fp long, component_id): one row for each row of ``docs``; the component is the least id reachable."""
+    return _grouped(docs, id_col, text_col, node_limit).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, node_limit: int) -> DataFrame:
+    """(doc_id, key, fp, root, component_id): ``key`` is a hash of id and text, ``root`` a fingerprint that stands for the component."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     star = components(link_edges(distinct.select("fp"), node_limit))
     member = star.union(star.select(F.col("root").alias("node"), "root").distinct())
     known = distinct.join(member.select(F.col("node").alias("fp"), "root"), "fp")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = known.join(least, "root").select("fp", "component_id")
-    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    moved = known.join(least, "root").select("fp", "root", "component_id")
+    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(of, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -261,22 +267,15 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node_limit: int = 50_000) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id. Rows without an id stay unless a group mate has one.
-
-    Repeated rows of the kept id are reduced to one.
-    """
-    of = cut_lineage(groups(docs, id_col, text_col, node_limit))
-    kept = of.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    key = F.col(id_col).cast("long")
-    once = docs.join(kept.where("n = 1").select(F.col("doc_id").alias("__kept")), key == F.col("__kept"), "left_semi")
-    repeated = cut_lineage(kept.where("n > 1").select(F.col("doc_id").alias("__kept")))
-    if not repeated.isEmpty():
-        once = once.unionByName(docs.join(repeated, key == F.col("__kept"), "left_semi").dropDuplicates([id_col]))
-    if not of.where("component_id is null").isEmpty():
-        alone = of.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-        loose = docs.where(F.col(id_col).isNull())
-        prints = fingerprints(loose.select(F.xxhash64(text_col).alias("k"), text_col), "k", text_col).distinct()
-        # equal texts share a hash; one row of each fingerprint that has no id in reach
-        first = prints.join(alone, F.col("fp") == F.col("__fp"), "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__text"))
-        once = once.unionByName(loose.join(first, F.xxhash64(text_col) == F.col("__text"), "left_semi").dropDuplicates([text_col]))
-    return once
+    """``docs`` with one row of each group: that of the least id, nulls last. Rows that are equal in id and text count as one."""
+    of = cut_lineage(_grouped(docs, id_col, text_col, node_limit))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("x")
+    kept = of.groupBy("root").agg(first).select("x.key")
+    gone = cut_lineage(of.select("key").distinct().join(kept, "key", "left_anti").withColumnRenamed("key", "__gone"))
+    repeated = cut_lineage(of.groupBy("key").count().where("count > 1").select(F.col("key").alias("__again")))
+    key = F.xxhash64(F.col(id_col).cast("long"), text_col)
+    left = docs.join(if_small(gone), key == F.col("__gone"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(if_small(repeated), key == F.col("__again"), "left_semi").withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
+    return left.join(if_small(repeated), key == F.col("__again"), "left_anti").unionByName(once)

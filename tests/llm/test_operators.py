@@ -71,7 +71,9 @@ def test_keep_one_keeps_the_least_id(docs, rows):
     for s in set(sets):
         ids = [rows[k][0] for k in range(len(rows)) if sets[k] == s and rows[k][0] is not None]
         want.add(min(ids) if ids else None)
-    got = [r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()]
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns
+    got = [r.doc_id for r in left.select("doc_id").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
