@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, if_small
 
 WINDOW, COVER, LITERALS = 8, 0.5, 5
 BROADCAST_WINDOWS = 200_000
@@ -114,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met_by_anchor(docs, items, key) if count <= BROADCAST_WINDOWS else met_by_hash(docs, items, key, widths)
     near = cut_lineage(met.distinct())
     # stage 2: the values of those few
-    few = docs.select(key.alias("key"), "doc_id", "text").join(near, "key", "left_semi").dropDuplicates(["key"])
+    few = docs.select(key.alias("key"), "doc_id", "text").join(if_small(near), "key", "left_semi").dropDuplicates(["key"])
     few = few.select("key", "doc_id", _cut(canonical(F.col("text"), True)).alias("v"), _cut(canonical(F.col("text"))).alias("t"))
     each = [F.expr(f"case when size(t) >= {w} then transform(sequence(0, size(t) - {w}), i -> struct({w} as width, xxhash64({w}, array_join(slice(t, i + 1, {w}), ' ')) as h, slice(v, i + 1, {w}) as v)) else array() end") for w in widths]
     windows = few.select("key", "doc_id", F.explode(F.concat(*each)).alias("x")).select("key", "doc_id", "x.width", "x.h", F.col("x.v").alias("doc_values"))
@@ -137,10 +137,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that it holds, for each row of ``docs``; equal rows share their finding."""
     found = leaks(docs, benchmark)
-    return docs.select(F.xxhash64("doc_id", "text").alias("key")).join(found, "key").drop("key")
+    return docs.select(F.xxhash64("doc_id", "text").alias("key")).join(if_small(cut_lineage(found)), "key").drop("key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     found = cut_lineage(leaks(docs, benchmark).select(F.col("key").alias("__leak")).distinct())
-    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("__leak"), "left_anti")
+    return docs.join(if_small(found), F.xxhash64("doc_id", "text") == F.col("__leak"), "left_anti")
