@@ -109,3 +109,36 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("line_chars"))
     out = out.withColumn("base_failed", failed)
     return out.select("doc_id", *names[:5], "base_failed", kept.alias("kept"), lost.alias("lost_percent"), "reason")
+
+
+def judged_sql() -> str:
+    """DuckDB SQL for the rows of ``op10``."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    symbols = "(" + " + ".join(f"(length({{0}}) - length(replace({{0}}, {q(c)}, '')))" for c in SYMBOLS) + ")"
+    menu = "[" + ", ".join(q(w) for w in sorted(MENU)) + "]"
+    phrases = " or ".join(f"contains(lower(l), {q(p)})" for p in BOILERPLATE)
+    closing = "".join("\\" + c if c in "]\\" else c for c in CLOSING)
+    return f"""
+with docs as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+ws as (select k, doc_id, text, regexp_extract_all(text, {word}) as w from docs),
+wins as (select k, unnest(range(1, len(w) - 1)) as i, w from ws where len(w) >= 3),
+grams as (select k, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from wins),
+twice as (select k, i from (select k, i, count(*) over (partition by k, a, b, c) as n from grams) where n > 1),
+hits as (select k, count(distinct j) as n_repeat_words from (select k, unnest([i, i + 1, i + 2]) as j from twice) group by k),
+lines as (select k, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as pos from docs),
+used as (select k, l, pos, regexp_extract_all(l, {word}) as w, {symbols.format("l")} as marks, row_number() over (partition by k, l order by pos) as nth from lines where regexp_matches(l, {word})),
+ruled as (select k, l, nth, case
+  when 4 * (length(l) - length(replace(l, '|', ''))) >= greatest(len(w), 1) then 'navigation'
+  when 10 * marks > length(l) or 3 * marks > greatest(len(w), 1) then 'symbols'
+  when len(w) <= 12 and 2 * len(list_filter(w, lambda x: list_contains({menu}, lower(trim(x, '.,:;>»'))))) > len(w) then 'navigation'
+  when len(w) <= 40 and ({phrases}) then 'boilerplate'
+  when len(w) >= {HEADING_WORDS} and not regexp_matches(l, {q("[" + closing + "]" + r"\s*$")}) and not regexp_matches(l, {q(_SENTENCE_END.pattern)}) then 'punctuation' else '' end as why from used),
+per as (select k, sum(length(l))::bigint as line_chars, sum(case when why <> '' then length(l) else 0 end)::bigint as lost_chars, count(*) filter (nth > 1) as n_dup_lines from ruled group by k),
+main as (select k, why from (select k, why, row_number() over (partition by k order by sum(length(l)) desc, why) as n from ruled where why <> '' group by k, why) where n = 1),
+base as (select ws.k, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, {symbols.format("text")}::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+  coalesce(line_chars, 0) as line_chars, coalesce(lost_chars, 0) as lost_chars, coalesce(why, '') as reason from ws left join hits using (k) left join per using (k) left join main using (k)),
+failed as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words as base_failed from base)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * lost_chars <= {MAX_LOST} * line_chars as kept,
+  case when line_chars > 0 then floor(100 * lost_chars / line_chars) else 0 end::int as lost_percent, reason from failed
+"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sentence_licences": licences.scan_sql(), "op7_curriculum_mix": mixing.mix_sql()}
+    return {"op10_line_quality": quality.judged_sql(), "op1_sentence_licences": licences.scan_sql(), "op7_curriculum_mix": mixing.mix_sql()}
