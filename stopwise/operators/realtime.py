@@ -78,3 +78,14 @@ def vehicle_estimate(events: DataFrame, now_s: int, stops: DataFrame) -> DataFra
     lon = F.col("lon1") + F.col("fraction") * (F.coalesce("lon2", "lon1") - F.col("lon1"))
     first = F.row_number().over(W.partitionBy("trip_id").orderBy("off"))
     return rows.select("trip_id", "off", "state", "fraction", lat.alias("lat"), lon.alias("lon"), first.alias("n")).where("n = 1").drop("n")
+
+
+def vehicle_pins(events: DataFrame, now_s: int, reach_s: int = 1800) -> DataFrame:
+    """(trip_id, off, state) of trips that are not under way: before the first departure INCOMING_AT it, after the last arrival STOPPED_AT it.
+
+    Only those that start or ended within ``reach_s`` of ``now_s``.
+    """
+    ends = events.groupBy("trip_id").agg(F.min(F.struct("off", F.col("rt_departure_s").alias("s"))).alias("a"), F.max(F.struct("off", F.col("rt_arrival_s").alias("s"))).alias("b"))
+    early, late = F.lit(now_s) < F.col("a.s"), F.lit(now_s) > F.col("b.s")
+    near = (early & (F.col("a.s") - now_s <= reach_s)) | (late & (now_s - F.col("b.s") <= reach_s))
+    return ends.where(near).select("trip_id", F.when(early, F.col("a.off")).otherwise(F.col("b.off")).alias("off"), F.when(early, "INCOMING_AT").otherwise("STOPPED_AT").alias("state"))

@@ -164,3 +164,19 @@ def ranked(journeys: DataFrame, arrive_by: bool = False, group: str = "query_id"
     duration = F.col("arrival_s") - F.col("departure_s")
     order = [F.desc("departure_s"), "arrival_s", "transfers", "walk_m", duration, "journey_id"] if arrive_by else ["arrival_s", duration, "transfers", "departure_s", "walk_m", "journey_id"]
     return journeys.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+
+
+def departure_seeds(origins: DataFrame, events: DataFrame, window_s: int) -> DataFrame:
+    """(query_id, seed_s, stop_id): every distinct departure from a query's stops within the window, for (query_id, stop_id, arr).
+
+    One batch over all seeds takes the place of searching again from just after each journey found.
+    """
+    boards = origins.join(events.where("pickup_type <> 1").select("stop_id", "departure_s"), "stop_id")
+    return boards.where((F.col("departure_s") >= F.col("arr")) & (F.col("departure_s") < F.col("arr") + window_s)).select("query_id", F.col("departure_s").alias("seed_s"), "stop_id").distinct()
+
+
+def profile(labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, stop_id, seed_s, arr): of labels with ``seed_s`` those that no later departure reaches as early."""
+    best = labels.join(targets, KEY, "left_semi").groupBy(*KEY, "seed_s").agg(F.min("arr").alias("arr"))
+    later = F.min("arr").over(W.partitionBy(*KEY).orderBy(F.desc("seed_s")).rowsBetween(W.unboundedPreceding, -1))
+    return best.withColumn("later", later).where(F.col("later").isNull() | (F.col("arr") < F.col("later"))).drop("later")

@@ -45,3 +45,16 @@ def walk_graph(stops: DataFrame, radius_m: float, pathways: DataFrame | None = N
         rows = part if rows is None else rows.unionByName(part)
     best = F.min(F.struct("source", "duration_s", "distance_m")).alias("x")
     return rows.groupBy("from_stop", "to_stop").agg(best).select("from_stop", "to_stop", "x.duration_s", "x.distance_m")
+
+
+def between(pairs: DataFrame, edges: DataFrame, stops: DataFrame, most_m: float, speed: float = 1.2) -> DataFrame:
+    """(from_stop, to_stop, duration_s): the cheapest edge, else the straight line up to ``most_m`` at half a minute or more."""
+    from ..functions.geo import haversine
+
+    best = edges.groupBy("from_stop", "to_stop").agg(F.min("duration_s").alias("edge_s"))
+    a = stops.select(F.col("stop_id").alias("from_stop"), "lat", "lon")
+    b = stops.select(F.col("stop_id").alias("to_stop"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    rows = pairs.join(best, ["from_stop", "to_stop"], "left").join(a, "from_stop").join(b, "to_stop")
+    d = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    straight = F.when(d <= most_m, walk_seconds(d, speed, 30))
+    return rows.select("from_stop", "to_stop", F.coalesce("edge_s", straight).alias("duration_s")).where("duration_s is not null")

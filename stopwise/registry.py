@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import journeys, live, names, network, texts
+from .plans import journeys, live, more, names, network, texts
 
-_MODULES = (network, journeys, live, texts, names)
+_MODULES = (network, journeys, live, texts, names, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
