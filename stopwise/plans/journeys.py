@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine
 from ..operators import router, timetable, walking
 from ..sources.derived import Network, with_views
-from .network import AT_S, HAVERSINE, ORIGINS, RADIUS, WALK_SQL, day_events
+from .network import AT_S, HAVERSINE, ORIGINS, RADIUS, TRANSFERS_SQL, WALK_SQL, day_events
 
 QUERIES, SQL = {}, {}
 ROUNDS, TARGETS = 4, (1, 2, 5, 8, 13, 21)
@@ -111,13 +111,11 @@ def arrive_by(net: Network) -> DataFrame:
     return rows.groupBy(F.floor(F.col("query_id") / 1_000_000).alias("query_id"), F.col("stop_id").alias("target")).agg(F.max(F.col("query_id") % 1_000_000).alias("leave_s"))
 
 
-_FEW_SQL = "ev as materialized (select s.*, t.pattern_id as line from stop_times s join trips t using (trip_id) where t.trip_id % 3 = 1 and t.pattern_id % 7 <> 0)"
-_TRANSFERS_SQL = """tr as materialized (select trip_id, off, to_trip, to_off from (select a.trip_id, a.off, b.trip_id as to_trip, b.off as to_off, row_number() over (partition by a.trip_id, a.off, b.line order by b.departure_s, b.trip_id, b.off) as n
-from ev a join ev b on a.stop_id = b.stop_id and b.departure_s >= a.arrival_s + 120 where a.drop_off_type <> 1 and b.pickup_type <> 1) where n = 1 and to_trip <> trip_id)"""
+_DAY_SQL = "ev as materialized (select s.*, t.pattern_id as line from stop_times s join trips t using (trip_id) where t.service_id in (from active))"
 
 
 def _trip_rounds_sql(n: int) -> str:
-    parts = [_FEW_SQL, _TRANSFERS_SQL, START_SQL, "f0 as materialized (select query_id, trip_id, min(off) as off from start join ev using (stop_id) where pickup_type <> 1 and departure_s >= arr group by 1, 2)", "k0 as (from f0)"]
+    parts = [_DAY_SQL, TRANSFERS_SQL.replace("tr as (", "every as (") + ", tr as materialized (from every where to_trip <> trip_id)", START_SQL, "f0 as materialized (select query_id, trip_id, min(off) as off from start join ev using (stop_id) where pickup_type <> 1 and departure_s >= arr group by 1, 2)", "k0 as (from f0)"]
     for k in range(1, n):
         parts += [
             f"n{k} as (select query_id, to_trip as trip_id, min(to_off) as off from f{k - 1} f join tr on tr.trip_id = f.trip_id and tr.off > f.off group by 1, 2)",
@@ -129,9 +127,8 @@ def _trip_rounds_sql(n: int) -> str:
 
 @query(_trip_rounds_sql(3))
 def tbr_rounds(net: Network) -> DataFrame:
-    trips = net.trips.where("trip_id % 3 = 1 and pattern_id % 7 <> 0")
-    events = net.events_of(trips.select("trip_id", "pattern_id", "first_dep_s"))
-    transfers = timetable.trip_transfers(events.select("trip_id", "off", "stop_id", "arrival_s", "departure_s", "pickup_type", "drop_off_type"), trips.select("trip_id", F.col("pattern_id").alias("line")))
+    events = day_events(net)
+    transfers = timetable.trip_transfers(events.select("trip_id", "off", "stop_id", "arrival_s", "departure_s", "pickup_type", "drop_off_type"), net.trips.select("trip_id", F.col("pattern_id").alias("line")))
     from ..lineage import cut
 
     return router.trip_rounds(_start(net), events, cut(transfers), 3)

@@ -157,32 +157,32 @@ def journey_fare(net: Network) -> DataFrame:
     return fares.journey_fares(rows.select("journey_id", "leg", "board_s", "fare_id", "price", "currency", "transfers"))
 
 
-@query("select event_id as ref, (case when event_id % 3 = 0 then trip_id when event_id % 3 = 1 and trip_id % 2 = 0 then trip_id end)::bigint as trip_id from rt_events where event_id % 3 = 0 or (event_id % 3 = 1 and trip_id % 2 = 0)")
+@query("select event_id as ref, trip_id from rt_events join trips using (trip_id) where event_id % 3 <> 2")
 def resolve_trip_exact_alias(net: Network) -> DataFrame:
-    """References by name, and by alias for the trips that have one."""
+    """References by name and by alias; of three kinds one is unknown and finds nothing."""
     t, e = F.col("trip_id"), F.col("event_id")
     name, alias = F.concat(F.lit("net:"), t.cast("string")), F.concat(F.lit("OP:VehicleJourney::"), t.cast("string"), F.lit(":LOC"))
-    keys = net.trips.select(name.alias("key"), "trip_id").union(net.trips.where("trip_id % 2 = 0").select(alias.alias("key"), "trip_id"))
-    refs = net.rt_events.where("event_id % 3 < 2").select(e.alias("ref"), F.when(e % 3 == 0, F.array(F.lit("none"), name)).otherwise(F.array(alias)).alias("candidates"))
+    keys = net.trips.select(name.alias("key"), "trip_id").union(net.trips.select(alias.alias("key"), "trip_id"))
+    refs = net.rt_events.select(e.alias("ref"), F.when(e % 3 == 0, F.array(F.lit("none"), name)).when(e % 3 == 1, F.array(alias)).otherwise(F.array(F.lit("none"))).alias("candidates"))
     return resolve.by_keys(refs, keys)
 
 
-@query("""with asks as (select event_id as ref, e.trip_id % 40 as line, t.first_dep_s + event_id % 1300 - 650 as at_s from rt_events e join trips t using (trip_id) where event_id % 4 = 0),
+@query("""with asks as (select event_id as ref, e.trip_id % 40 as line, t.first_dep_s + event_id % 1300 - 650 as at_s from rt_events e join trips t using (trip_id)),
 near as (select ref, t.trip_id, abs(first_dep_s - at_s) as delta, row_number() over w as n, lead(abs(first_dep_s - at_s)) over w as second from asks join trips t on t.pattern_id = line and abs(first_dep_s - at_s) <= 900 window w as (partition by ref order by abs(first_dep_s - at_s), t.trip_id))
 select ref, trip_id from near where n = 1 and (second is null or second - delta > 120 or delta <= 60)""")
 def resolve_trip_time(net: Network) -> DataFrame:
     trips = net.trips.select(F.col("pattern_id").alias("line"), "trip_id", F.col("first_dep_s").alias("dep_s"))
-    asks = net.rt_events.where("event_id % 4 = 0").join(trips, "trip_id").select(F.col("event_id").alias("ref"), "line", (F.col("dep_s") + F.col("event_id") % 1300 - 650).alias("at_s"))
+    asks = net.rt_events.join(trips, "trip_id").select(F.col("event_id").alias("ref"), "line", (F.col("dep_s") + F.col("event_id") % 1300 - 650).alias("at_s"))
     return resolve.by_time(asks, trips)
 
 
-@query("""with names as (select trip_id, 'T' || lpad((trip_id * 7919 % 1000000)::varchar, 8, '0') as name from trips where trip_id % 3 = 0),
+@query("""with names as (select trip_id, 'T' || lpad((trip_id * 7919 % 1000000)::varchar, 8, '0') as name from trips),
 asks as (select event_id as ref, right('T' || lpad((trip_id * 7919 % 1000000)::varchar, 8, '0'), (6 + event_id % 2)::int) as tail from rt_events)
 select ref, min(n.trip_id) as trip_id from asks join names n on ends_with(n.name, tail) group by ref having count(distinct n.trip_id) = 1""")
 def resolve_trip_fuzzy(net: Network) -> DataFrame:
     name = F.concat(F.lit("T"), F.lpad((F.col("trip_id") * 7919 % 1000000).cast("string"), 8, "0"))
     asks = net.rt_events.withColumn("name", name).select(F.col("event_id").alias("ref"), F.expr("right(name, cast(6 + event_id % 2 as int))").alias("tail"))
-    return resolve.by_tail(asks, net.trips.where("trip_id % 3 = 0").select("trip_id", name.alias("name")))
+    return resolve.by_tail(asks, net.trips.select("trip_id", name.alias("name")))
 
 
 @query(f"select alert_id, active_start <= {NOW} and (active_end is null or active_end >= {NOW}) as active, active_end is not null and active_end < {NOW} as ended from alerts")
@@ -213,10 +213,10 @@ def alert_index(net: Network) -> DataFrame:
     return al.inverted(_informed(net)).groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("alert_id").alias("first_alert"))
 
 
-@query(f"with {INDEX_SQL}, legs as (select trip_id as leg_id, trip_id::varchar as trip, route_id::varchar as route, min(case when off = 0 then stop_id end)::varchar as a, min(case when off = 7 then stop_id end)::varchar as b from trips join stop_times using (trip_id) where trip_id < 200 group by 1, 2, 3) select distinct leg_id, alert_id from legs join idx on (kind = 'trip' and key = trip) or (kind = 'route' and key = route) or (kind = 'stop' and key in (a, b))")
+@query(f"with {INDEX_SQL}, legs as (select trip_id as leg_id, trip_id::varchar as trip, route_id::varchar as route, min(case when off = 0 then stop_id end)::varchar as a, min(case when off = 7 then stop_id end)::varchar as b from trips join stop_times using (trip_id) group by 1, 2, 3) select distinct leg_id, alert_id from legs join idx on (kind = 'trip' and key = trip) or (kind = 'route' and key = route) or (kind = 'stop' and key in (a, b))")
 def alerts_for_leg(net: Network) -> DataFrame:
-    ends = net.stop_times.where("trip_id < 200").groupBy("trip_id").agg(*(F.min(F.when(F.col("off") == k, F.col("stop_id"))).cast("string").alias(n) for k, n in ((0, "from_stop"), (7, "to_stop"))))
-    legs = net.trips.where("trip_id < 200").join(ends, "trip_id").select(F.col("trip_id").alias("leg_id"), F.col("trip_id").cast("string").alias("trip_id"), F.col("route_id").cast("string").alias("route_id"), "from_stop", "to_stop")
+    ends = net.stop_times.groupBy("trip_id").agg(*(F.min(F.when(F.col("off") == k, F.col("stop_id"))).cast("string").alias(n) for k, n in ((0, "from_stop"), (7, "to_stop"))))
+    legs = net.trips.join(ends, "trip_id").select(F.col("trip_id").alias("leg_id"), F.col("trip_id").cast("string").alias("trip_id"), F.col("route_id").cast("string").alias("route_id"), "from_stop", "to_stop")
     return al.for_legs(legs, al.inverted(_informed(net)))
 
 

@@ -24,13 +24,13 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""with items as (select event_id as equipment_id, case event_id % 2 when 0 then 'stop_area:IDFM:' || (event_id % 90)::varchar else 'idfm:7' || (1000 + event_id % 50)::varchar end as s from events where event_id % 20 < 2),
+@query("""with items as (select event_id as equipment_id, case event_id % 2 when 0 then 'stop_area:IDFM:' || (event_id % 90)::varchar else 'idfm:7' || (1000 + event_id % 50)::varchar end as s from events),
 k as (select equipment_id, replace(replace(regexp_replace(regexp_replace(lower(s), '^(stop_area:|stop_point:)', ''), '^(idfm:|idfm%3a)', ''), 'idfm:', ''), ':', '') as a from items), t as (select stop_id, case when stop_id % 2 = 0 then stop_id::varchar else (1000 + stop_id)::varchar end as b from stops)
 select distinct stop_id, equipment_id from k, t where a = b or (length(b) >= 4 and ends_with(a, b)) or (length(a) >= 4 and ends_with(b, a))""")
 def equipment_by_stop(net: Network) -> DataFrame:
     e = F.col("event_id")
     stop = F.when(e % 2 == 0, F.concat(F.lit("stop_area:IDFM:"), (e % 90).cast("string"))).otherwise(F.concat(F.lit("idfm:7"), (1000 + e % 50).cast("string")))
-    items = net.raw("events").where("event_id % 20 < 2").select(e.alias("equipment_id"), stop.alias("stop_id"))
+    items = net.raw("events").select(e.alias("equipment_id"), stop.alias("stop_id"))
     s = F.col("stop_id")
     stops = net.stops.select(s.alias("id"), F.when(s % 2 == 0, s.cast("string")).otherwise((1000 + s).cast("string")).alias("stop_id"))
     found = equipment.by_stop(items, stops)
@@ -43,12 +43,12 @@ def viewport_lines(net: Network) -> DataFrame:
     return equipment.viewport_lines(rows, (48.82, 2.2, 48.95, 2.45), 10)
 
 
-@query(f"with {WALK_SQL}, pairs as (select a.stop_id as from_stop, b.stop_id as to_stop, {HAVERSINE.format(a='a', b='b')} as d from stops a, stops b where a.stop_id % 10 = 0 and b.stop_id % 7 = 1) select from_stop, to_stop, coalesce(duration_s, greatest(ceil(d / 1.2::double)::int, 30)) as duration_s from pairs left join walk using (from_stop, to_stop) where duration_s is not null or d <= 6000")
+@query(f"with {WALK_SQL}, pairs as (select a.stop_id as from_stop, b.stop_id as to_stop, {HAVERSINE.format(a='a', b='b')} as d from stops a, stops b where a.stop_id in {ORIGINS} and a.stop_id <> b.stop_id) select from_stop, to_stop, coalesce(duration_s, greatest(ceil(d / 1.2::double)::int, 30)) as duration_s from pairs left join walk using (from_stop, to_stop) where duration_s is not null or d <= 6000")
 def walk_between(net: Network) -> DataFrame:
-    a = net.stops.where("stop_id % 10 = 0").select(F.col("stop_id").alias("from_stop"))
-    b = net.stops.where("stop_id % 7 = 1").select(F.col("stop_id").alias("to_stop"))
+    a = net.stops.where(F.col("stop_id").isin(*ORIGINS)).select(F.col("stop_id").alias("from_stop"))
+    b = net.stops.select(F.col("stop_id").alias("to_stop"))
     edges = walking.walk_graph(net.stops, RADIUS)
-    return walking.between(a.crossJoin(b), edges, net.stops, 6_000.0)  # two named sets of stops
+    return walking.between(a.join(b, F.col("from_stop") != F.col("to_stop")), edges, net.stops, 6_000.0)  # from three named stops to all
 
 
 @query(f"with {LIVE_SQL}, ends as (select trip_id, min(rt_departure_s) filter (off = 0) as a, max(rt_arrival_s) filter (off = 7) as b from live group by trip_id) select trip_id, case when {AT_S} < a then 0 else 7 end::bigint as off, case when {AT_S} < a then 'INCOMING_AT' else 'STOPPED_AT' end as state from ends where ({AT_S} < a and a - {AT_S} <= 1800) or (not {AT_S} < a and {AT_S} > b and {AT_S} - b <= 1800)")

@@ -80,9 +80,9 @@ def journey_refs(net: Network) -> DataFrame:
     return net.raw("orders").select(o, labels.journey_id(code).alias("journey"), labels.siri_journey_ref(static).alias("live_ref"))
 
 
-@query(f"with a as (select address_id as query_id, lat, lon from addresses where address_id % 7 = 0), d as (select query_id, stop_id, {HAVERSINE.format(a='a', b='s')} as distance_m from a, stops s), r as (select *, row_number() over (partition by query_id order by distance_m, stop_id) as n from d where distance_m <= 2500) select query_id, stop_id, greatest(ceil(distance_m / 1.2::double)::int, 1) as duration_s from r where n <= 16")
+@query(f"with a as (select address_id as query_id, lat, lon from addresses), d as (select query_id, stop_id, {HAVERSINE.format(a='a', b='s')} as distance_m from a, stops s), r as (select *, row_number() over (partition by query_id order by distance_m, stop_id) as n from d where distance_m <= 2500) select query_id, stop_id, greatest(ceil(distance_m / 1.2::double)::int, 1) as duration_s from r where n <= 16")
 def access_stops(net: Network) -> DataFrame:
-    points = net.addresses.where("address_id % 7 = 0").select(F.col("address_id").alias("query_id"), "lat", "lon")
+    points = net.addresses.select(F.col("address_id").alias("query_id"), "lat", "lon")
     return access.of_points(points, net.stops, 2_500.0).select("query_id", "stop_id", "duration_s")
 
 

@@ -64,12 +64,12 @@ def services_in_range(net: Network) -> DataFrame:
 
 
 @query("""
-with q as (select event_id as query_id, floor(epoch(ts))::bigint as epoch_s, cast(ts + interval 1 hour as date) as today from events where event_id % 10 = 0),
+with q as (select event_id as query_id, floor(epoch(ts))::bigint as epoch_s, cast(ts + interval 1 hour as date) as today from events),
 both_days as (select query_id, epoch_s, today, today as service_date from q union all select query_id, epoch_s, today, cast(today - 1 as date) from q),
 anchored as (select *, epoch_s - (epoch(service_date::timestamp)::bigint - 3600) as since_s from both_days)
 select query_id, service_date, since_s from anchored where service_date = today or since_s <= (select max(greatest(arrival_s, departure_s)) from stop_times)""")
 def service_day_passes(net: Network) -> DataFrame:
-    asks = net.raw("events").where("event_id % 10 = 0").select(F.col("event_id").alias("query_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch_s"))
+    asks = net.raw("events").select(F.col("event_id").alias("query_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch_s"))
     latest = net.stop_times.agg(F.max(F.greatest("arrival_s", "departure_s"))).first()[0]
     return calendar.service_passes(asks, latest)
 
@@ -112,13 +112,13 @@ def trip_links(net: Network) -> DataFrame:
 
 
 @query(f"""
-with pairs as (select t.trip_id, t.off, s.lat, s.lon, lag(s.lat) over w as plat, lag(s.lon) over w as plon from stop_times t join stops s using (stop_id) where t.trip_id % 5 = 0 window w as (partition by trip_id order by off)),
+with pairs as (select t.trip_id, t.off, s.lat, s.lon, lag(s.lat) over w as plat, lag(s.lon) over w as plon from stop_times t join stops s using (stop_id) window w as (partition by trip_id order by off)),
 legs as (select a.trip_id, a.off, coalesce(round({HAVERSINE.format(a="p", b="a")}), 0)::bigint as leg_m from pairs a join (select trip_id, off, plat as lat, plon as lon from pairs) p using (trip_id, off))
 select trip_id, off, leg_m, (sum(leg_m) over (partition by trip_id order by off))::bigint as total from legs""")
 def running_distance(net: Network) -> DataFrame:
     from pyspark.sql import Window as W
 
-    rows = net.stop_times.where("trip_id % 5 = 0").select("trip_id", "off", "stop_id").join(net.stops.select("stop_id", "lat", "lon"), "stop_id")
+    rows = net.stop_times.select("trip_id", "off", "stop_id").join(net.stops.select("stop_id", "lat", "lon"), "stop_id")
     w = W.partitionBy("trip_id").orderBy("off")
     leg = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     rows = rows.select("trip_id", "off", F.coalesce(F.round(leg), F.lit(0)).cast("long").alias("leg_m"))
@@ -126,14 +126,14 @@ def running_distance(net: Network) -> DataFrame:
 
 
 @query("""
-with blank as (select trip_id, off, case when (trip_id + off) % 3 = 0 and off not in (0, 7) then null else arrival_s end as a, case when (trip_id + off) % 3 = 0 and off not in (0, 7) then null else departure_s end as d from stop_times where trip_id % 4 = 0),
+with blank as (select trip_id, off, case when (trip_id + off) % 3 = 0 and off not in (0, 7) then null else arrival_s end as a, case when (trip_id + off) % 3 = 0 and off not in (0, 7) then null else departure_s end as d from stop_times),
 around as (select *, last_value(case when a is not null then off end ignore nulls) over (partition by trip_id order by off) as lo, last_value(d ignore nulls) over (partition by trip_id order by off) as ld,
 first_value(case when a is not null then off end ignore nulls) over (partition by trip_id order by off rows between current row and unbounded following) as ho, first_value(a ignore nulls) over (partition by trip_id order by off rows between current row and unbounded following) as ha from blank)
 select trip_id, off, coalesce(a, round(ld + (off - lo)::double / (ho - lo) * (ha - ld)))::int as arrival_s, coalesce(d, round(ld + (off - lo)::double / (ho - lo) * (ha - ld)))::int as departure_s, (a is not null)::int as timepoint from around""")
 def stop_time_interpolation(net: Network) -> DataFrame:
     gone = ((F.col("trip_id") + F.col("off")) % 3 == 0) & ~F.col("off").isin(0, 7)
     nothing = F.lit(None).cast("double")
-    rows = net.stop_times.where("trip_id % 4 = 0").select("trip_id", "off", *(F.when(~gone, F.col(c)).alias(c) for c in ("arrival_s", "departure_s")), *(nothing.alias(c) for c in ("shape_dist", "lat", "lon")))
+    rows = net.stop_times.select("trip_id", "off", *(F.when(~gone, F.col(c)).alias(c) for c in ("arrival_s", "departure_s")), *(nothing.alias(c) for c in ("shape_dist", "lat", "lon")))
     return timetable.interpolate(rows).select("trip_id", "off", "arrival_s", "departure_s", "timepoint")
 
 
@@ -198,9 +198,9 @@ def hub_links(net: Network) -> DataFrame:
     return spatial.hub_links(net.stops, RADIUS).withColumn("distance_m", F.round("distance_m", 3))
 
 
-@query(f"with d as (select p.address_id as point_id, s.stop_id, round({HAVERSINE.format(a='p', b='s')}, 3) as distance_m from addresses p, stops s where p.address_id % 5 = 0) select point_id, stop_id, distance_m, rank::int as rank from (select *, row_number() over (partition by point_id order by distance_m, stop_id) as rank from d where distance_m <= {RADIUS}) where rank <= 3")
+@query(f"with d as (select p.address_id as point_id, s.stop_id, round({HAVERSINE.format(a='p', b='s')}, 3) as distance_m from addresses p, stops s) select point_id, stop_id, distance_m, rank::int as rank from (select *, row_number() over (partition by point_id order by distance_m, stop_id) as rank from d where distance_m <= {RADIUS}) where rank <= 3")
 def near_stops(net: Network) -> DataFrame:
-    points = net.addresses.where("address_id % 5 = 0").select(F.col("address_id").alias("point_id"), "lat", "lon")
+    points = net.addresses.select(F.col("address_id").alias("point_id"), "lat", "lon")
     return spatial.nearest(points, net.stops, RADIUS, 3).withColumn("distance_m", F.round("distance_m", 3))
 
 
@@ -248,14 +248,15 @@ def layout_links(net: Network) -> DataFrame:
     return timetable.layout_links(net.stop_times)
 
 
-@query("""
-with few as (select s.*, t.pattern_id as line from stop_times s join trips t using (trip_id) where trip_id % 10 = 0),
-asks as (select a.trip_id, a.off, b.line, b.departure_s, b.trip_id as to_trip, b.off as to_off from few a join few b on a.stop_id = b.stop_id and b.departure_s >= a.arrival_s + 120 where a.drop_off_type <> 1 and b.pickup_type <> 1),
-first as (select *, row_number() over (partition by trip_id, off, line order by departure_s, to_trip, to_off) as n from asks)
-select trip_id, off, line, to_trip, to_off from first where n = 1 and to_trip <> trip_id""")
+#: As-of join: of each stop and line the first departure at or after a time, the least trip of equal ones.
+TRANSFERS_SQL = """boards as (select stop_id, line, departure_s, min((trip_id, off)) as b from ev where pickup_type <> 1 group by 1, 2, 3),
+asks as (select e.trip_id, e.off, e.stop_id, l.line, e.arrival_s + 120 as t from ev e join (select distinct stop_id, line from boards) l using (stop_id) where e.drop_off_type <> 1),
+tr as (select a.trip_id, a.off, a.line, (b.b)[1] as to_trip, (b.b)[2] as to_off from asks a asof join boards b on a.stop_id = b.stop_id and a.line = b.line and b.departure_s >= a.t)"""
+
+
+@query(f"with ev as (select s.*, t.pattern_id as line from stop_times s join trips t using (trip_id)), {TRANSFERS_SQL} from tr where to_trip <> trip_id")
 def trip_transfers(net: Network) -> DataFrame:
-    events = net.stop_times.where("trip_id % 10 = 0")
-    return timetable.trip_transfers(events, net.trips.select("trip_id", F.col("pattern_id").alias("line")))
+    return timetable.trip_transfers(net.stop_times, net.trips.select("trip_id", F.col("pattern_id").alias("line")))
 
 
 @query("with s as (select *, start_s + ceil(greatest(28800 - start_s, 0) / headway_s)::bigint * headway_s as board_s from frequencies) select trip_id, start_s, board_s from s where board_s < end_s")
@@ -271,11 +272,11 @@ def cell_flags(net: Network) -> DataFrame:
     return rows.withColumn("toward_0_or_2", F.col("flags").bitwiseAND(F.lit(5)) != 0)
 
 
-@query("with f as (select stop_id, bit_or(1 << (trip_id % 8)::int) as flags from stop_times where trip_id % 100 < 7 group by stop_id) select flags::bigint as flags, count(*) as n, (row_number() over (order by count(*) desc, flags))::int as rank from f group by flags")
+@query("with f as (select trip_id, bit_or(1 << (stop_id % 8)::int) as flags from stop_times group by trip_id) select flags::bigint as flags, count(*) as n, (row_number() over (order by count(*) desc, flags))::int as rank from f group by flags")
 def pattern_rank(net: Network) -> DataFrame:
-    """Flag patterns by how many edges share them: the dictionary of a compressed store."""
+    """Flag patterns by how many trips share them: the dictionary of a compressed store."""
     from pyspark.sql import Window as W
 
-    flag = F.expr("shiftleft(1L, cast(trip_id % 8 as int))")
-    per = net.stop_times.where("trip_id % 100 < 7").groupBy("stop_id").agg(F.bit_or(flag).alias("flags")).groupBy("flags").agg(F.count("*").alias("n"))
+    flag = F.expr("shiftleft(1L, cast(stop_id % 8 as int))")
+    per = net.stop_times.groupBy("trip_id").agg(F.bit_or(flag).alias("flags")).groupBy("flags").agg(F.count("*").alias("n"))
     return per.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "flags")))
