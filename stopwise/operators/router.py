@@ -55,22 +55,20 @@ def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int,
     """
     nothing = {c: F.lit(None).cast("long") for c in ("trip_id", "board_stop", "board_off", "board_s", "off", "from_stop")}
     labels = cut(start.select(*KEY, F.col("arr").cast("long").alias("arr"), F.lit(0).alias("round"), F.lit(START).alias("kind"), *(v.alias(c) for c, v in nothing.items())))
-    every, frontier, best = labels, labels.select(*KEY, "arr"), labels.select(*KEY, "arr")
+    every, frontier = labels, labels.select(*KEY, "arr")
     for k in range(1, n + 1):
+        best = earliest(every)  # over the cut labels of all rounds, which are small beside the events
         rides = _improving(_best(ride(frontier, events, 0 if k == 1 else buffer_s)), best)
         rides = cut(rides.select(*KEY, "arr", F.lit(k).alias("round"), F.lit(RIDE).alias("kind"), "trip_id", "board_stop", "board_off", "board_s", "off", F.lit(None).cast("long").alias("from_stop")))
-        best = rides.select(*KEY, "arr").union(best).groupBy(*KEY).agg(F.min("arr").alias("arr"))
         new = rides
         if walks is not None:
             hops = rides.select("query_id", F.col("stop_id").alias("from_stop"), "arr").join(walks.select("from_stop", F.col("to_stop").alias("stop_id"), "duration_s"), "from_stop")
-            hops = _improving(_best(hops.select("query_id", "stop_id", (F.col("arr") + F.col("duration_s")).cast("long").alias("arr"), "from_stop")), best)
-            hops = hops.select(*KEY, "arr", F.lit(k).alias("round"), F.lit(WALK).alias("kind"), *(nothing[c].alias(c) for c in ("trip_id", "board_stop", "board_off", "board_s", "off")), "from_stop")
-            new = cut(rides.union(hops))
-            best = new.select(*KEY, "arr").union(best).groupBy(*KEY).agg(F.min("arr").alias("arr"))
-        best = cut(best)
+            hops = _improving(_best(hops.select("query_id", "stop_id", (F.col("arr") + F.col("duration_s")).cast("long").alias("arr"), "from_stop")), earliest(every.union(rides)))
+            hops = cut(hops.select(*KEY, "arr", F.lit(k).alias("round"), F.lit(WALK).alias("kind"), *(nothing[c].alias(c) for c in ("trip_id", "board_stop", "board_off", "board_s", "off")), "from_stop"))
+            new = rides.union(hops)
         frontier = new.groupBy(*KEY).agg(F.min("arr").alias("arr"))
         every = every.union(new)
-        if new.isEmpty():
+        if rides.isEmpty():
             break
     return every
 
