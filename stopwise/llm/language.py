@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import cut_lineage, held_out, if_small, map_arrow, texts
 
 SEGMENT = 512
-LETTERS = 94
+LETTERS = 62
 _STRIDE = LETTERS + 2  # 0: any other letter; the last: padding. Even, so that the lowest bit of a row's offset is free.
 _PAD = _STRIDE - 1
 UNKNOWN = "und"
@@ -74,16 +74,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 def parse_table(symbols: list[int]) -> np.ndarray:
     """Flat table: at row + symbol stands the next row, with bit 0 set where a new phrase starts at this symbol."""
     states = suffix_automaton(symbols)
-    table = np.full((len(states), _STRIDE), -1, np.int32)
+    table = np.full((len(states), _STRIDE), -1, np.int32)  # about 20 MB for 38,000 letters
     for row, nexts in zip(table, states, strict=True):
         if nexts:
             row[list(nexts)] = list(nexts.values())
     root = np.maximum(table[0], 0) * _STRIDE
-    known = table >= 0
-    known[0] = False  # each symbol at the start begins a phrase
-    out = np.where(known, table * _STRIDE, root | 1)
-    out[:, _PAD] = np.arange(len(states)) * _STRIDE  # padding changes nothing
-    return out.astype(np.int32).ravel()
+    new = table < 0
+    new[0] = True  # each symbol at the start begins a phrase
+    table *= _STRIDE
+    np.copyto(table, (root | 1).astype(np.int32), where=new)
+    table[:, _PAD] = np.arange(len(states)) * _STRIDE  # padding changes nothing
+    return table.ravel()
 
 
 class CrossParser:
@@ -133,7 +134,7 @@ class CrossParser:
         return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.clip(score, 0, 1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(samples)
 
