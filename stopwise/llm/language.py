@@ -143,9 +143,9 @@ def learn(docs: DataFrame, sample_docs: int = 64, sample_chars: int = 600, seed:
     """(language, labelled text) from documents that are not held out; what comes to the driver is bounded by the parameters."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("count")).alias("share"))
+    share = cut_lineage(rows.groupBy("lang").count()).select("lang", F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("count")).alias("share"))
     # the sample is drawn over hashes; its texts are met by a broadcast of those, 2 * sample_docs a language or so
-    drawn = rows.select("lang", "h").join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    drawn = rows.select("lang", "h").join(if_small(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     few = rows.join(if_small(cut_lineage(drawn.select("lang", "h").distinct())), ["lang", "h"], "left_semi")
     few = few.groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))  # equal rows count once
     found: dict[str, list[tuple[int, str]]] = {}
