@@ -79,7 +79,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id",
             yield from placed(held, now, done)
 
     keyed = df.select(*names, bucket.alias("__bucket"), mixed.alias("__mixed"))
-    dealt = keyed.repartition(max(1, min(n_buckets, 1 << 16)), "__bucket").sortWithinPartitions("__bucket", "__mixed", id_col, text_col)
+    dealt = keyed.repartitionById(min(n_buckets, 1 << 16), "__bucket").sortWithinPartitions("__bucket", "__mixed", id_col, text_col)
     ship(df.sparkSession)
     return dealt.drop("__mixed").mapInArrow(run, schema)
 
