@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILTERS = (("route_id", 4), ("origin_id", 2), ("destination_id", 1))
@@ -13,23 +13,26 @@ FILTERS = (("route_id", 4), ("origin_id", 2), ("destination_id", 1))
 def best_fares(legs: DataFrame, rules: DataFrame, fares: DataFrame) -> DataFrame:
     """(leg columns, fare_id, price, currency, transfers): for each leg the most specific rule, then the cheapest, then the least id.
 
-    A rule's null filters match anything. Instead of a nested loop, the rules are taken apart by which filters they set:
-    each of the eight kinds is an equi-join on just those filters.
+    A rule's null filters match anything. Instead of a nested loop, a leg is looked up under each of the eight keys that a
+    rule for it can have (each filter set or open), and of the rules of one key only the best is kept.
     """
-    priced = rules.join(fares, "fare_id")
-    found = None
+
+    def key(weight: int | Column, values: list[Column]) -> Column:
+        return F.concat_ws("|", F.lit(weight) if isinstance(weight, int) else weight, *(F.coalesce(v.cast("string"), F.lit("*")) for v in values))
+
+    weight = sum((F.when(F.col(name).isNotNull(), w).otherwise(0) for name, w in FILTERS), F.lit(0))
+    priced = rules.join(fares, "fare_id").select(weight.alias("weight"), key(weight, [F.col(n) for n, _ in FILTERS]).alias("key"), "price", "fare_id", "currency", "transfers")
+    best_rule = priced.groupBy("key", "weight").agg(F.min(F.struct("price", "fare_id", "currency", "transfers")).alias("r"))
+    keys = []
     for sets in product((False, True), repeat=len(FILTERS)):
-        on = [name for (name, _), used in zip(FILTERS, sets, strict=True) if used]
-        kind = priced
+        total = sum(w for (_, w), used in zip(FILTERS, sets, strict=True) if used)
+        usable = F.lit(True)
         for (name, _), used in zip(FILTERS, sets, strict=True):
-            kind = kind.where(F.col(name).isNotNull() if used else F.col(name).isNull())
-        weight = sum(w for (_, w), used in zip(FILTERS, sets, strict=True) if used)
-        kind = kind.select(*on, "fare_id", "price", "currency", "transfers").withColumn("weight", F.lit(weight))
-        part = legs.join(kind, on) if on else legs.crossJoin(kind)
-        part = part.select(*legs.columns, "fare_id", "price", "currency", "transfers", "weight")
-        found = part if found is None else found.unionByName(part)
-    best = F.min(F.struct((-F.col("weight")).alias("w"), "price", "fare_id", "currency", "transfers")).alias("x")
-    return found.groupBy(*legs.columns).agg(best).select(*legs.columns, "x.fare_id", "x.price", "x.currency", "x.transfers")
+            usable = usable & F.col(name).isNotNull() if used else usable
+        keys.append(F.when(usable, key(total, [F.col(n) if used else F.lit(None) for (n, _), used in zip(FILTERS, sets, strict=True)])))
+    tried = legs.withColumn("key", F.explode(F.array_compact(F.array(*keys)))).join(best_rule, "key")
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "r")).alias("x")
+    return tried.groupBy(*legs.columns).agg(best).select(*legs.columns, "x.r.fare_id", "x.r.price", "x.r.currency", "x.r.transfers")
 
 
 def journey_fares(legs: DataFrame, duration_s: int = 5400) -> DataFrame:

@@ -56,6 +56,7 @@ def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int,
     nothing = {c: F.lit(None).cast("long") for c in ("trip_id", "board_stop", "board_off", "board_s", "off", "from_stop")}
     labels = cut(start.select(*KEY, F.col("arr").cast("long").alias("arr"), F.lit(0).alias("round"), F.lit(START).alias("kind"), *(v.alias(c) for c, v in nothing.items())))
     every, frontier = labels, labels.select(*KEY, "arr")
+    events = events.select("trip_id", "off", "stop_id", "arrival_s", "departure_s", "pickup_type", "drop_off_type").persist()
     for k in range(1, n + 1):
         best = earliest(every)  # over the cut labels of all rounds, which are small beside the events
         rides = _improving(_best(ride(frontier, events, 0 if k == 1 else buffer_s)), best)
@@ -70,6 +71,7 @@ def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int,
         every = every.union(new)
         if rides.isEmpty():
             break
+    events.unpersist()  # the labels are cut, so nothing asks for the events again
     return every
 
 
