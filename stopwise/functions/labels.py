@@ -177,7 +177,7 @@ def equipment_kind(text: Column) -> Column:
 
 
 def equipment_status(text: Column) -> Column:
-    """Available, Unavailable or Unknown. ``indisponible`` holds ``disponible`` and counts as the reference order has it: available words first."""
+    """Available, Unavailable or Unknown. Words for available are tried first, so ``indisponible``, which holds one of them, counts as available."""
     low = F.lower(text)
     up = low.isin("available", "ok", "up", "fonctionnel", "available_status", "1") | F.contains(low, F.lit("disponible")) | F.contains(low, F.lit("en service"))
     down = low.isin("unavailable", "down", "out", "hs", "0", "unavailable_status") | low.rlike("panne|hors service")
