@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopwise.llm import decontaminate, language, mixing, shards, simhash
+from stopwise.llm import decontaminate, language, mixing, near, shards
 from stopwise.llm.common import cut_lineage, table
 
 SHARDS = 40
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the document of the least id stays."""
+    return near.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,7 +268,11 @@ def hex16(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node_limit: int = 50_000) -> DataFrame:
     """``docs`` with one row of each group: that of the least id, nulls last. Rows that are equal in id and text count as one."""
-    of = cut_lineage(_grouped(docs, id_col, text_col, node_limit))
+    return keep_least(docs, cut_lineage(_grouped(docs, id_col, text_col, node_limit)), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``of`` (doc_id, key, root), which has to be cut from its lineage."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("x")
     kept = of.groupBy("root").agg(first).select("x.key")
     gone = cut_lineage(of.select("key").distinct().join(kept, "key", "left_anti").withColumnRenamed("key", "__gone"))

@@ -1,9 +1,10 @@
 """The pipeline against a plain version, and the registered queries."""
 
 import collections
+import random
 
 import corpus_pipeline
-from stopwise.llm import language, mixing, registry
+from stopwise.llm import language, mixing, near, registry
 
 from .test_operators import slow_fingerprint, slow_sets
 
@@ -50,3 +51,34 @@ def test_registered_names():
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
     assert set(registry.oracle_sql()) <= names
     assert language.UNKNOWN == "und"
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    """Copies with a few edits differ in more than three bits of a fingerprint; each list is compared whole and by halves."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randint(40, 200))
+        for edits in (0, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    line = " ".join(vocabulary[:30])
+    texts += [f"{line} {' '.join(rng.choices(vocabulary, k=5))}" for _ in range(20)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    missed = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                missed += (slow_fingerprint(texts[a]) ^ slow_fingerprint(texts[b])).bit_count() > 3
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert missed > 20
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted({find(k) for k in range(len(texts))})
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == want
+    assert sorted(r.doc_id for r in near.keep_one(frame, most=1).collect()) == want
