@@ -8,7 +8,10 @@ benchmark's windows are the small side of the join and are broadcast only while
 
 Slots. The values that a document holds in an item's placeholders must be consistent: one item value
 stands for one document value wherever the matched windows have it, and different names stay different. Windows that
-break this do not count. A document holds an item when consistent windows cover ``COVER`` of the item's windows.
+break this do not count. A document holds an item when consistent windows cover ``COVER`` of the item's windows. This is
+judged for each occurrence, so that several variants of a template in a document do not outvote each other: windows of one
+shift (their place less that in the item), windows of shifts less than an item's length apart (a copy with words put in or left out), and all
+of the document (a copy in pieces); the occurrence with most windows is reported, of equal ones an exact one.
 ``exact_slots`` tells whether the values are those of the benchmark or re-parameterised.
 
 Edge cases: null, empty and blank texts on either side match nothing; items that are all placeholders have too
@@ -57,7 +60,7 @@ def _cut(joined: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_row, item_id, width, n_windows, at, h, anchor, offset, item_values): hashed template windows with enough literal tokens.
+    """(item_row, item_id, length, width, n_windows, at, h, anchor, offset, item_values): hashed template windows with enough literal tokens.
 
     ``anchor`` is a window's longest literal token, the rarest as a rule; it stands ``offset`` tokens from the start.
     """
@@ -68,9 +71,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     rows = rows.withColumn("windows", F.expr("transform(sequence(0, size(t) - width), i -> struct(i as at, slice(t, i + 1, width) as w, slice(v, i + 1, width) as v))"))
     rows = rows.withColumn("windows", F.expr(f"filter(windows, x -> size({literal}) >= least({LITERALS}, width))"))
     rows = rows.withColumn("windows", F.expr(f"transform(windows, x -> struct(x.at, x.w, x.v, array_min({literal}) as anchor))"))
-    rows = rows.select("item_row", "item_id", "width", F.size("windows").alias("n_windows"), F.explode("windows").alias("x"))
+    rows = rows.select("item_row", "item_id", F.size("t").alias("length"), "width", F.size("windows").alias("n_windows"), F.explode("windows").alias("x"))
     joined = F.xxhash64("width", F.array_join("x.w", " "))
-    return rows.select("item_row", "item_id", "width", "n_windows", "x.at", joined.alias("h"), F.col("x.anchor.y").alias("anchor"), F.col("x.anchor.k").alias("offset"), F.col("x.v").alias("item_values"))
+    return rows.select("item_row", "item_id", "length", "width", "n_windows", "x.at", joined.alias("h"), F.col("x.anchor.y").alias("anchor"), F.col("x.anchor.k").alias("offset"), F.col("x.v").alias("item_values"))
 
 
 def _hashed(tokens: str, start: str, width: str) -> str:
@@ -116,14 +119,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # stage 2: the values of those few
     few = docs.select(key.alias("key"), "doc_id", "text").join(if_small(near), "key", "left_semi").dropDuplicates(["key"])
     few = few.select("key", "doc_id", _cut(canonical(F.col("text"), True)).alias("v"), _cut(canonical(F.col("text"))).alias("t"))
-    each = [F.expr(f"case when size(t) >= {w} then transform(sequence(0, size(t) - {w}), i -> struct({w} as width, xxhash64({w}, array_join(slice(t, i + 1, {w}), ' ')) as h, slice(v, i + 1, {w}) as v)) else array() end") for w in widths]
-    windows = few.select("key", "doc_id", F.explode(F.concat(*each)).alias("x")).select("key", "doc_id", "x.width", "x.h", F.col("x.v").alias("doc_values"))
+    each = [F.expr(f"case when size(t) >= {w} then transform(sequence(0, size(t) - {w}), i -> struct(i as place, {w} as width, xxhash64({w}, array_join(slice(t, i + 1, {w}), ' ')) as h, slice(v, i + 1, {w}) as v)) else array() end") for w in widths]
+    windows = few.select("key", "doc_id", F.explode(F.concat(*each)).alias("x")).select("key", "doc_id", "x.place", "x.width", "x.h", F.col("x.v").alias("doc_values"))
     small = F.broadcast(items) if count <= BROADCAST_WINDOWS else items
     pairs = windows.join(small, ["width", "h"])
     # slots: (item value, document value) of each placeholder in the matched windows
     slot = F.expr("filter(transform(arrays_zip(item_values, doc_values), x -> struct(x.item_values as a, x.doc_values as b)), x -> substring(x.a, 1, 1) in ('" + "', '".join((NUM, UNIT, NAME)) + "'))")
-    pairs = pairs.select("key", "doc_id", "item_row", "item_id", "n_windows", "at", slot.alias("slots"))
-    group = ["key", "item_row"]
+    # occurrences: the whole document, one shift, and shifts in two grids of an item's length, so that near ones share a cell
+    shift = "place - at"
+    cells = f"array(struct(0 as kind, 0L as cell), struct(1 as kind, cast({shift} as long) as cell), struct(2 as kind, floor(({shift}) / length) as cell), struct(3 as kind, floor(({shift}) / length + 0.5) as cell))"
+    pairs = pairs.select("key", "doc_id", "item_row", "item_id", "n_windows", "at", slot.alias("slots"), F.explode(F.expr(cells)).alias("part"))
+    group = ["key", "item_row", "part"]
     votes = pairs.select(*group, F.explode("slots").alias("s")).groupBy(*group, F.col("s.a").alias("a"), F.col("s.b").alias("b")).count()
     # of several document values for one item value the most frequent counts, then the least
     chosen = votes.groupBy(*group, "a").agg(F.min_by("b", F.struct(-F.col("count"), F.col("b"))).alias("b"))
@@ -131,7 +137,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = pairs.join(chosen, group, "left").withColumn("ok", F.expr("forall(slots, s -> values[s.a] = s.b)"))
     judged = judged.withColumn("same", F.expr("forall(slots, s -> s.a = s.b)"))
     found = judged.where("ok").groupBy(*group, "item_id", "doc_id", "n_windows").agg(F.count_distinct("at").alias("n_matched"), F.bool_and("same").alias("exact_slots"))
-    return found.where(F.col("n_matched") >= COVER * F.col("n_windows")).select("key", "doc_id", "item_id", "n_windows", "n_matched", "exact_slots")
+    found = found.where(F.col("n_matched") >= COVER * F.col("n_windows"))
+    best = found.groupBy("key", "item_row", "item_id", "doc_id", "n_windows").agg(F.max(F.struct("n_matched", "exact_slots")).alias("x"))
+    return best.select("key", "doc_id", "item_id", "n_windows", "x.n_matched", "x.exact_slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

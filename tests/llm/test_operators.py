@@ -269,6 +269,25 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [1]
 
 
+def test_slots_are_judged_for_each_occurrence(spark):
+    """A copy among variants of its template, a variant with a word put in, and windows that no variant holds consistently."""
+    item = "A tank holds 10 blue fish and 20 red fish and 30 green snails and 40 grey stones when the day is over"
+    rng, rows = random.Random(6), []
+
+    def variant():
+        return re.sub("[0-9]+", lambda m: str(rng.randint(100, 999)), item)
+
+    for k in range(30):
+        texts = [item] + [variant() for _ in range((1, 5, 20)[k % 3])]
+        rng.shuffle(texts)
+        rows.append((k, ". ".join(texts) + "."))
+    rows.append((30, f"{variant()}. {variant().replace('and 30', 'and also 30')}. {variant()}."))
+    rows.append((31, ". ".join(re.sub("[0-9]+", lambda m: str(rng.randint(100, 999)), item[:45]) for _ in range(9))))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.exact_slots for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {**{k: True for k in range(30)}, 30: False}
+
+
 def test_leaks_of_nothing(spark, empty, docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(empty, bench).count() == 0
