@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = 3
-# Words without which no known sentence occurs.
-TRIGGERS = ("licen", "permission is hereby", "permission to use", "redistribution", "warrant", "copyright", "public domain", "liable", "spdx", "rights reserved")
+# Parts of words without which no known sentence occurs, in whatever spelling; each has letters only.
+TRIGGERS = ("licen", "under", "permission", "redistribution", "warrant", "copy", "domain", "liable", "spdx", "reserved", "software")
 # Short names as they stand after "under", with the identifier.
 NAMES = (
     ("mit license", "MIT"), ("mit", "MIT"), ("expat license", "MIT"), ("x11 license", "X11"), ("isc license", "ISC"), ("zlib license", "Zlib"), ("boost software license version 1 0", "BSL-1.0"),
@@ -95,9 +95,13 @@ def _literals(values: list[str]) -> str:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in their order."""
     low = F.lower(text)
-    may = F.lit(False)
-    for word in TRIGGERS:
-        may = may | F.contains(low, F.lit(word))
+
+    def worth(part: Column) -> Column:
+        some = F.lit(False)
+        for word in TRIGGERS:
+            some = some | F.contains(part, F.lit(word))
+        return some
+
     known = F.expr(f"map_from_arrays({_literals(list(KNOWN))}, {_literals(list(KNOWN.values()))})")
 
     def identify(sentence: Column) -> Column:
@@ -105,14 +109,8 @@ def sentence_ids(text: Column) -> Column:
             sentence = F.regexp_replace(sentence, pattern, to)
         return F.try_element_at(known, sentence)
 
-    def worth(sentence: Column) -> Column:
-        some = F.contains(sentence, F.lit("copy of")) | F.contains(sentence, F.lit("software"))
-        for word in TRIGGERS:
-            some = some | F.contains(sentence, F.lit(word))
-        return some
-
     found = F.transform(F.filter(F.split(low, SENTENCE_END), worth), identify)
-    return F.when(may, F.filter(found, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(worth(low), F.filter(found, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def licences_of(sequence: Column) -> Column:
