@@ -7,7 +7,9 @@ with the fewest phrases, normalised by log2 of its labelled length, wins.
 Fitting is bounded: ``sample_docs`` labelled documents a language, the least by a seeded hash, of which each
 gives ``sample_chars`` letters at most (64 x 600 by default); that bound is all that limits it. Prediction reads
 every letter: a text is parsed in segments of ``SEGMENT`` letters, so that long and short documents
-advance side by side in arrays; a border costs each language the same.
+advance side by side in arrays; a border costs each language the same. Every labelled letter is a symbol of its own: the
+``DENSE`` most frequent ones of a language have columns in its table, the transitions of its others are looked up in sorted
+keys, so that large alphabets cost memory by their text, not by their size.
 
 Edge cases: ``und`` (score 0) where the text is null or has no letter, or where nothing could be learned; equal
 counts go to the language that sorts first.
@@ -27,9 +29,9 @@ from pyspark.sql import types as T
 from .common import cut_lineage, held_out, if_small, map_arrow, texts
 
 SEGMENT = 512
-LETTERS = 62
-_STRIDE = LETTERS + 2  # 0: any other letter; the last: padding. Even, so that the lowest bit of a row's offset is free.
-_PAD = _STRIDE - 1
+DENSE = 61
+_STRIDE = DENSE + 3  # 0: no letter; DENSE + 1: any other letter; the last: padding. Even, so that the lowest bit of a row's offset is free.
+_OTHER, _PAD = DENSE + 1, DENSE + 2
 UNKNOWN = "und"
 
 
@@ -71,20 +73,58 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def parse_table(symbols: list[int]) -> np.ndarray:
-    """Flat table: at row + symbol stands the next row, with bit 0 set where a new phrase starts at this symbol."""
-    states = suffix_automaton(symbols)
-    table = np.full((len(states), _STRIDE), -1, np.int32)  # about 20 MB for 38,000 letters
-    for row, nexts in zip(table, states, strict=True):
-        if nexts:
-            row[list(nexts)] = list(nexts.values())
-    root = np.maximum(table[0], 0) * _STRIDE
-    new = table < 0
-    new[0] = True  # each symbol at the start begins a phrase
-    table *= _STRIDE
-    np.copyto(table, (root | 1).astype(np.int32), where=new)
-    table[:, _PAD] = np.arange(len(states)) * _STRIDE  # padding changes nothing
-    return table.ravel()
+class ParseTable:
+    """One language's automaton: at row + column stands the next row, with bit 0 set where a new phrase starts at this symbol."""
+
+    def __init__(self, symbols: np.ndarray, n_symbols: int):
+        """``symbols`` of the labelled text, of ``n_symbols`` in all; the last of these is padding."""
+        own, n = np.unique(symbols[symbols > 0], return_counts=True)
+        own = own[np.lexsort((own, -n))]
+        #: Of each symbol its column, and its number among the letters without one (0: none).
+        self.column = np.full(n_symbols, _OTHER, np.uint8)
+        self.rare = np.zeros(n_symbols, np.int64)
+        self.column[0], self.column[-1] = 0, _PAD
+        self.column[own[:DENSE]] = np.arange(1, len(own[:DENSE]) + 1)
+        self.rare[own[DENSE:]] = np.arange(1, len(own[DENSE:]) + 1)
+        self.width = len(own[DENSE:]) + 1
+        states = suffix_automaton(np.where(self.rare[symbols] > 0, _STRIDE + self.rare[symbols], self.column[symbols]).tolist())
+        table = np.full((len(states), _STRIDE), -1, np.int32)  # about 20 MB for 38,000 letters
+        keys, to = [], []
+        for k, (row, nexts) in enumerate(zip(table, states, strict=True)):
+            for c, x in nexts.items():
+                if c < _STRIDE:
+                    row[c] = x
+                else:
+                    keys.append(k * self.width + c - _STRIDE)
+                    to.append(x)
+        root = np.maximum(table[0], 0) * _STRIDE
+        new = table < 0
+        new[0] = True  # each symbol at the start begins a phrase
+        table *= _STRIDE
+        np.copyto(table, (root | 1).astype(np.int32), where=new)
+        table[:, _PAD] = np.arange(len(states)) * _STRIDE  # padding changes nothing
+        self.table = table.ravel()
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.array(keys, np.int64)[order], (np.array(to, np.int64)[order] * _STRIDE).astype(np.int32)
+        self.first = np.zeros(self.width, np.int32)  # the row after a rare letter that begins a phrase
+        at_root = self.keys < self.width
+        self.first[self.keys[at_root]] = self.to[at_root]
+
+    def phrases(self, columns: np.ndarray) -> np.ndarray:
+        """Number of phrases of each segment; ``columns`` holds the symbols of all segments place by place."""
+        row, total = np.zeros(columns.shape[1], np.int32), np.zeros(columns.shape[1], np.int32)
+        for symbols in columns:
+            now = self.table[row + self.column[symbols]]
+            if len(self.keys):
+                rare = self.rare[symbols]
+                some = np.flatnonzero(rare)
+                state, rare = row[some].astype(np.int64) // _STRIDE, rare[some]
+                key = state * self.width + rare
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                now[some] = np.where((self.keys[at] == key) & (state > 0), self.to[at], self.first[rare] | 1)
+            total += now & 1
+            row = now & ~1
+        return total
 
 
 class CrossParser:
@@ -92,19 +132,19 @@ class CrossParser:
         """``samples``: (language, labelled text), one for each language."""
         self.langs = [lang for lang, _ in samples]
         points = [_points(text.lower()) for _, text in samples]
-        letters, n = np.unique(np.concatenate([x[_is_letter()[x]] for x in points] or [np.zeros(0, np.uint32)]), return_counts=True)
-        chosen = letters[np.lexsort((letters, -n))][: LETTERS - 1]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[_is_letter()] = _PAD - 1  # a letter that the labelled text lacks
-        self.symbol[chosen] = np.arange(1, len(chosen) + 1)
-        self.tables = [parse_table(self.symbol[x].tolist()) for x in points]
+        letters = np.unique(np.concatenate([x[_is_letter()[x]] for x in points] or [np.zeros(0, np.uint32)]))
+        self.pad = len(letters) + 2
+        self.symbol = np.zeros(0x110000, np.min_scalar_type(self.pad))
+        self.symbol[_is_letter()] = self.pad - 1  # a letter that the labelled text lacks
+        self.symbol[letters] = np.arange(1, len(letters) + 1)
+        self.tables = [ParseTable(self.symbol[x], self.pad + 1) for x in points]
         self.bits = np.array([math.log2(max(len(x), 2)) for x in points])
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each document (symbols) under each language."""
         parts = np.array([-(-len(x) // SEGMENT) for x in docs], np.int64)
         starts = np.cumsum(parts) - parts
-        grid = np.full((parts.sum(), SEGMENT), _PAD, np.uint8)
+        grid = np.full((parts.sum(), SEGMENT), self.pad, self.symbol.dtype)
         flat = grid.reshape(-1)
         for x, at in zip(docs, starts * SEGMENT, strict=True):
             flat[at : at + len(x)] = x
@@ -112,13 +152,8 @@ class CrossParser:
         out = np.zeros((len(docs), len(self.langs)))
         some = parts > 0
         for k, table in enumerate(self.tables):
-            row, total = np.zeros(len(grid), np.int32), np.zeros(len(grid), np.int32)
-            for symbols in columns:
-                row = table[row + symbols]
-                total += row & 1
-                row &= ~1
             if some.any():
-                out[some, k] = np.add.reduceat(total, starts[some])
+                out[some, k] = np.add.reduceat(table.phrases(columns), starts[some])
         return out
 
     def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray]:

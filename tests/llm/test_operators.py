@@ -180,6 +180,30 @@ def test_phrases_equal_a_plain_parse():
             assert parser.phrases([seq])[0][k] == n
 
 
+def test_every_labelled_letter_tells_languages_apart():
+    """Three languages of one rare script and a large alphabet each, beside a common one that fills the dense columns."""
+    rng = random.Random(9)
+    common = "".join(rng.choice([chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)] + [" "]) for _ in range(9000))
+    rare = [[chr(0x4E00 + 200 * k + c) for c in range(150)] for k in range(3)]
+    speak = lambda letters, n: "".join(letters[min(int(rng.expovariate(0.03)), 149)] for _ in range(n))
+    samples = (("aa", common), *((f"r{k}", speak(letters, 1500)) for k, letters in enumerate(rare)))
+    parser = language.CrossParser(samples)
+    texts = [speak(letters, 700) for letters in rare] + [common[300:900], rare[0][0] * 40 + "ש" * 5]
+    assert parser.predict(texts)[0] == ["r0", "r1", "r2", "aa", "r0"]
+    for text in texts:
+        points = language._points(text)
+        for k, (_, learned) in enumerate(samples):
+            n = 0
+            for part in range(0, len(text), language.SEGMENT):
+                s, at = text[part : part + language.SEGMENT], 0
+                while at < len(s):
+                    end = at + 1
+                    while end < len(s) and s[at : end + 1] in learned:
+                        end += 1
+                    n, at = n + 1, end
+            assert parser.phrases([parser.symbol[points]])[0][k] == n
+
+
 def test_language_of_held_out_documents(docs, rows, empty):
     samples = language.learn(docs)
     assert [s[0] for s in samples] == ["de", "en"]
