@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder (``spark.checkpoint.dir``; a temporary one only where that is unset) and read back."""
+    """``df`` written to the checkpoint folder that the session names (``spark.checkpoint.dir``) and read back.
+
+    Lost executors then cost no recomputation of what came before. Where no folder is named, a local master (tests) gets a temporary one;
+    a cluster gets an error, as its machines share no such folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stopwise-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+            folder = tempfile.mkdtemp(prefix="stopwise-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
