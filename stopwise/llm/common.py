@@ -2,12 +2,11 @@
 
 Null ids and null texts are ordinary values everywhere in this subpackage: a null text counts as
 an empty one, a null id is kept in the output as null. Columns an operator does not name are
-never read, so extra columns with clashing names cannot disturb it.
+never read, so extra columns with clashing names cannot disturb it. Ids may be of any type that sorts.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import cut as cut_lineage
 from ..shipping import ship
 
 #: ASCII white space as the word rule ``[^\x20\x09-\x0D]+`` has it, for Java and DuckDB regular expressions.
@@ -36,16 +36,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return fold(doc_id) == 2
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
-
-    Lost executors then cost no recomputation of what came before. The folder is the one named by
-    ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stopwise-ckpt-"))
-    return df.checkpoint(eager=True)
+def row_key(*columns: str) -> Column:
+    """What a row is known by: two hashes of 64 bits over the values of ``columns``, null or not, so that 10^11 rows meet by chance about once in 10^16 corpora."""
+    values = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
 
 
 #: A table of so many narrow rows (hashes, ids) at most is broadcast: about 16 MB.
@@ -57,6 +51,35 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+#: A key of no more rows than this is left to one task.
+HOT_ROWS = 2_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each ``on``, which counts its rows in ``n_rows``) without putting a hot key into one task.
+
+    Keys of more than ``total / SMALL_ROWS`` rows are fewer than ``SMALL_ROWS`` if ``total`` is the number of ``rows``, so their part of ``table`` is
+    broadcast, by a proven bound; the others are shuffled.
+    """
+    above = max(HOT_ROWS, total // SMALL_ROWS)
+    if total <= above:
+        return rows.join(table.drop("n_rows"), on, how)
+    hot, cool = table.where(F.col("n_rows") > above).drop("n_rows"), table.where(F.col("n_rows") <= above).drop("n_rows")
+    keys = F.broadcast(hot.select(on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(keys, on, "left_anti").join(cool, on, how))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_arrow(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Apply ``work`` to Arrow batches cut to bounded size; rows stay in the partition they are in."""
 

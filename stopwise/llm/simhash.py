@@ -12,10 +12,13 @@ sorted by Gray rank, so that neighbours differ in few bits; runs of eight form a
 stores the bits they all share as mask and pattern, eight of these a higher one, and so on to the
 node's root. The search descends pairs of nodes at once and drops a pair as soon as the shared bits
 that differ exceed the radius, which prunes whole groups, or when both are already connected.
-A node emits the edges of a spanning forest, never all its pairs.
+A node emits the links of a spanning forest, never all its pairs.
+
+A fingerprint or component with a large share of the rows is met by a broadcast of its own row
+(``common.spread_join``), never put into one task.
 
 Edge cases: null, empty and blank texts have fingerprint 0 and link like any other. Texts of
-fewer than three words are one shingle. Null ids keep their row; a group's id ignores nulls.
+fewer than three words are one shingle. Null ids keep their row; a group's id ignores nulls. Ids may be numbers or texts.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut_lineage, if_small, map_arrow, raw_texts
+from .common import cut_lineage, fresh, if_small, map_arrow, raw_texts, row_key, spread_join
 from .components import components
 
 WIDTH, SEED, RADIUS = 3, 42, 3
@@ -62,15 +65,15 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, fp): the fingerprint as a signed long, and a hash of id and text."""
+    """(doc_id, key, fp): the fingerprint as a signed long, and what the row is known by."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.fromiter(map(fingerprint, raw_texts(batch.column(2))), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "key", "fp"])
 
-    who = F.col(id_col).cast("long")
-    narrow = docs.select(who.alias("doc_id"), F.xxhash64(who, text_col).alias("key"), F.col(text_col).alias("text"))
-    return map_arrow(narrow, "doc_id long, key long, fp long", work)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return map_arrow(narrow, f"doc_id {kind}, key struct<a: long, b: long>, fp long", work)
 
 
 def _gray_rank(code: Column) -> Column:
@@ -120,10 +123,11 @@ def upper_nodes(distinct: DataFrame, node_limit: int) -> DataFrame:
 
 
 class Forest:
-    """Least member of each item's set, as arrays."""
+    """Least member of each item's set, as arrays, and the links that made the sets."""
 
     def __init__(self, n: int):
         self.of = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
 
     def link(self, u: np.ndarray, v: np.ndarray) -> None:
         while len(u):
@@ -132,7 +136,12 @@ class Forest:
             if not apart.any():
                 return
             u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            one = np.flatnonzero(np.r_[True, high[1:] != high[:-1]])  # each set is hooked to the least one it links to
+            self.of[high[one]] = low[one]
+            self.links.append((u[order[one]], v[order[one]]))
             while True:
                 up = self.of[self.of]
                 if (up == self.of).all():
@@ -170,7 +179,7 @@ def _children(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
 
 
 def spanning_links(codes: np.ndarray, groups: np.ndarray, radius: int = RADIUS, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, least member) of a spanning forest of the links within each group.
+    """Links (member, member) of a spanning forest of the links within each group.
 
     ``codes`` are sorted by group, then by Gray rank. Memory: the tree and about ``64 * chunk`` pairs.
     """
@@ -206,12 +215,12 @@ def spanning_links(codes: np.ndarray, groups: np.ndarray, radius: int = RADIUS,
             pairs += len(a)
             if pairs > 4 * len(codes):  # many links: from now on leave out what is connected already
                 whole, pairs = connected(), 0
-    child = np.flatnonzero(forest.of != np.arange(len(codes)))
-    return child, forest.of[child]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(u for u, _ in forest.links)]), np.concatenate([none, *(v for _, v in forest.links)])
 
 
 def link_edges(distinct: DataFrame, node_limit: int = 50_000, radius: int = RADIUS) -> DataFrame:
-    """(u, v) over distinct fingerprints: edges that connect exactly what links within ``radius`` bits connect."""
+    """(u, v) over distinct fingerprints: links within ``radius`` bits that connect exactly what all such links connect."""
     if radius >= len(BLOCKS[0]):
         raise ValueError("radius must be below the number of blocks")
 
@@ -250,16 +259,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, node_limit: int) -> DataFrame:
-    """(doc_id, key, fp, root, component_id): ``key`` is a hash of id and text, ``root`` a fingerprint that stands for the component."""
+    """(doc_id, key, fp, root, component_id): ``root`` is a fingerprint that stands for the component."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")))
     star = components(link_edges(distinct.select("fp"), node_limit))
     member = star.union(star.select(F.col("root").alias("node"), "root").distinct())
-    known = distinct.join(member.select(F.col("node").alias("fp"), "root"), "fp")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = known.join(least, "root").select("fp", "root", "component_id")
-    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "key", "fp", "root", "component_id")
+    known = cut_lineage(distinct.join(member.select(F.col("node").alias("fp"), "root"), "fp"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
+    moved = spread_join(known.select("fp", "root"), least, "root", known.count())
+    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"), "n_rows")
+    return spread_join(prints, cut_lineage(of), "fp", prints.count()).select("doc_id", "key", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -267,7 +276,7 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node_limit: int = 50_000) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id, nulls last. Rows that are equal in id and text count as one."""
+    """``docs`` with one row of each group: that of the least id, nulls last; of rows equal in id and text the least of all columns."""
     return keep_least(docs, cut_lineage(_grouped(docs, id_col, text_col, node_limit)), id_col, text_col)
 
 
@@ -275,11 +284,13 @@ def keep_least(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> Da
     """``docs`` with one row of each ``root`` of ``of`` (doc_id, key, root), which has to be cut from its lineage."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("x")
     kept = of.groupBy("root").agg(first).select("x.key")
-    gone = cut_lineage(of.select("key").distinct().join(kept, "key", "left_anti").withColumnRenamed("key", "__gone"))
-    repeated = cut_lineage(of.groupBy("key").count().where("count > 1").select(F.col("key").alias("__again")))
-    key = F.xxhash64(F.col(id_col).cast("long"), text_col)
-    left = docs.join(if_small(gone), key == F.col("__gone"), "left_anti")
+    gone = cut_lineage(of.select("key").distinct().join(kept, "key", "left_anti"))
+    repeated = cut_lineage(of.groupBy("key").count().where("count > 1").select("key"))
+    (own,) = fresh(docs, "key")
+    gone, again = if_small(gone.withColumnRenamed("key", own)), if_small(repeated.withColumnRenamed("key", own))
+    keyed = docs.withColumn(own, row_key(id_col, text_col))
+    left = keyed.join(gone, own, "left_anti")
     if repeated.isEmpty():
-        return left
-    once = left.join(if_small(repeated), key == F.col("__again"), "left_semi").withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
-    return left.join(if_small(repeated), key == F.col("__again"), "left_anti").unionByName(once)
+        return left.drop(own)
+    once = left.join(again, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return left.join(again, own, "left_anti").drop(own).unionByName(once)
