@@ -36,7 +36,8 @@ IDENT = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key(?
 KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
 URL = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
 IPV4 = re.compile(r"(?<![0-9.])[0-9]{1,3}\.(?:[0-9]{1,3}\.){2}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])")
-HOST = re.compile(r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b", re.A)
+# possessive, and begun only where a run of host letters begins, so that each letter is read once
+HOST = re.compile(r"(?<![A-Za-z0-9_.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}\b", re.A)
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 #: What a part can serve as: identifier, secret, endpoint.
 ROLE = {"assign": "s", "access": "i", "hex": "s", "ident": "i", "key": "s", "endpoint": "e"}
