@@ -1,8 +1,8 @@
 """Quality rules, line first.
 
-Each line is judged by itself: lines that are navigation, boilerplate, mostly symbols, or that stop without closing
-punctuation fail and are removed. A document is rejected if too much of its text goes with them. Independent
-of that, the base measures reject texts that are too short or repeat themselves.
+Each line is judged by itself: lines that are navigation, boilerplate, mostly symbols, or that neither end with closing
+punctuation nor have a sentence's end inside fail and are removed (``cleaned`` gives the texts without them). A document is rejected if more
+than ``MAX_LOST`` percent of its text goes with them. Independent of that, the base measures reject texts that are too short or repeat themselves.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Edge cases: null and empty texts have no word and fail the base rules; a blank
 line is neither removed nor a duplicate; no text is cut.
@@ -20,14 +20,24 @@ from pyspark.sql import functions as F
 from .common import map_arrow, texts
 
 MIN_WORDS, MAX_REPEATED, MAX_LOST = 50, 50, 50
-# Symbols that are counted, closing punctuation, words of menus and of page frames.
+# White space of the word rule; symbols that are counted, closing punctuation, words of menus and of page frames.
+BLANK = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 CLOSING = ".!?…。！？:;\"'”’»)]"
-MENU = frozenset("home about contact login register search menu sitemap next previous share subscribe help faq terms privacy".split())
-BOILERPLATE = ("cookie policy", "use of cookies", "terms of use", "terms of service", "privacy policy", "all rights reserved", "javascript", "lorem ipsum", "powered by", "click here", "sign up for")
+MENU = frozenset(
+    "home about contact login register search menu sitemap next previous share subscribe help faq terms privacy sitemap settings cart checkout logout blog news archive tags categories "
+    "accueil contact connexion inscription recherche suivant précédent partager aide mentions confidentialité panier actualités "
+    "startseite kontakt anmelden registrieren suche weiter zurück teilen hilfe impressum datenschutz agb warenkorb "
+    "inicio contacto acceder registrarse buscar siguiente anterior compartir ayuda privacidad carrito noticias".split()
+)
+BOILERPLATE = (
+    "cookie policy", "use of cookies", "terms of use", "terms of service", "privacy policy", "all rights reserved", "javascript", "lorem ipsum", "powered by", "click here", "sign up for",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilisation de cookies", "mentions légales", "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendung von cookies",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "uso de cookies", "aviso legal")
 #: Fewer words than this make no sentence of their own; such lines may end without punctuation (headings).
 HEADING_WORDS = 8
-_SENTENCE_END = re.compile(r"[.!?…。！？][\s\"'”’»)\]]")
+_SENTENCE_END = re.compile(r"[.!?…。！？][\x20\x09-\x0D\"'”’»)\]]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def line_fails(line: str, symbols: bool = True, phrases: bool = True) -> str:
@@ -35,7 +45,7 @@ def line_fails(line: str, symbols: bool = True, phrases: bool = True) -> str:
 
     ``symbols`` and ``phrases`` are false where the whole text is known to have none of them.
     """
-    words = line.split()
+    words = _WORD.findall(line)
     if symbols:
         bars, marks = line.count("|"), sum(map(line.count, SYMBOLS))
         if 4 * bars >= max(len(words), 1):
@@ -46,7 +56,7 @@ def line_fails(line: str, symbols: bool = True, phrases: bool = True) -> str:
         return "navigation"
     if phrases and len(words) <= 40 and any(p in line.lower() for p in BOILERPLATE):
         return "boilerplate"
-    if len(words) >= HEADING_WORDS and line.rstrip()[-1] not in CLOSING and not _SENTENCE_END.search(line):
+    if len(words) >= HEADING_WORDS and line.rstrip(BLANK)[-1] not in CLOSING and not _SENTENCE_END.search(line):
         return "punctuation"
     return ""
 
@@ -74,7 +84,7 @@ def measure(text: str) -> tuple[int, int, int, int, int, int, int, str]:
     duplicate = whole = lost = 0
     reasons: Counter[str] = Counter()
     for line in text.split("\n"):
-        if not line.strip(" \t\n\v\f\r"):
+        if not line.strip(BLANK):
             continue
         duplicate += line in seen
         seen.add(line)
@@ -83,13 +93,26 @@ def measure(text: str) -> tuple[int, int, int, int, int, int, int, str]:
             lost += len(line)
             reasons[why] += len(line)
     reason = min(reasons, key=lambda k: (-reasons[k], k)) if reasons else ""
-    chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
+    chars = len(text) - sum(map(text.count, BLANK))
     return len(words), chars, symbols, duplicate, repeated_words(words), whole, lost, reason
 
 
 def clean(text: str) -> str:
     """The text without the lines that fail."""
-    return "\n".join(line for line in text.split("\n") if not line.strip(" \t\n\v\f\r") or not line_fails(line))
+    return "\n".join(line for line in text.split("\n") if not line.strip(BLANK) or not line_fails(line))
+
+
+def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with each text less its lines that fail; null stays null."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        arrays = list(batch.columns)
+        arrays[at] = pa.array([None if x is None else clean(x) for x in arrays[at].to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    return map_arrow(docs, docs.schema, work)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +156,7 @@ ruled as (select k, l, nth, case
   when 10 * marks > length(l) or 3 * marks > greatest(len(w), 1) then 'symbols'
   when len(w) <= 12 and 2 * len(list_filter(w, lambda x: list_contains({menu}, lower(trim(x, '.,:;>»'))))) > len(w) then 'navigation'
   when len(w) <= 40 and ({phrases}) then 'boilerplate'
-  when len(w) >= {HEADING_WORDS} and not regexp_matches(l, {q("[" + closing + "]" + r"\s*$")}) and not regexp_matches(l, {q(_SENTENCE_END.pattern)}) then 'punctuation' else '' end as why from used),
+  when len(w) >= {HEADING_WORDS} and not regexp_matches(l, {q("[" + closing + "]" + r"[\x20\x09-\x0D]*$")}) and not regexp_matches(l, {q(_SENTENCE_END.pattern)}) then 'punctuation' else '' end as why from used),
 per as (select k, sum(length(l))::bigint as line_chars, sum(case when why <> '' then length(l) else 0 end)::bigint as lost_chars, count(*) filter (nth > 1) as n_dup_lines from ruled group by k),
 main as (select k, why from (select k, why, row_number() over (partition by k order by sum(length(l)) desc, why) as n from ruled where why <> '' group by k, why) where n = 1),
 base as (select ws.k, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, {symbols.format("text")}::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
