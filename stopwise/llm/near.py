@@ -1,16 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, completed to every pair of a Jaccard similarity of 4/5 or more.
 
 A document's set holds its distinct 5-word shingles (as ``simhash`` splits words), as 64-bit hashes. Two documents link
-when the Jaccard similarity of their sets is at least 4/5; one connected component is one group.
+when the Jaccard similarity of their sets is at least 4/5; one connected component is one group. Equal sets are one node.
 
-Search. Equal sets are merged to one node first. Under any total order of the shingles, two sets of that similarity share one
+Search. The SimHash of a set and the Gray-order index (``simhash.link_edges``) find sets that differ little; each link is confirmed on
+the whole sets. At a similarity of 4/5 two fingerprints of 64 bits differ in 10 bits as a rule, far beyond what an index of that kind
+can search, so the rest is found by prefixes: under any total order of the shingles, two sets of that similarity share one
 of their first ``n - ceil(4n/5) + 1``, so every node is filed under those alone and no link is lost. The order puts shingles
-that are frequent in a sample of documents last, which keeps the lists short; the sample changes the time only, never
-the result. Pairs of a list are left out when their sizes or the parities of their sets rule the similarity out. A list of more
-than ``LIST`` nodes is first linked to its least node alone; what is still apart after that is compared in a
-second round. Candidates are confirmed on their whole sets.
+that are frequent in a sample of documents last, which keeps the lists short; the sample changes the time only, never the result.
 
-Edge cases: null, empty and blank texts are one group. Texts of up to five words are one shingle. Null ids keep their row.
+Lists of up to ``SHORT`` nodes give their pairs that are apart so far and whose sizes and parities allow the similarity. Longer ones
+never give all pairs: their nodes are compared by sketches (parities of at least twice as many parts as shingles, which differ in no more
+places than the sets), from the most central on, and only the pairs of a spanning forest go on to be confirmed on the whole sets. A list of which a
+pair fails is gone through again without the failed pairs, until none fails. Lists of more than ``BLOCK`` nodes are dealt out by pairs of blocks.
+
+Edge cases: null, empty and blank texts are one group. Texts of up to five words are one shingle. Null ids keep their row. Ids may be numbers or texts.
 """
 
 from __future__ import annotations
@@ -20,23 +24,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut_lineage, if_small, map_arrow, raw_texts
+from .common import cut_lineage, if_small, map_arrow, raw_texts, row_key, spread_join
 from .components import components
-from .simhash import keep_least
+from .simhash import bit_totals, keep_least, link_edges
 
 WIDTH = 5
-LIST = 32
-#: Least number of longs of parities by which sets are compared before they are moved; their exclusive or, one long, is kept in the lists.
+SHORT, BLOCK = 4, 2048
+#: Times that a list is gone through by forests; after that all its pairs are given.
+ROUNDS = 2
+#: Least number of longs of a sketch; the exclusive or of its longs, the parities of 64 parts, is kept in the lists.
 SKETCH = 16
 #: Documents of the sample, the share of them (as a count) from which a shingle is frequent, and how many frequent ones are known.
 SAMPLE, FREQUENT, KNOWN = 12_000, 3, 200_000
 #: Only shingles below this are counted, as heads hold few others.
 LOW = np.uint64(int(0.4 * 2**64))
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+_NONE = np.zeros(0, np.int64)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -53,6 +60,11 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(33)))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set."""
+    return int(np.packbits(bit_totals(found) * 2 > len(found), bitorder="little").view(np.int64)[0]) if len(found) else 0
+
+
 def parities(found: np.ndarray) -> np.ndarray:
     """Of each of some parts of the shingles, whether the set holds an odd number; sets differ in at least as many shingles as parities.
 
@@ -71,17 +83,19 @@ def head(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~late], found[late]])[: n - (4 * n + 4) // 5 + 1]
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), text_col)
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     at = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    values = np.concatenate([*(x.view(np.int64) for x in arrays), np.zeros(0, np.int64)])
+    values = np.concatenate([*(x.view(np.int64) for x in arrays), _NONE])
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
 
-def _frequent(docs: DataFrame, text_col: str, key: Column) -> np.ndarray:
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """Each list as an array; null as empty."""
+    values, at = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Shingles of at least ``FREQUENT`` documents of the sample, ``KNOWN`` at most."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -89,26 +103,34 @@ def _frequent(docs: DataFrame, text_col: str, key: Column) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
 
     every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(key, F.lit(every)) == 0).select(F.col(text_col).alias("text"))
+    sample = docs.where(F.pmod(row_key(id_col, text_col)["a"], F.lit(every)) == 0).select(F.col(text_col).alias("text"))
     rows = map_arrow(sample, "h long", work).groupBy("h").count().where(F.col("count") >= FREQUENT)
     most = rows.orderBy(F.desc("count"), "h").limit(KNOWN).select("h").toArrow().column(0)
     return np.sort(most.to_numpy().view(np.uint64))
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, node, n, parity, sketch, head): ``node`` stands for the set, ``key`` is a hash of id and text."""
-    frequent = _frequent(docs, text_col, _key(id_col, text_col))
+    """(doc_id, key, node, check, n, fp, parity, sketch, head): ``node`` and ``check`` are hashes of the set."""
+    frequent = _frequent(docs, id_col, text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x) for x in raw_texts(batch.column(2))]
-        node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+        whole = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
+        node, check = (np.array([x >> s & 2**64 - 1 for x in whole], np.uint64).view(np.int64) for s in (0, 64))
         odd = [parities(x) for x in sets]
         folded = np.array([np.bitwise_xor.reduce(x) for x in odd], np.int64)  # parities of 64 coarser parts
-        made = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(folded), _lists(odd), _lists([head(x, frequent) for x in sets])]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "key", "node", "n", "parity", "sketch", "head"])
+        made = [pa.array(node), pa.array(check), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array(folded), _lists(odd), _lists([head(x, frequent) for x in sets])]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "key", "node", "check", "n", "fp", "parity", "sketch", "head"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return map_arrow(narrow, "doc_id long, key long, node long, n int, parity long, sketch array<long>, head array<long>", work)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    prints = cut_lineage(map_arrow(narrow, f"doc_id {kind}, key struct<a: long, b: long>, node long, check long, n int, fp long, parity long, sketch array<long>, head array<long>", work))
+    # of different sets that meet in 64 bits by chance the node takes up the other 64 bits too
+    clash = cut_lineage(prints.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node"))
+    if clash.isEmpty():
+        return prints
+    other = prints.join(if_small(clash), "node", "left_semi").withColumn("node", F.xxhash64("node", "check")).select(prints.columns)
+    return cut_lineage(prints.join(if_small(clash), "node", "left_anti").select(prints.columns).union(other))
 
 
 def _possible(n: np.ndarray, parity: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,88 +138,148 @@ def _possible(n: np.ndarray, parity: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (9 * np.bitwise_count((parity[a] ^ parity[b]).view(np.uint64)).astype(np.int64) <= na + nb)
 
 
-def _pairs(token: np.ndarray, n: np.ndarray, root: np.ndarray, whole: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of each list that may link and are apart; of a list of more than ``most`` those with its first place unless ``whole``."""
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[starts, len(token)])
-    end = np.repeat(starts + size, size)
-    short = np.repeat(size <= most, size)
-    for k in range(1, min(int(size.max()), most)):
-        a = np.flatnonzero(short & (np.arange(len(token)) + k < end))
-        yield a, a + k
-    for at, many in zip(starts[size > most].tolist(), size[size > most].tolist(), strict=True):
-        for i in range(at, at + many - 1 if whole else at + 1):
-            b = np.arange(i + 1, at + many)
-            if whole:  # members are sorted by size
-                b = b[: np.searchsorted(n[i + 1 : at + many], n[i] * 5 // 4, side="right")]
-                b = b[root[b] != root[i]]
-            yield np.full(len(b), i), b
-
-
-def candidates(filed: DataFrame, whole: bool, most: int) -> DataFrame:
-    """(a, b, token): pairs of nodes to confirm; for a list that is not compared as a whole also its ``token``, with null nodes."""
+def _groups(batches: Iterator[pa.RecordBatch], width: int, enough: int) -> Iterator[list[pa.Array]]:
+    """Columns of whole runs of equal values in the first ``width`` columns, which are sorted and never null."""
+    held: list[pa.RecordBatch] = []
+    rows, least = 0, enough
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            ids = [whole.column(k).to_numpy() for k in range(width)]
+            new = np.zeros(rows - 1, bool)
+            for x in ids:
+                new |= x[1:] != x[:-1]
+            start = int(np.flatnonzero(np.r_[True, new])[-1])
+            if start:  # the last run may go on in the next batch
+                yield [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.slice(0, start).columns]
+                held, rows = whole.slice(start).to_batches(), rows - start
+            least = max(enough, 2 * rows)
+    if rows:
+        yield [c.combine_chunks() for c in pa.Table.from_batches(held).combine_chunks().columns]
+
+
+def short_pairs(filed: DataFrame, most: int) -> DataFrame:
+    """(a, b, token, size) of (token, node, root, n, parity): pairs of nodes to confirm, from lists of up to ``most``; of a longer list its token and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, node, n, parity, *root = held
-            a, b, waiting = [], [], 0
-            some = np.zeros(0, np.int64)
-            for x, y in _pairs(token, n, root[0] if whole else node, whole, most):
-                keep = _possible(n, parity, x, y)
-                a.append(np.minimum(node[x[keep]], node[y[keep]]))
-                b.append(np.maximum(node[x[keep]], node[y[keep]]))
-                waiting += len(a[-1])
-                if waiting > 100_000:
-                    yield made(a, b, some)
-                    a, b, waiting = [], [], 0
-            if not whole:
-                token, size = np.unique(token, return_counts=True)
-                some = token[size > most]
-            yield made(a, b, some)
-
-        def made(a: list[np.ndarray], b: list[np.ndarray], token: np.ndarray) -> pa.RecordBatch:
-            pairs = np.unique(np.stack([np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])], axis=1), axis=0)
-            nodes = [pa.concat_arrays([pa.array(np.ascontiguousarray(x)), pa.nulls(len(token), pa.int64())]) for x in pairs.T]
-            return pa.RecordBatch.from_arrays([*nodes, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(token)])], ["a", "b", "token"])
-
-        held: list[list[np.ndarray]] = []
-        rows, enough = 0, 50_000
-        for batch in batches:
-            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
-            rows += batch.num_rows
-            if rows >= enough:
-                held = [[np.concatenate(x) for x in zip(*held, strict=True)]]
-                start = int(np.flatnonzero(np.r_[True, held[0][0][1:] != held[0][0][:-1]])[-1])
-                if start:  # the last list may go on in the next batch
-                    yield from found([x[:start] for x in held[0]])
-                    held, rows = [[x[start:] for x in held[0]]], rows - start
-                enough = max(50_000, 2 * rows)
-        if rows:
-            yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
+        for columns in _groups(batches, 1, 50_000):
+            token, node, root, n, parity = (x.to_numpy(zero_copy_only=False) for x in columns)
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[starts, len(token)])
+            end, short = np.repeat(starts + size, size), np.repeat(size <= most, size)
+            a, b = [_NONE], [_NONE]
+            for k in range(1, most):
+                x = np.flatnonzero(short & (np.arange(len(token)) + k < end))
+                x = x[(root[x] != root[x + k]) & _possible(n, parity, x, x + k)]
+                a.append(np.minimum(node[x], node[x + k]))
+                b.append(np.maximum(node[x], node[x + k]))
+            apart = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            long = apart & (size > most)
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            nodes = [pa.concat_arrays([pa.array(np.ascontiguousarray(x)), pa.nulls(int(long.sum()), pa.int64())]) for x in pairs.T]
+            rest = [pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(x)]) for x in (token[starts[long]], size[long].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*nodes, *rest], ["a", "b", "token", "size"])
 
     ship(filed.sparkSession)
-    dealt = filed.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "parity", *(["root"] if whole else []))
-    return dealt.mapInArrow(run, "a long, b long, token long")
+    dealt = filed.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "root", "n", "parity")
+    return dealt.mapInArrow(run, "a long, b long, token long, size long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): the pairs (a, b) of nodes whose whole sets are similar enough."""
+def forest(node: np.ndarray, root: np.ndarray, n: np.ndarray, parity: np.ndarray, sketch: list[np.ndarray], failed: list[np.ndarray], side: np.ndarray | None, whole: bool) -> list[tuple[int, int]]:
+    """Pairs of places whose sketches allow the similarity, as many as connect what they connect; with ``whole`` all of them that are apart.
+
+    ``failed`` names nodes that are known not to link. With ``side``, only pairs of different sides count.
+    """
+    odd = np.unpackbits(parity.view(np.uint8).reshape(-1, 8), axis=1)
+    middle = np.packbits(2 * odd.sum(axis=0) > len(odd)).view(np.int64)[0]
+    order = np.lexsort((node, np.bitwise_count((parity ^ middle).view(np.uint64))))
+    length = np.array([len(x) for x in sketch])
+    place = np.zeros(len(node), np.int64)
+    rows = {}
+    for size in np.unique(length).tolist():
+        some = np.flatnonzero(length == size)
+        rows[size] = np.stack([sketch[k] for k in some.tolist()]).view(np.uint64)
+        place[some] = np.arange(len(some))
+    part = np.unique(root, return_inverse=True)[1]
+    left = np.ones(len(node), bool)
+    out = []
+    for i in order.tolist():
+        left[i] = False
+        able = left & (part != part[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        if side is not None:
+            able &= side != side[i]
+        able = np.flatnonzero(able)
+        if not len(able):
+            if not (part != part[i]).any():
+                break
+            continue
+        mine, near = sketch[i].view(np.uint64), [_NONE]
+        for size in {len(mine) // 2, len(mine), 2 * len(mine)} & rows.keys():
+            some = able[length[able] == size]
+            theirs, own = rows[size][place[some]], mine
+            if size > len(mine):
+                theirs = theirs[:, : len(mine)] ^ theirs[:, len(mine) :]
+            elif size < len(mine):
+                own = mine[:size] ^ mine[size:]
+            near.append(some[9 * np.bitwise_count(theirs ^ own).sum(axis=1, dtype=np.int64) <= n[some].astype(np.int64) + n[i]])
+        near = np.concatenate(near)
+        if len(failed[i]):
+            near = near[~np.isin(node[near], failed[i])]
+        if whole:
+            out += [(i, k) for k in near.tolist()]
+        elif len(near):
+            parts, first = np.unique(part[near], return_index=True)
+            out += [(i, k) for k in near[first].tolist()]
+            part[np.isin(part, parts)] = part[i]
+    return out
+
+
+def long_pairs(rows: DataFrame, whole: bool) -> DataFrame:
+    """(a, b, token) of (token, low, high, side, node, root, n, parity, sketch, failed): pairs of nodes to confirm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _groups(batches, 3, 4_000):
+            token, low, high, side, node, root, n, parity = (x.to_numpy(zero_copy_only=False) for x in columns[:8])
+            sketch, failed = _arrays(columns[8]), _arrays(columns[9])
+            cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True])
+            a, b, t = [], [], []
+            for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                sides = side[x:y] if low[x] != high[x] else None
+                for i, k in forest(node[x:y], root[x:y], n[x:y], parity[x:y], sketch[x:y], failed[x:y], sides, whole):
+                    a.append(min(node[x + i], node[x + k]))
+                    b.append(max(node[x + i], node[x + k]))
+                    t.append(token[x])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)) for v in (a, b, t)], ["a", "b", "token"])
+
+    ship(rows.sparkSession)
+    dealt = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node").select("token", "low", "high", "side", "node", "root", "n", "parity", "sketch", "failed")
+    return dealt.mapInArrow(run, "a long, b long, token long")
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x) for x in raw_texts(batch.column(1))])], ["node", "s"])
 
-    sketch = prints.select("node", "n", "sketch").dropDuplicates(["node"])
+def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches allow the similarity."""
     for side in ("a", "b"):
-        pairs = pairs.join(sketch.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch{side}")), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch{side}")), side)
     # sizes of a pair differ by a quarter at most, so that the longer sketch is folded once if at all
     k, m = "cast(k as int)", "least(size(sketcha), size(sketchb))"
     fold = " ^ ".join(f"get(sketch{x}, {k}) ^ coalesce(get(sketch{x}, {k} + {m}), 0L)" for x in "ab")
     apart = f"aggregate(sequence(0, {m} - 1), 0, (n, k) -> n + bit_count({fold}))"
-    pairs = cut_lineage(pairs.where(f"9 * ({apart}) <= na + nb").select("a", "b"))
+    sizes = "5 * least(na, nb) >= 4 * greatest(na, nb)"
+    return pairs.where(sizes).where(f"9 * ({apart}) <= na + nb").select("a", "b")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): the pairs (a, b) of nodes whose whole sets are similar enough; ``pairs`` has to be cut from its lineage."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x) for x in raw_texts(batch.column(1))])], ["node", "s"])
+
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    key = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("__key"))
-    key = if_small(cut_lineage(key.withColumnRenamed("node", "__node")))
-    rows = docs.select(_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text")).join(key, "__key").select(F.col("__node").alias("node"), "text")
+    key = prints.select("node", "key").join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    key = if_small(cut_lineage(key))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(key, "key").select("node", "text")
     sets = map_arrow(rows, "node long, s array<long>", work).dropDuplicates(["node"])  # one exchange serves both joins
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -206,26 +288,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, id_col: str,
 def _roots(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge."""
     star = components(edges)
-    return star.union(star.select(F.col("root").alias("node"), "root").distinct())
+    return cut_lineage(star.union(star.select(F.col("root").alias("node"), "root").distinct()))
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LIST) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """(doc_id, key, root): one row for each row of ``docs``; ``root`` is a node that stands for the group."""
-    prints = cut_lineage(sets_of(docs, id_col, text_col))
-    nodes = prints.select("node", "n", "parity", "head").dropDuplicates(["node"])
-    filed = nodes.select(F.explode("head").alias("token"), "node", "n", "parity")
-    first = cut_lineage(candidates(filed, False, most))
-    pairs = first.where("token is null").select("a", "b").distinct()
-    edges = cut_lineage(confirmed(cut_lineage(pairs), docs, prints, id_col, text_col))
-    roots = cut_lineage(_roots(edges))
-    long = cut_lineage(first.where("token is not null").select("token").distinct())
-    if not long.isEmpty():
-        again = filed.join(if_small(long), "token", "left_semi").join(if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = candidates(again, True, most).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        roots = cut_lineage(_roots(edges.union(confirmed(cut_lineage(more), docs, prints, id_col, text_col))))
-    return prints.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LIST) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id, nulls last. Rows that are equal in id and text count as one."""
-    return keep_least(docs, cut_lineage(grouped(docs, id_col, text_col, most)), id_col, text_col)
+    prints = sets_of(docs, id_col, text_col)
+    counts = cut_lineage(prints.groupBy("node").agg(F.count("*").alias("n_rows")))
+    many = if_small(cut_lineage(counts.where("n_rows > 1").select("node")))
+    shape = ["node", "n", "fp", "parity", "sketch", "head"]
+    # heads are moved only where a node has several rows
+    nodes = prints.join(many, "node", "left_anti").select(shape).union(prints.join(many, "node", "left_semi").select(shape).dropDuplicates(["node"]))
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(confirmed(pairs, docs, prints, id_col, text_col))
+
+    def more(roots: DataFrame, edges: DataFrame) -> DataFrame:
+        return roots if edges.isEmpty() else _roots(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges))
+
+    # what SimHash finds
+    prints_of = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n_rows")))
+    equal = spread_join(nodes.select("node", "fp"), prints_of, "fp", counts.count()).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = cut_lineage(link_edges(prints_of.select("fp")))
+    least = prints_of.select("fp", "least")
+    links = links.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
+    roots = _roots(proven(cut_lineage(screened(equal.union(links).distinct(), nodes))))
+    # short lists
+    at = F.coalesce("root", "node").alias("root")
+    filed = nodes.join(if_small(roots), "node", "left").select(F.explode("head").alias("token"), "node", at, "n", "parity")
+    first = cut_lineage(short_pairs(filed, short))
+    roots = more(roots, proven(cut_lineage(screened(first.where("token is null").select("a", "b").distinct(), nodes))))
+    # long lists
+    long = cut_lineage(first.where("token is not null").select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    failed = long.limit(0).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    for turn in range(ROUNDS + 1):
+        if long.isEmpty():
+            break
+        rows = nodes.select(F.explode("head").alias("token"), "node").join(if_small(long), "token")
+        rows = rows.join(nodes.select("node", "n", "parity", "sketch"), "node").join(if_small(roots), "node", "left")
+        bad = failed.union(failed.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        rows = rows.join(bad, "node", "left").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # first within blocks, then between any two
+        others = F.array("side") if not turn else F.sequence(F.lit(0), F.col("blocks") - 1)
+        rows = rows.select("token", "node", at, "n", "parity", "sketch", "side", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"), F.explode(others).alias("other"))
+        rows = rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+        found = cut_lineage(long_pairs(rows, turn == ROUNDS))
+        pairs = cut_lineage(found.select("a", "b").distinct())
+        good = proven(pairs)
+        roots = more(roots, good)
+        wrong = cut_lineage(pairs.join(good.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"))
+        again = found.join(wrong, ["a", "b"], "left_semi").select("token").distinct()
+        if not turn:
+            again = again.union(long.where("blocks > 1").select("token")).distinct()
+        failed = cut_lineage(failed.union(wrong))
+        long = cut_lineage(long.join(again, "token", "left_semi"))
+    of = counts.join(roots, "node", "left").select("node", at, "n_rows")
+    return spread_join(prints.select("doc_id", "key", "node"), cut_lineage(of), "node", prints.count()).select("doc_id", "key", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group: that of the least id, nulls last; of rows equal in id and text the least of all columns."""
+    return keep_least(docs, cut_lineage(grouped(docs, id_col, text_col, short, block)), id_col, text_col)

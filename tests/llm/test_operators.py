@@ -92,10 +92,12 @@ def test_gray_order_index_loses_no_link(seed):
 
     codes.sort(key=gray)
     u, v = simhash.spanning_links(np.array(codes, np.uint64), np.zeros(len(codes), int), chunk=64)
+    assert all((codes[a] ^ codes[b]).bit_count() <= 3 for a, b in zip(u.tolist(), v.tolist(), strict=True))  # links, not only paths
     found = list(range(len(codes)))
     for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        found[a] = b
+        found = [found[b] if r == found[a] else r for r in found]
     want = slow_sets(codes)
+    assert len(u) == len(codes) - len(set(want))
     classes = lambda x: {frozenset(k for k in range(len(x)) if x[k] == r) for r in set(x)}
     assert classes(found) == classes(want)
 
@@ -265,7 +267,7 @@ CASES = [
     (11, ITEMS[0][1].replace("120", "77").replace("45", "9").replace("3 hours", "8 hours").upper(), {1: False}),
     (12, "what remains when the second quiet river meets Bertha near the long wooden bridge after midnight today", {2: False}),
     (13, "Nothing of this kind is here at all, only prose about the weather and the sea.", {}),
-    (14, "12 13 14 15 16 17 18 19 20 21", {}),
+    (14, "12 13 14 15 16 17 18 19 20 21", {3: True}),
     (15, "Now see: only five plain words here, and then some.", {5: True}),
     (16, "A train leaves the old harbour.", {}),
     (17, None, {}),
@@ -282,7 +284,7 @@ def test_leaks_found_whole_and_with_other_values(spark, monkeypatch, limit):
     want = collections.Counter((i, item, exact) for i, _, found in CASES for item, exact in found.items())
     assert got == want + collections.Counter([(10, 1, True), (None, 1, True)])
     left = sorted(str(r.doc_id) for r in decontaminate.clean(docs, bench).collect())
-    assert left == ["13", "14", "16", "17", "18"]
+    assert left == ["13", "16", "17", "18"]
 
 
 def test_inconsistent_slots_do_not_count(spark):
@@ -514,3 +516,80 @@ def test_lines_are_judged_one_by_one():
     assert quality.line_fails("A short heading") == "" and quality.line_fails("A plain sentence that ends as it should, with a stop.") == ""
     good = "\n".join(["This is a plain sentence of prose that goes on for a while and ends."] * 1 + [f"Sentence number {k} tells something new about the matter at hand." for k in range(12)])
     assert quality.clean(good + "\nHome | About") == good
+
+
+def test_quality_rules_and_their_sql_agree_on_odd_lines(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(12)
+    parts = ["home\xa0about\xa0contact\xa0login", "Accueil | Contact", "one two three four five six seven eight nine", "It ends. It goes on", "a\x1cb\x85c", "###", "|", "x.\xa0", "x. \t", "All Rights Reserved", "home about", "\r", "", " ", "word word word word word word word word.", "é à ü", "%%% a", "it's (so)"]
+    texts = ["\n".join(rng.choices(parts, k=rng.randint(0, 14))) + rng.choice(["", "\n"]) for _ in range(400)]
+    texts += ["home\xa0about\xa0contact\xa0login\n" + "plain words make a body of prose. " * 20, None, "", "\n\n"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(quality.judged_sql())
+    got = quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    kept = quality.cleaned(spark.createDataFrame([(1, "A short heading\nHome | About\nAll of it is said here."), (2, None)], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: "A short heading\nAll of it is said here.", 2: None}
+
+
+# --- long texts without a space, in linear time
+
+
+def test_very_long_unbroken_texts(spark):
+    import time
+
+    import public_tokenizers
+
+    rng, model = random.Random(2), library()
+    counter = tokens.PieceCounter(str(public_tokenizers.path("piece_bpe_32k.model")))
+    for text in ("".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(400_000)), "ab" * 300_000, "=-" * 300_000, " " * 100_000, "aab" * 999 + "é" * 5000):
+        began = time.perf_counter()
+        assert counter.count([text])[0] == len(model.encode(text))
+        assert time.perf_counter() - began < 20
+    for text in ("a-" * 500_000 + ":", "a." * 500_000 + " : =", "user" * 200_000 + "=", "token" * 200_000 + ":", "1." * 400_000, "aB3" * 400_000, "https://" * 100_000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 20
+
+
+def test_random_pre_tokens_equal_the_library():
+    """Words over few letters, so that pairs overlap and ranks fall; both ways of merging many places at once."""
+    import public_tokenizers
+
+    rng, model = random.Random(7), library()
+    counter = tokens.PieceCounter(str(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 900))) for letters in ("thersionagdlp", "aab", "-=*", "0123", "éèa") for _ in range(120)]
+    assert counter.count(texts) == [len(model.encode(t)) for t in texts]
+
+
+# --- links of op8 against all pairs
+
+
+def slow_links(text, strong):
+    kinds = {"ident": (secrets.IDENT,), "key": (secrets.KEY,), "endpoint": (secrets.URL, secrets.IPV4, secrets.HOST)}
+    weak = {(*m.span(), kind) for kind, patterns in kinds.items() for p in patterns for m in p.finditer(text)}
+    weak = {w for w in weak if not any(w[0] < b and a < w[1] for a, b, _ in strong)}
+    ends = [m.end() for m in re.finditer(r"\n[\x20\x09\x0B-\x0D]*\n", text)]
+    scope = lambda p: sum(e <= p[0] for e in ends)
+    parts = {*weak, *strong}
+
+    def near(p, role):
+        return any(o != p and secrets.ROLE[o[2]] == role and scope(o) == scope(p) and max(o[0] - p[1], p[0] - o[1]) <= secrets.REACH for o in parts)
+
+    return sorted(w for w in weak if {"ident": near(w, "s"), "key": near(w, "i") or near(w, "e"), "endpoint": near(w, "i") and near(w, "s")}[w[2]])
+
+
+def test_links_equal_all_pairs():
+    rng = random.Random(13)
+    bits = ["user = alice", "login: bob_1", "aB3" * 12, "https://db.example.org:5432", "10.0.0.7:80", "db-1.local:6379", "password = 'qqqqqqqqqqqqqq'", "AKIA" + "Z9" * 9, "0123456789abcdef", "x" * 60, "plain words", "\n\n", "\n", " " * 40, "client_id=ab.c@d"]
+    n = 0
+    for _ in range(1500):
+        text = " ".join(rng.choices(bits, k=rng.randint(0, 14)))
+        strong = secrets.strong_spans(text)
+        got = sorted(set(secrets.linked_spans(text, strong)))
+        assert got == slow_links(text, strong)
+        n += len(got)
+    assert n > 1000

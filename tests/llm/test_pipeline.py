@@ -3,6 +3,8 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from stopwise.llm import language, mixing, near, registry
 
@@ -81,4 +83,5 @@ def test_near_copies_of_five_words_and_four_fifths_go(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = sorted({find(k) for k in range(len(texts))})
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == want
-    assert sorted(r.doc_id for r in near.keep_one(frame, most=1).collect()) == want
+    assert sorted(r.doc_id for r in near.keep_one(frame, short=1, block=5).collect()) == want
+    assert sorted(r.doc_id for r in near.keep_one(frame.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 4, "0"))).collect()) == [f"{k:04}" for k in want]
