@@ -1,25 +1,29 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Space. Terms are words and their beginnings of four to eight letters. Chosen are those that tell the labels apart in the training part: at most ``max_terms`` by chi-squared, each in
-``MIN_DF`` labelled examples and a share of ``MIN_SHARE`` of one label's or more, copies of a text counted once. Their document frequencies are counted over all documents.
-
-Search. Labelled examples (a bounded sample of ``max_examples`` by a seeded hash; the bound is a parameter) become unit
-vectors, equal ones merged with their counts. They are sorted so that like stands by like and cut into
-blocks of ``BLOCK``. For each term the index holds its weights by block with the largest of each; a query's products
-with these maxima bound its cosine with any example of a block, so blocks are read from the highest bound down and
-reading stops when no further block can come in: the result is exact. The nearest ``K`` examples vote, each
-with weight 1 / (distance + ``SOFT``), against ``PRIOR`` votes of the base rate; the share is the score,
-and the nearest examples' ids are its evidence.
-
-Edge cases: a text with none of the terms (also null or empty) gets the base rate of labelled examples without
-terms; without labels every score is 0. Repeated labels of an id count by their majority (a tie is toxic); repeated ids with
-different texts are different examples. A null label or a null id teaches nothing.
+Terms are all words of a text. Added are the beginnings of words (``STEMS`` letters) that stand out in toxic examples, because compounding
+languages hide a marker in the front of words. A term's weight is ``(1 + log tf) * idf``, times ``1 + BOOST * relevance`` where its
+*relevance* is how far the lower bound (of ``Z`` standard errors, after Wilson) of its toxic share lies above the share of all examples: 0 for
+words that tell nothing and for words seen too seldom to tell. Document frequencies are counted over all documents.
+
+Search. Labelled examples become unit vectors, sorted so that like stands by like, in blocks of ``BLOCK``. For each term the index
+holds its weights by example and the largest of each block; a query's products with these maxima bound its cosine with any example of a block.
+Blocks of the highest bounds are read first; blocks whose bound is below the ``K``-th cosine found are never read. The result is exact.
+The nearest ``K`` examples (and all that tie with the last) vote, each with weight 1 / (distance + ``SOFT``), against ``PRIOR`` votes of the base rate;
+the share is the score, and the nearest examples' ids are its evidence.
+
+Bounds of the fit: ``max_examples`` labelled rows of the training part, drawn by a seeded hash, give the relevance; of those the least
+``max_index`` by that hash are the examples of the index. Everything else covers all rows.
+
+Edge cases: a text without a word (also null or empty) gets the prior's share with the labelled examples without a word as its neighbours; a text none of whose
+words an example has gets the base rate; without labels every score is 0; with labels of one kind only no term is relevant. Repeated labels of an id count by
+their majority (a tie is toxic); repeated ids with different texts are different examples. A null label or a null id teaches nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +31,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, texts
+from ..shipping import ship
+from .common import bounded, cut_lineage, held_out, if_small, map_arrow, row_key, texts
 
-THRESHOLD, MIN_DF, MIN_CHI2, MIN_SHARE = 0.3, 8, 40.0, 0.02
-BLOCK, K, SOFT, PRIOR = 64, 24, 0.03, 2.0
+THRESHOLD, Z, RELEVANT, BOOST = 0.3, 5.0, 0.1, 200.0
+BLOCK, K, SOFT, PRIOR = 64, 24, 0.03, 13.0
+#: Blocks read one by one; if more cannot be left out by their bounds, or these are nearly alike from the start, all is read by term.
+FIRST, ALIKE = 3, 0.7
 STEMS = (4, 5, 6, 7, 8)
+SEED = 5
 _WORD = re.compile(r"\w+")
 
-Vector = tuple[tuple[int, int], ...]
-
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def forms(word: str) -> tuple[str, ...]:
-    """The terms of a word: itself and its beginnings, so that inflected and compound forms of a stem are one term."""
-    return (word, *(word[:k] + "*" for k in STEMS if len(word) >= k))
+def stems(word: str) -> tuple[str, ...]:
+    return tuple(word[:k] + "*" for k in STEMS if len(word) >= k)
+
+
+def term_id(term: str) -> int:
+    """The term as a signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(term)
+    return h - (h >> 63 << 64)
 
 
-def sampled_labels(labels: DataFrame, max_examples: int, seed: int = 5) -> DataFrame:
-    """(doc_id, toxic): about ``max_examples`` ids of the training part at most."""
+def sampled_labels(labels: DataFrame, max_examples: int) -> DataFrame:
+    """(doc_id, toxic, draw): about ``max_examples`` ids of the training part at most."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     n = rows.count()
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30))
     if n > max_examples:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(max_examples / n * (1 << 30)))
-    return rows.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+        rows = rows.where(draw < int(max_examples / n * (1 << 30)))
+    return rows.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).withColumn("draw", draw)
 
 
 def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -62,201 +74,241 @@ def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = words_of(text)
         shingles = zip(*(words[k:] for k in range(min(5, max(len(words), 1)))), strict=False)
         out.append(min((xxhash.xxh64_intdigest(" ".join(x)) for x in shingles), default=0) >> 1)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "sketch"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["key", "sketch"])
 
 
-def choose_terms(examples: DataFrame, max_terms: int) -> list[str]:
-    """Terms by chi-squared of presence and label, none a beginning of another; 20 * ``max_terms`` short rows reach the driver at most."""
+def relevances(examples: DataFrame) -> dict[int, float]:
+    """Relevance of each term (words and beginnings of words) that has one; copies of a text count once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        clean, toxic = Counter(), Counter()
+        seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update({t for w in set(words_of(text)) for t in forms(w)})
-        every = list(clean.keys() | toxic.keys())
-        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([clean[t] for t in every], pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "clean", "toxic"])
-
-    total = {bool(r[0]): r[1] for r in examples.groupBy("toxic").count().collect()}
-    n1, n0 = total.get(True, 0), total.get(False, 0)
-    if not n0 or not n1:
-        return []
-    counts = map_arrow(examples.select("text", "toxic"), "term string, clean long, toxic long", work).groupBy("term").agg(F.sum("clean").alias("a0"), F.sum("toxic").alias("a1"))
-    df = F.col("a0") + F.col("a1")
-    n = float(n0 + n1)
-    gap = F.col("a1") * n0 - F.col("a0") * n1
-    chi2 = n * gap * gap / (float(n0) * n1 * df * (n - df))
-    common = (F.col("a1") >= MIN_SHARE * n1) | (F.col("a0") >= MIN_SHARE * n0)
-    counts = counts.where((df >= MIN_DF) & (df < n) & common).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    chosen: list[str] = []
-    for (term,) in counts.orderBy(F.desc("chi2"), F.length("term"), "term").limit(20 * max_terms).select("term").collect():
-        # of a stem and its forms only the one that tells most
-        if len(chosen) < max_terms and not any(term.strip("*").startswith(c.strip("*")) or c.strip("*").startswith(term.strip("*")) for c in chosen):
-            chosen.append(term)
-    return sorted(chosen)
-
-
-class Places:
-    """Number of each chosen term, looked up by word, with words kept once seen."""
-
-    def __init__(self, chosen: list[str]):
-        self.of = {t: k for k, t in enumerate(chosen)}
+            words = set(words_of(text))
+            seen[label].update(words.union(*map(stems, words)))
+        every = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array([term_id(t) for t in every], pa.int64()), *(pa.array([c[t] for t in every], pa.int64()) for c in seen)], ["term", "clean", "toxic"])
+
+    once = map_arrow(examples.select("key", "text"), "key struct<a: long, b: long>, sketch long", _sketched).groupBy("sketch").agg(F.min("key").alias("key"))
+    apart = cut_lineage(examples.join(if_small(cut_lineage(once.select("key"))), "key", "left_semi").dropDuplicates(["key"]).select("text", "toxic"))
+    total = {r[0]: r[1] for r in apart.groupBy("toxic").count().collect()}
+    n1, n = total.get(1, 0), total.get(0, 0) + total.get(1, 0)
+    if not 0 < n1 < n:
+        return {}
+    counts = map_arrow(apart, "term long, clean long, toxic long", work).groupBy("term").agg(F.sum("toxic").alias("a"), (F.sum("toxic") + F.sum("clean")).alias("n"))
+    p, m, zz = F.col("a") / F.col("n"), F.col("n"), Z * Z
+    low = (p + zz / (2 * m) - Z * F.sqrt(p * (1 - p) / m + zz / (4 * m * m))) / (1 + zz / m)
+    found = counts.select("term", ((low - n1 / n) / (1 - n1 / n)).alias("r")).where(F.col("r") > 0).toArrow()  # a part of the bounded sample's terms
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+
+
+class Terms:
+    """Number of each term of the index, looked up by word, with words kept once seen."""
+
+    def __init__(self, ids: np.ndarray, markers: frozenset[int]):
+        """``ids``: sorted hashes of the terms; ``markers``: those of the beginnings of words that count as terms."""
+        self.of = {t: k for k, t in enumerate(ids.tolist())}
+        self.markers = markers
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
-        if word not in self.seen:
-            if len(self.seen) > 300_000:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
-            self.seen[word] = tuple(self.of[t] for t in forms(word) if t in self.of)
-        return self.seen[word]
+            found = tuple(self.of[t] for t in terms_of(word, self.markers) if t in self.of)
+            self.seen[word] = found
+        return found
 
-    def vector(self, text: str) -> Vector:
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(term, times) of a text."""
         found: Counter[int] = Counter()
-        for word in words_of(text):
+        for word, n in Counter(words_of(text)).items():
             for k in self.word(word):
-                found[k] += 1
-        return tuple(sorted(found.items()))
+                found[k] += n
+        return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
 
 
-def document_frequency(docs: DataFrame, chosen: list[str]) -> tuple[np.ndarray, int]:
-    """How many of all documents have each chosen term; the number of documents."""
-    place = Places(chosen)
+def terms_of(word: str, markers: frozenset[int]) -> list[int]:
+    return [term_id(word), *(t for s in stems(word) if (t := term_id(s)) in markers)]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = Counter()
-        for text in texts(batch.column(0)):
-            seen.update({k for word in set(words_of(text)) for k in place.word(word)})
-        seen[-1] = batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    out, n = np.zeros(len(chosen)), 0
-    for term, count in map_arrow(docs.select("text"), "term int, n long", work).groupBy("term").agg(F.sum("n")).collect():
-        if term < 0:
-            n = count
-        else:
-            out[term] = count
-    return out, n
+
+def document_frequency(docs: DataFrame, ids: np.ndarray, markers: frozenset[int]) -> tuple[np.ndarray, int]:
+    """How many of all documents have each term; the number of documents. One row for each term and partition is shuffled at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, count = Terms(ids, markers), np.zeros(len(ids) + 1, np.int64)
+        for batch in batches:
+            for part in bounded(batch):
+                for text in texts(part.column(0)):
+                    found = {k for word in set(words_of(text)) for k in place.word(word)}
+                    count[np.fromiter(found, np.int64, len(found))] += 1
+                count[-1] += part.num_rows
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["term", "n"])
+
+    ship(docs.sparkSession)
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(ids) + 1, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out[:-1], int(out[-1])
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, examples: list[tuple[Vector, int, int, int]], idf: np.ndarray):
-        """``examples``: (vector, how many, how many toxic, an id)."""
-        self.idf = idf
-        self.empty = next(((n, bad, who) for v, n, bad, who in examples if not v), (0, 0, -1))
-        total = sum(e[1] for e in examples)
-        self.base = sum(e[2] for e in examples) / total if total else 0.0
-        made = sorted((tuple(t for _, t in sorted((-w, t) for t, w in zip(*self.unit(v), strict=True))), v, n, bad, who) for v, n, bad, who in examples if v)
-        self.n = np.array([e[2] for e in made], np.int64)
-        self.bad = np.array([e[3] for e in made], np.int64)
-        self.who = [e[4] for e in made]
-        blocks = -(-len(made) // BLOCK)
-        self.most = np.zeros((len(idf), blocks), np.float32)
-        self.posted: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in range(blocks):
-            part = [self.unit(e[1]) for e in made[b * BLOCK : (b + 1) * BLOCK]]
-            used = np.unique(np.concatenate([t for t, _ in part]))
-            weight = np.zeros((len(used), len(part)), np.float32)
-            for k, (t, w) in enumerate(part):
-                weight[np.searchsorted(used, t), k] = w
-            self.posted.append((used, weight))
-            self.most[used, b] = weight.max(axis=1)
-
-    def unit(self, v: Vector) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([k for k, _ in v])
-        w = (1 + np.log([c for _, c in v])) * self.idf[t]
-        return t, (w / np.sqrt((w * w).sum())).astype(np.float32)
-
-    def nearest(self, v: Vector, k: int = K) -> list[tuple[float, int]]:
-        """(cosine, example) from the nearest on, until they stand for ``k`` labelled rows; all of an equal cosine at the end."""
-        if not len(self.n):
-            return []
-        t, w = self.unit(v)
-        bound = w @ self.most[t]
+    """Unit vectors of labelled examples in blocks: weights by term and example, by block, and the largest of each term and block."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], who: list, weight: np.ndarray):
+        """``vectors``: (term, times) of each example; ``weight``: of each term, idf with its boost."""
+        self.weight = weight
+        self.base = sum(toxic) / len(toxic) if toxic else 0.0
+        units = [self.unit(*v) for v in vectors]
+        key = [(int(t[w.argmax()]) if len(t) else -1, -float(w.max(initial=0))) for t, w in units]
+        order = sorted(range(len(units)), key=lambda k: (key[k], str(who[k])))
+        self.bare = [k for k in order if not len(units[k][0])]
+        order = self.bare + [k for k in order if len(units[k][0])]
+        self.toxic, self.who, self.n = np.array([toxic[k] for k in order], np.int64), [who[k] for k in order], len(order)
+        self.bare = np.arange(len(self.bare))
+        size = np.array([len(units[k][0]) for k in order], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(units[k][0] for k in order)])
+        value = np.concatenate([np.zeros(0), *(units[k][1] for k in order)])
+        owner = np.repeat(np.arange(self.n), size)
+        # by block: entries of consecutive examples stand together
+        self.blocks = -(-self.n // BLOCK)
+        self.term, self.value, self.owner = term, value, owner
+        self.start = np.searchsorted(owner, np.arange(self.blocks + 1) * BLOCK)
+        # by term: of terms that many examples have all weights, of the others those that are there
+        by = np.argsort(term, kind="stable")
+        start = np.searchsorted(term[by], np.arange(len(weight) + 1))
+        common = np.flatnonzero(np.diff(start) > max(self.n // 8, BLOCK))
+        self.dense = np.zeros((len(common), self.n))
+        for k, t in enumerate(common.tolist()):
+            self.dense[k, owner[by[start[t] : start[t + 1]]]] = value[by[start[t] : start[t + 1]]]
+        self.dense_row = np.full(len(weight), -1)
+        self.dense_row[common] = np.arange(len(common))
+        rare = by[self.dense_row[term[by]] < 0]
+        self.posted, self.post_value, self.post_start = owner[rare], value[rare], np.searchsorted(term[rare], np.arange(len(weight) + 1))
+        self.query = np.zeros(len(weight))
+        # largest of each term and block
+        cell = term[by] * self.blocks + owner[by] // BLOCK
+        new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.most = np.maximum.reduceat(value[by], new) if len(new) else np.zeros(0)
+        self.most_block, self.most_start = cell[new] % max(self.blocks, 1), np.searchsorted(cell[new] // max(self.blocks, 1), np.arange(len(weight) + 1))
+
+    def unit(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(times)) * self.weight[term]
+        return term, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    @staticmethod
+    def _gather(start: np.ndarray, term: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all entries of the terms, and the query's weight at each."""
+        a, n = start[term], start[term + 1] - start[term]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return at, np.repeat(w, n)
+
+    def _all(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosine of every example."""
+        at, own = self._gather(self.post_start, term, w)
+        row = self.dense_row[term]
+        many = np.zeros(len(self.dense))
+        many[row[row >= 0]] = w[row >= 0]
+        return np.bincount(self.posted[at], self.post_value[at] * own, self.n) + many @ self.dense
+
+    def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, example) of the nearest ``k`` that share a term, and of all that tie with the last."""
+        term, w = self.unit(term, times)
+        at, own = self._gather(self.most_start, term, w)
+        bound = np.bincount(self.most_block[at], self.most[at] * own, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found: list[tuple[float, int]] = []
-        floor = 0.0
-        query = np.zeros(len(self.idf), np.float32)
-        query[t] = w
-        for at, b in enumerate(order.tolist()):
-            if bound[b] < floor - 1e-6:
+        self.query[term] = w
+        cosine = np.zeros(self.n)
+        floor, done = 0.0, 0
+        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= floor - 1e-9:
+            if done >= FIRST or (not done and bound[order[min(FIRST, len(order) - 1)]] > ALIKE * bound[order[0]]):  # bounds that do not part the blocks: all by term
+                cosine = self._all(term, w)
                 break
-            used, weight = self.posted[b]
-            cosine = query[used] @ weight
-            close = np.flatnonzero(cosine >= max(floor - 1e-6, 1e-9))
-            found += zip(cosine[close].tolist(), (close + b * BLOCK).tolist(), strict=True)
-            if len(found) > 4 * k or at == 0:
-                floor, found = self._cut(found, k)
-        return self._cut(found, k)[1]
-
-    def _cut(self, found: list[tuple[float, int]], k: int) -> tuple[float, list[tuple[float, int]]]:
-        found.sort(key=lambda x: (-x[0], x[1]))
-        votes = 0
-        for at, (cosine, e) in enumerate(found):
-            votes += int(self.n[e])
-            if votes >= k:
-                end = at + 1
-                while end < len(found) and found[end][0] >= cosine - 1e-6:
-                    end += 1
-                return cosine, found[:end]
-        return 0.0, found
-
-    def score(self, v: Vector) -> tuple[float, list[int]]:
-        if not v or not (near := self.nearest(v)):
-            n, bad, who = self.empty
-            return (bad + PRIOR * self.base) / (n + PRIOR), [who] if n else []
-        e = np.array([x[1] for x in near])
-        vote = 1 / (1 - np.minimum([x[0] for x in near], 1.0) + SOFT)
-        n, bad = vote * self.n[e], vote * self.bad[e]
-        weight = PRIOR / SOFT * 0.2
-        return float((bad.sum() + weight * self.base) / (n.sum() + weight)), [self.who[k] for k in e[:5]]
-
-
-def learn(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 256) -> tuple[list[str], BlockMaxIndex | None]:
-    known = sampled_labels(labels, max_examples)
-    # at most about max_examples ids (16 bytes each), so the texts stay where they are
-    examples = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    once = map_arrow(examples.select("doc_id", "text"), "doc_id long, sketch long", _sketched).groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))
-    chosen = choose_terms(examples.join(F.broadcast(once), "doc_id", "left_semi"), max_terms)
-    if not chosen:
-        return [], None
-    place = Places(chosen)
+            b = order[done]
+            x, y = self.start[b], self.start[b + 1]
+            cosine[b * BLOCK : (b + 1) * BLOCK] = np.bincount(self.owner[x:y] - b * BLOCK, self.value[x:y] * self.query[self.term[x:y]], min(BLOCK, self.n - b * BLOCK))
+            done += 1
+            floor = np.partition(cosine, -min(k, self.n))[-min(k, self.n)]
+        self.query[term] = 0
+        floor = max(np.partition(cosine, -min(k, self.n))[-min(k, self.n)] - 1e-9, 1e-12)
+        near = np.flatnonzero(cosine >= floor)
+        near = near[np.argsort(-cosine[near], kind="stable")]
+        return cosine[near], near
+
+    def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list]:
+        if not self.n:
+            return 0.0, []
+        if len(term):
+            cosine, near = self.nearest(term, times)
+        else:
+            cosine, near = np.ones(len(self.bare)), self.bare
+        vote = 1 / (1 - np.minimum(cosine, 1.0) + SOFT)
+        return float(((vote * self.toxic[near]).sum() + PRIOR * self.base) / (vote.sum() + PRIOR)), [self.who[k] for k in near[:5].tolist()]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        merged: dict[Vector, list[int]] = {}
-        for who, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            one = merged.setdefault(place.vector(text or ""), [0, 0, who])
-            one[0] += 1
-            one[1] += label
-            one[2] = min(one[2], who)
-        vectors = pa.array([[x for pair in v for x in pair] for v in merged], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([vectors, *(pa.array([m[k] for m in merged.values()], pa.int64()) for k in range(3))], ["v", "n", "bad", "who"])
-
-    found = map_arrow(examples.select("doc_id", "text", "toxic"), "v array<int>, n long, bad long, who long", work)
-    merged = found.groupBy("v").agg(F.sum("n"), F.sum("bad"), F.min("who")).collect()  # max_examples short rows at most
-    df, n = document_frequency(docs, chosen)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    return chosen, BlockMaxIndex([(tuple(zip(v[::2], v[1::2], strict=True)), c, bad, who) for v, c, bad, who in merged], idf)
-
-
-def scored(docs: DataFrame, chosen: list[str], index: BlockMaxIndex | None) -> DataFrame:
-    """(doc_id, score, evidence) of every document; only the text is looked at."""
-    place = Places(chosen)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
-    cache: dict[Vector, tuple[float, list[int]]] = {}
+
+class Model:
+    """What scoring needs: the index and its terms."""
+
+    def __init__(self, index: BlockMaxIndex, ids: np.ndarray, markers: frozenset[int]):
+        self.index, self.ids, self.markers = index, ids, markers
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_index: int = 4096) -> Model | None:
+    """None without labels. What comes to the driver is bounded by the two parameters and the number of different words of so many texts."""
+    known = cut_lineage(sampled_labels(labels, max_examples))
+    # about max_examples ids at most, so the texts stay where they are
+    examples = docs.where(~held_out()).select("doc_id", row_key("doc_id", "text").alias("key"), "text").join(if_small(known), "doc_id")
+    examples = cut_lineage(examples)
+    if examples.isEmpty():
+        return None
+    relevance = relevances(examples)
+    markers = frozenset(t for t, r in relevance.items() if r >= RELEVANT)
+    n = examples.count()
+    few = examples if n <= max_index else examples.where(F.col("draw") < _cut(examples, max_index))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores, evidence, found = [], [], shared.value
-        if len(cache) > 100_000:
-            cache.clear()
+        terms, times = [], []
         for text in texts(batch.column(1)):
-            v = place.vector(text)
-            if v not in cache:
-                cache[v] = found.score(v) if found else (0.0, [])
-            scores.append(cache[v][0])
-            evidence.append(cache[v][1])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            found: Counter[int] = Counter()
+            for word, n in Counter(words_of(text)).items():
+                for t in terms_of(word, markers):
+                    found[t] += n
+            terms.append(list(found))
+            times.append(list(found.values()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "terms", "times", "toxic"])
+
+    kind = examples.schema["doc_id"].dataType.simpleString()
+    rows = map_arrow(few.select("doc_id", "text", "toxic"), f"doc_id {kind}, terms array<long>, times array<int>, toxic int", work).toArrow()
+    terms, times = (rows.column(c).combine_chunks() for c in ("terms", "times"))
+    cuts = np.cumsum(np.r_[0, terms.value_lengths().to_numpy(zero_copy_only=False)])
+    ids, at = np.unique(terms.flatten().to_numpy(), return_inverse=True)
+    df, total = document_frequency(docs, ids, markers)
+    weight = (np.log((1 + total) / (1 + df)) + 0.1) * (1 + BOOST * np.array([max(relevance.get(t, 0.0), 0.0) for t in ids.tolist()]))
+    n_times = times.flatten().to_numpy()
+    vectors = [(at[a:b], n_times[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return Model(BlockMaxIndex(vectors, rows.column("toxic").to_pylist(), rows.column("doc_id").to_pylist(), weight), ids, markers)
+
+
+def _cut(examples: DataFrame, most: int) -> int:
+    """A draw below which at most ``most`` examples lie, near that many."""
+    draws = np.sort(examples.select("draw").toArrow().column(0).to_numpy())  # max_examples longs or so
+    return int(draws[most])
+
+
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, score, evidence) of every document; only the text is looked at."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of the fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        place = found and Terms(found.ids, found.markers)
+        for batch in batches:
+            for part in bounded(batch):
+                made = [found.index.score(*place.vector(text)) if found else (0.0, []) for text in texts(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array([e for _, e in made], pa.list_(part.schema.field(0).type))], ["doc_id", "score", "evidence"])
 
+    ship(docs.sparkSession)
     narrow = docs.select("doc_id", "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return map_arrow(narrow, f"doc_id {kind}, score double, evidence array<long>", work)
+    return narrow.mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>")
