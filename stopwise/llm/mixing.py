@@ -10,10 +10,12 @@ stretch of each document on that stream is taken as far as the demand goes. Inve
 at the middle of a taken stretch gives its position, by which the mix is range-sorted.
 
 The stream's offsets are prefix sums in two levels (hash cells, then rows in a cell), so that no
-source, however large, is summed in one task. Everything depends on the rows alone: reruns agree.
+source, however large, is summed in one task; so are the sums over the sources, however many. Everything depends on the rows alone: reruns agree.
+``plan`` takes the last document of a pass in part, so that targets are met to the word; ``mixed`` moves whole documents and takes
+one where its middle lies before the target.
 
-Edge cases: a null text has no word; documents without a word take nothing; rows equal in id, source and size are told apart
-only by number; a table without words has targets of 0; an empty table gives none.
+Edge cases: a null text has no word; documents without a word take nothing; a null id is ordered by its text; rows equal in id, source and size are told apart
+only by number, and of rows equal in id, source and text ``mixed`` gives the least of all columns for each; a table without words has targets of 0; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, n_words
+from .common import cut_lineage, fresh, n_words, row_key
 
 WEIGHTS, MOST, SLOPES, SEED = (5, 2, 1), 3, (-0.5, 0.0, 0.5), "mix-1"
-CELL_DIGITS = 3
+#: Rows of a cell of the stream, about.
+CELL_ROWS = 1_000_000
 
 
 def source_key(source: str = "source") -> Column:
@@ -33,23 +36,33 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b"))
 
 
+def sums_before(df: DataFrame, order: list[str], **values: Column) -> DataFrame:
+    """``df`` with the sum of each value over the rows before, in two levels: ranges of the order, then rows in a range.
+
+    ``order`` has to tell all rows apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(df.select("*", *(v.alias(f"{k}_here") for k, v in values.items())).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    parts = rows.groupBy("part").agg(*(F.sum(f"{k}_here").alias(f"{k}_part") for k in values))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    parts = parts.select("part", *(F.coalesce(F.sum(f"{k}_part").over(earlier), F.lit(0)).alias(f"{k}_part") for k in values))
+    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(parts), "part")
+    return rows.select(*df.columns, *((F.col(f"{k}_part") + F.coalesce(F.sum(f"{k}_here").over(within), F.lit(0))).alias(k) for k in values))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """(key, source_size, target, slope) for each source of (key, size). The table of sources is what its windows sort."""
-    per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy("key")) - 1
-    per = per.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("long"))
+    """(key, source_size, target, slope) for each source of (key, size)."""
+    per = cut_lineage(sizes.groupBy("key").agg(F.sum("size").alias("source_size")))
+    per = sums_before(per, ["key"], rank=F.lit(1).cast("long")).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("long"))
     # filled up in the order in which the limits are reached
-    filled = W.orderBy(F.col("source_size") * 1.0 / F.col("weight"), "key")
-    before, onward = filled.rowsBetween(W.unboundedPreceding, -1), filled.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("stopped", F.coalesce(F.sum(MOST * F.col("source_size")).over(before), F.lit(0)))
-    per = per.withColumn("rest", F.sum("weight").over(onward))
-    full = MOST * F.col("source_size") * F.col("rest") < F.col("weight") * (F.col("total") - F.col("stopped"))
-    per = per.withColumn("full", full)
-    taken = F.sum(F.when(F.col("full"), MOST * F.col("source_size")).otherwise(0)).over(everything)
-    weights = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything)
-    per = per.withColumn("left", F.col("total") - taken).withColumn("weights", weights)
-    share = F.col("weight").cast("double") * F.col("left") / F.col("weights")
+    per = cut_lineage(per.withColumn("reached", F.col("source_size") * 1.0 / F.col("weight")))
+    total, every = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    per = sums_before(per, ["reached", "key"], stopped=MOST * F.col("source_size"), passed=F.col("weight"))
+    full = MOST * F.col("source_size") * (every - F.col("passed")) < F.col("weight") * (total - F.col("stopped"))
+    per = cut_lineage(per.withColumn("full", full))
+    taken, weights = per.agg(F.coalesce(F.sum(F.when(F.col("full"), MOST * F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))), F.lit(0))).first()
+    share = F.col("weight").cast("double") * (total - taken) / F.lit(weights or None).cast("long")
     target = F.when(F.col("full"), (MOST * F.col("source_size")).cast("double")).otherwise(share)
     slope = F.element_at(F.array(*map(F.lit, SLOPES)), (F.col("rank") % len(SLOPES) + 1).cast("int"))
     return per.select("key", "source_size", target.alias("target"), slope.alias("slope"))
@@ -63,8 +76,9 @@ def position(demand: Column, target: Column, slope: Column) -> Column:
 
 
 def stream(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, size, order string, ...) with ``start``: words that stand before the row in its source's stream."""
-    rows = rows.withColumn("cell", F.substring("order", 1, CELL_DIGITS))
+    """``rows`` (key, size, order string, ...), cut from their lineage, with ``start``: words that stand before the row in its source's stream."""
+    digits = max(3, (rows.count() // CELL_ROWS).bit_length() // 4 + 1)
+    rows = rows.withColumn("cell", F.substring("order", 1, digits))
     cells = rows.groupBy("key", "cell").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("key", "cell", before.alias("before"))
@@ -79,7 +93,7 @@ def plan(docs: DataFrame, whole: bool = False, *carry: Column) -> DataFrame:
     ``whole``: take a document in a pass wholly or not at all, by where its middle lies.
     """
     size = n_words(F.col("text"))
-    order = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
     rows = cut_lineage(docs.select("doc_id", source_key().alias("key"), size.alias("size"), order.alias("order"), *carry))
     placed = stream(rows).join(targets(rows), "key")
     aim = F.floor("target").cast("long")
@@ -101,18 +115,16 @@ def plan(docs: DataFrame, whole: bool = False, *carry: Column) -> DataFrame:
 def mixed(docs: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them (whole documents), range-sorted by training position."""
     columns = columns or tuple(docs.columns)
-    same = F.xxhash64("doc_id", "source", "text")
-    way = plan(docs, True, same.alias("__same")).select("__same", "passes")
-    repeated = cut_lineage(way.groupBy("__same").count().where("count > 1").select("__same"))
-    way, left = way.where(F.size("passes") > 0).withColumnRenamed("passes", "__passes"), docs.withColumn("__same", same)
-    if repeated.isEmpty():
-        out = left.join(way, "__same")
-    else:  # of equal rows one is met by the passes of all
-        one = left.join(repeated, "__same", "left_semi").dropDuplicates(["__same"])
-        out = left.join(repeated, "__same", "left_anti").unionByName(one).join(way, "__same")
-    out = out.select(*columns, F.explode("__passes.position").alias("__position"), "__same")
+    same, position = fresh(docs, "same", "position")
+    way = plan(docs, True, row_key("doc_id", "source", "text").alias("same")).select(F.col("same").alias(same), F.col("passes.position").alias(position))
+    repeated = cut_lineage(way.groupBy(same).count().where("count > 1").select(same))
+    way, left = way.where(F.size(position) > 0), docs.withColumn(same, row_key("doc_id", "source", "text"))
+    if not repeated.isEmpty():  # of equal rows one is met by the passes of all
+        one = left.join(repeated, same, "left_semi").groupBy(same).agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*", same)
+        left = left.join(repeated, same, "left_anti").select(*docs.columns, same).unionByName(one)
+    out = left.join(way, same).select(*docs.columns, same, F.explode(position).alias(position))
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return out.repartitionByRange(int(n), "__position", "__same").sortWithinPartitions("__position", "__same").select(*columns)
+    return out.repartitionByRange(int(n), position, same).sortWithinPartitions(position, same).select(*columns)
 
 
 def mix_sql() -> str:
@@ -125,7 +137,7 @@ def mix_sql() -> str:
     weights, slopes = "[" + ", ".join(map(str, WEIGHTS)) + "]", "[" + ", ".join(f"{s}::double" for s in SLOPES) + "]"
     return f"""
 with sized as (
-  select doc_id, coalesce('a' || source, 'b') as key, md5('{SEED}:' || coalesce(doc_id::varchar, '')) as ord,
+  select doc_id, coalesce('a' || source, 'b') as key, md5('{SEED}:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) as ord,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 per as (select key, sum(size)::bigint as source_size, row_number() over (order by key) - 1 as rank from sized group by key),
 weighed as (select *, ({weights})[1 + rank % {len(WEIGHTS)}]::bigint as weight, ({slopes})[1 + rank % {len(SLOPES)}] as slope from per),
