@@ -3,12 +3,12 @@
 Pass one scatters records uniformly into buckets that fit in memory, by a seeded hash of id and
 text. Pass two puts each bucket through a Fisher-Yates shuffle of its own seed and writes it: the
 buckets in order are one random permutation of all records, which is cut into shards whose row
-counts differ by at most one (law ``rows``). What the driver holds is one count for each bucket,
-``MAX_BUCKETS`` longs (8 MB) at most; at 100 TB a bucket is then 100 MB.
+counts differ by at most one (law ``rows``). What the driver holds is one count for each bucket, as Arrow,
+``MAX_BUCKETS`` rows of 12 bytes at most; at 100 TB a bucket is then 100 MB.
 
 Rows that are equal in id and text fall into one bucket. A bucket that outgrows its size because
 of them is shuffled in runs of bucket size, in the order of the hash, so that memory stays bounded;
-only equal rows meet at the cut. A rerun over the same rows gives the same shards.
+only equal rows meet at the cut. Rows equal in id and text stand in the order of their other columns. A rerun over the same rows gives the same shards.
 
 Edge cases: an empty table gives no rows; null ids and texts are scattered like others; more shards than rows
 leave shards empty; a column of ``df`` called ``shard`` or ``slot`` is replaced.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .common import fresh
 
 MAX_BUCKETS = 1 << 20
 ROW_BYTES = 16
@@ -43,8 +44,8 @@ def shuffled(df: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id",
     mixed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     bucket = F.pmod(F.shiftrightunsigned(mixed, 20), F.lit(n_buckets)).cast("int")
     starts = np.zeros(n_buckets + 1, np.int64)
-    for k, n in df.groupBy(bucket.alias("bucket")).count().collect():  # n_buckets rows at most
-        starts[k + 1] = n
+    counts = df.groupBy(bucket.alias("bucket")).count().toArrow()  # n_buckets rows at most
+    starts[counts.column(0).to_numpy() + 1] = counts.column(1).to_numpy()
     starts = np.cumsum(starts)
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
@@ -78,10 +79,12 @@ def shuffled(df: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id",
         if held:
             yield from placed(held, now, done)
 
-    keyed = df.select(*names, bucket.alias("__bucket"), mixed.alias("__mixed"))
-    dealt = keyed.repartitionById(min(n_buckets, 1 << 16), "__bucket").sortWithinPartitions("__bucket", "__mixed", id_col, text_col)
+    place, order = fresh(df, "bucket", "mixed")
+    keyed = df.select(*names, bucket.alias(place), mixed.alias(order))
+    others = [f.name for f in df.schema.fields if f.name not in (id_col, text_col) and not isinstance(f.dataType, T.MapType)]
+    dealt = keyed.repartitionById(min(n_buckets, 1 << 16), place).sortWithinPartitions(place, order, id_col, text_col, *others)
     ship(df.sparkSession)
-    return dealt.drop("__mixed").mapInArrow(run, schema)
+    return dealt.drop(order).mapInArrow(run, schema)
 
 
 def write(df: DataFrame, path: str) -> None:
