@@ -5,12 +5,15 @@ phrases, each the longest match that occurs in the labelled text (or one new let
 with the fewest phrases, normalised by log2 of its labelled length, wins.
 
 Fitting is bounded: ``sample_docs`` labelled documents a language, the least by a seeded hash, of which each
-gives ``sample_chars`` letters at most (64 x 600 by default); that bound is all that limits it. Prediction reads
-every letter: a text is parsed in segments of ``SEGMENT`` letters, so that long and short documents
+gives a stretch of ``sample_chars`` characters (64 x 600 by default) from a place anywhere in it that the hash names; that bound is all that limits it.
+Prediction reads every letter: a text is parsed in segments of ``SEGMENT`` letters, so that long and short documents
 advance side by side in arrays; a border costs each language the same. Every labelled letter is a symbol of its own: the
 ``DENSE`` most frequent ones of a language have columns in its table, the transitions of its others are looked up in sorted
 keys, so that large alphabets cost memory by their text, not by their size.
 
+``reject_unknown`` lets go what is in none of the languages: texts without a letter, and texts of ``LEAST`` characters or more whose phrases
+have fewer than ``FIT`` characters on average even under the best language (other languages, strings of random letters).
+
 Edge cases: ``und`` (score 0) where the text is null or has no letter, or where nothing could be learned; equal
 counts go to the language that sorts first.
 """
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, held_out, if_small, map_arrow, texts
+from .common import cut_lineage, fresh, held_out, if_small, map_arrow, texts
 
 SEGMENT = 512
 DENSE = 61
 _STRIDE = DENSE + 3  # 0: no letter; DENSE + 1: any other letter; the last: padding. Even, so that the lowest bit of a row's offset is free.
 _OTHER, _PAD = DENSE + 1, DENSE + 2
 UNKNOWN = "und"
+LEAST, FIT = 40, 1.6
 
 
 @lru_cache(maxsize=1)
@@ -156,17 +160,20 @@ class CrossParser:
                 out[some, k] = np.add.reduceat(table.phrases(columns), starts[some])
         return out
 
-    def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and characters to a phrase of each text."""
         points = [_points(x.lower()) for x in batch]
         letters = np.array([bool(_is_letter()[x].any()) for x in points], bool)
         if not self.langs or not letters.any():
-            return [UNKNOWN] * len(batch), np.zeros(len(batch))
-        cost = self.phrases([self.symbol[x] for x in points]) * self.bits
+            return [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch))
+        phrases = self.phrases([self.symbol[x] for x in points])
+        cost = phrases * self.bits
         best = cost.argmin(axis=1)
+        fit = np.fromiter(map(len, points), float, len(points)) / np.maximum(phrases[np.arange(len(best)), best], 1)
         ordered = np.sort(cost, axis=1)
         second = ordered[:, 1] if len(self.langs) > 1 else np.full(len(batch), np.inf)
         score = np.where(letters, 1 - ordered[:, 0] / np.maximum(second, 1e-9), 0.0)
-        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.clip(score, 0, 1)
+        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.clip(score, 0, 1), fit
 
 
 @lru_cache(maxsize=1)
@@ -177,32 +184,36 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 def learn(docs: DataFrame, sample_docs: int = 64, sample_chars: int = 600, seed: int = 11) -> tuple[tuple[str, str], ...]:
     """(language, labelled text) from documents that are not held out; what comes to the driver is bounded by the parameters."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    first = F.pmod(F.shiftrightunsigned("h", 30), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     share = cut_lineage(rows.groupBy("lang").count()).select("lang", F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("count")).alias("share"))
     # the sample is drawn over hashes; its texts are met by a broadcast of those, 2 * sample_docs a language or so
     drawn = rows.select("lang", "h").join(if_small(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     few = rows.join(if_small(cut_lineage(drawn.select("lang", "h").distinct())), ["lang", "h"], "left_semi")
-    few = few.groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))  # equal rows count once
+    few = few.groupBy("lang", "h").agg(F.min(F.substring("text", first, F.lit(sample_chars))).alias("text"))  # equal rows count once
     found: dict[str, list[tuple[int, str]]] = {}
     for lang, h, text in few.collect():
         found.setdefault(lang, []).append((h % (1 << 30), text))
     return tuple((lang, "\n".join(text for _, text in sorted(found[lang])[:sample_docs])) for lang in sorted(found))
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *carry: str) -> DataFrame:
-    """Columns ``carry`` of ``docs`` with ``lang_pred`` and ``score``, which replace any of these names; only the text is looked at."""
-    kept = [c for c in carry if c not in ("lang_pred", "score")]
-    narrow = docs.select(*kept, F.col("text").alias("__text"))
+def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *carry: str, names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """Columns ``carry`` of ``docs`` with language, score and characters to a phrase under ``names``, which replace any of these names; only the text is looked at."""
+    kept = [c for c in carry if c not in names]
+    narrow = docs.select(*kept) if "text" in kept else docs.select(*kept, "text")
+    at = narrow.columns.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = _parser(samples).predict(texts(batch.column(len(kept))))
-        arrays = [*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)]
-        return pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score"])
+        lang, score, fit = _parser(samples).predict(texts(batch.column(at)))
+        arrays = [*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score), pa.array(fit)]
+        return pa.RecordBatch.from_arrays(arrays, [*kept, *names])
 
-    fields = [*narrow.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*narrow.schema.fields[: len(kept)], *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))]
     return map_arrow(narrow, T.StructType(fields), work)
 
 
 def reject_unknown(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:
-    """``docs`` without the documents whose language cannot be told."""
-    return identify(docs, samples, *docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """``docs`` without the documents that are in none of the learned languages."""
+    lang, score, fit = fresh(docs, "lang_pred", "score", "fit")
+    found = identify(docs, samples, *docs.columns, names=(lang, score, fit))
+    return found.where((F.col(lang) != UNKNOWN) & ((F.length("text") < LEAST) | (F.col(fit) >= FIT))).select(*docs.columns)

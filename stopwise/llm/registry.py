@@ -33,7 +33,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs), "doc_id")
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.round("fit", 3).alias("chars_per_phrase"))
 
 
 def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     first = F.round(F.get("passes", F.lit(0))["position"], 9)
-    return rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy("first_position", "doc_id")
 
 
 def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = toxicity.scored(docs, *toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 

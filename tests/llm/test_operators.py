@@ -216,7 +216,10 @@ def test_language_of_held_out_documents(docs, rows, empty):
     assert all(0 <= s <= 1 for _, s in got.values())
     assert language.learn(empty) == ()
     assert language.identify(docs.limit(3), (), "doc_id").select("lang_pred").distinct().collect()[0][0] == "und"
+    odd = docs.limit(1).unionByName(docs.sparkSession.createDataFrame([(900 + k, t) for k, t in enumerate(["москва и другие города " * 5, "qzxj wvkq pfbb " * 8])], "doc_id long, text string"), allowMissingColumns=True)
+    assert [r.doc_id for r in language.reject_unknown(odd, samples).select("doc_id").collect() if r.doc_id is not None and r.doc_id >= 900] == []
     kept = language.reject_unknown(docs, samples)
+    assert {(r.doc_id, r.score, r.lang_pred) for r in kept.select("doc_id", "score", "lang_pred").collect()} <= {(i, 0.5, "zz") for i, *_ in rows}
     assert kept.columns == docs.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(i for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
 
@@ -437,28 +440,45 @@ def test_weak_parts_need_their_complement():
 # --- op9
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("n, terms", [(3, 5), (700, 30), (700, 400), (1500, 2000)])
+def test_block_max_search_is_exact(n, terms):
     rng = np.random.default_rng(2)
-    examples = {}
-    for who in range(700):
-        v = tuple(sorted({int(t): int(rng.integers(1, 4)) for t in rng.integers(0, 30, rng.integers(1, 6))}.items()))
-        n, bad, first = examples.get(v, (0, 0, who))
-        examples[v] = (n + 1, bad + int(rng.random() < 0.3), first)
-    idf = rng.random(30) + 1
-    index = toxicity.BlockMaxIndex([(v, *x) for v, x in examples.items()], idf)
-    units = np.zeros((len(index.n), 30))
-    for v, (n, bad, who) in examples.items():
-        t, w = index.unit(v)
-        units[index.who.index(who), t] = w
-    for v in list(examples)[:60] + [((3, 1), (29, 2))]:
-        t, w = index.unit(v)
+
+    def vector():
+        t = np.unique(np.minimum(rng.geometric(0.02, rng.integers(0, 12)), terms) - 1)
+        return t, rng.integers(1, 4, len(t))
+
+    vectors, toxic = [vector() for _ in range(n)], rng.integers(0, 2, n).tolist()
+    weight = rng.random(terms) + 0.1
+    weight[::7] *= 50
+    index = toxicity.BlockMaxIndex(vectors, toxic, list(range(n)), weight)
+    units = np.zeros((n, terms))
+    for k, v in enumerate(vectors):
+        t, w = index.unit(*v)
+        units[k, t] = w
+    for v in [*vectors[:80], (np.array([3]), np.array([2])), (np.array([0, 1, 2, 4]), np.array([1, 1, 9, 1]))]:
+        if not len(v[0]):
+            assert index.score(*v)[0] == pytest.approx((len(index.bare) and sum(index.toxic[index.bare]) / toxicity.SOFT) / (len(index.bare) / toxicity.SOFT + toxicity.PRIOR) + toxicity.PRIOR * index.base / (len(index.bare) / toxicity.SOFT + toxicity.PRIOR))
+            continue
+        t, w = index.unit(*v)
         cosine = units[:, t] @ w
-        order = np.argsort(-cosine)
-        votes = np.cumsum(index.n[order])
-        floor = cosine[order[min(np.searchsorted(votes, toxicity.K), len(order) - 1)]]
-        want = {int(k) for k in np.flatnonzero((cosine >= floor - 1e-5) & (cosine > 1e-6))}
-        got = {k for _, k in index.nearest(v)}
-        assert got == want or abs(len(got) - len(want)) <= 1 and floor <= 1e-5
+        floor = np.sort(cosine)[-min(toxicity.K, n)]
+        want = {int(k) for k in np.flatnonzero((cosine >= floor - 1e-9) & (cosine > 1e-12))}
+        near = index.nearest(*v)
+        assert {index.who[k] for k in near[1].tolist()} == want
+        assert np.allclose(np.sort(near[0]), np.sort(cosine[list(want)]))
+        vote = {k: 1 / (1 - min(cosine[k], 1) + toxicity.SOFT) for k in want}
+        score = (sum(vote[k] * toxic[k] for k in want) + toxicity.PRIOR * sum(toxic) / n) / (sum(vote.values()) + toxicity.PRIOR)
+        assert index.score(*v)[0] == pytest.approx(score)
+
+
+def test_frequencies_and_vectors_equal_a_plain_count(spark, docs, rows):
+    marks = spark.createDataFrame([(i, k % 2) for k, (i, *_) in enumerate(rows) if i is not None], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks)
+    df, n = toxicity.document_frequency(docs, model.ids, model.markers)
+    words = [set(re.findall(r"\w+", (t or "").lower())) for _, t, *_ in rows]
+    want = collections.Counter(toxicity.term_id(w) for found in words for w in found)
+    assert n == len(rows) and {t: c for t, c in zip(model.ids.tolist(), df.tolist()) if t not in model.markers} == {t: want[t] for t in model.ids.tolist() if t not in model.markers}
 
 
 def test_toxicity_on_held_out_rows(spark, empty):
@@ -475,13 +495,18 @@ def test_toxicity_on_held_out_rows(spark, empty):
     labels += [(3, 0), (3, None), (None, 1), (9999, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.scored(docs, *toxicity.learn(docs, marks)).collect()}
+    got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.learn(docs, marks)).collect()}
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got.values())
     held = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert np.mean([(got[k].score >= 0.3) == (k % 5 == 0) for k in held]) > 0.99
     assert got[5000].score < 0.3 and got[5001].score < 0.3 and got[None].score > 0.3
-    assert toxicity.scored(docs, *toxicity.learn(docs, marks.limit(0))).select(F.max("score")).first()[0] == 0
-    assert toxicity.scored(empty, *toxicity.learn(empty, marks)).count() == 0
+    assert toxicity.scored(docs, toxicity.learn(docs, marks.limit(0))).select(F.max("score")).first()[0] == 0
+    assert toxicity.scored(empty, toxicity.learn(empty, marks)).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    texts_too = toxicity.scored(named, toxicity.learn(named, marks.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))))
+    assert texts_too.count() == len(rows) and texts_too.where("score > 0.3").count() > 100
+    one_kind = toxicity.learn(docs, marks.where("toxic = 0 and doc_id < 100"))
+    assert not one_kind.markers and toxicity.scored(docs, one_kind).select(F.max("score")).first()[0] == 0
 
 
 # --- op10
@@ -593,3 +618,42 @@ def test_links_equal_all_pairs():
         assert got == slow_links(text, strong)
         n += len(got)
     assert n > 1000
+
+
+# --- clashing names, ties, many sources
+
+
+def test_columns_with_names_used_inside_are_kept(spark):
+    names = ["key", "same", "position", "bucket", "mixed", "__key", "__same", "__position", "__bucket", "lang_pred", "score", "fit", "passes", "h"]
+    rows = [(k, f"word{k % 7} and some more words of document {k} about the sea", "en", f"s{k % 3}", *[f"{n}{k}" for n in names]) for k in range(40)]
+    rows += [(3, rows[3][1], "en", "s0", *["zz"] * len(names)), (3, rows[3][1], "en", "s0", *["aa"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    want = collections.Counter(map(tuple, docs.collect()))
+    assert collections.Counter(tuple(r)[:-2] for r in shards.shuffled(docs, 5).collect()) == want
+    assert collections.Counter(map(tuple, language.reject_unknown(docs, language.learn(docs)).collect())) == want
+    kept = simhash.keep_one(docs)
+    assert set(map(tuple, kept.collect())) <= set(want) and {r.key for r in kept.where("doc_id = 3").collect()} <= {"aa"}
+    bench = spark.createDataFrame([(1, rows[5][1])], "item_id long, text string")
+    assert set(map(tuple, decontaminate.clean(docs, bench).collect())) <= set(want)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(want)
+    assert {r.key for r in mixed.where("doc_id = 3").collect()} <= {"aa"}
+    again = mixing.mixed(docs.repartition(7))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
+
+
+def test_targets_of_many_sources(spark):
+    """As many sources as a table of hosts has, whose sums are taken by ranges."""
+    sizes = [(f"a{k:04}", (k * 37) % 91) for k in range(600)]
+    got = {r.key: r for r in mixing.targets(spark.createDataFrame(sizes, "key string, size long")).collect()}
+    size, weight = dict(sizes), {key: (5, 2, 1)[k % 3] for k, (key, _) in enumerate(sizes)}
+    total, free = sum(size.values()), set(size)
+    while True:
+        rest, w = total - sum(3 * size[s] for s in size if s not in free), sum(weight[s] for s in free)
+        over = {s for s in free if rest * weight[s] / w > 3 * size[s]}
+        if not over:
+            break
+        free -= over
+    assert len(got) == 600
+    for s in size:
+        assert got[s].target == pytest.approx(rest * weight[s] / w if s in free else 3 * size[s])
