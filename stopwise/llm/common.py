@@ -55,13 +55,13 @@ def if_small(df: DataFrame) -> DataFrame:
 HOT_ROWS = 2_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
     """``rows`` joined with ``table`` (one row for each ``on``, which counts its rows in ``n_rows``) without putting a hot key into one task.
 
     Keys of more than ``total / SMALL_ROWS`` rows are fewer than ``SMALL_ROWS`` if ``total`` is the number of ``rows``, so their part of ``table`` is
     broadcast, by a proven bound; the others are shuffled.
     """
-    above = max(HOT_ROWS, total // SMALL_ROWS)
+    above = max(least, total // SMALL_ROWS)
     if total <= above:
         return rows.join(table.drop("n_rows"), on, how)
     hot, cool = table.where(F.col("n_rows") > above).drop("n_rows"), table.where(F.col("n_rows") <= above).drop("n_rows")

@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, spread_join
 
 
+#: Edges of a node that one task may hold.
+HOT_EDGES = 50_000
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).select("u", F.least("u", "m").alias("m"), "n_rows")
-    return spread_join(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return spread_join(both, least, "u", 2 * total, least=HOT_EDGES).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
-    low = spread_join(down, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = spread_join(down, least, "u", total, least=HOT_EDGES).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return low.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -270,21 +270,26 @@ def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.where(sizes).where(f"9 * ({apart}) <= na + nb").select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, counts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(u, v): the pairs (a, b) of nodes whose whole sets are similar enough; ``pairs`` has to be cut from its lineage."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x) for x in raw_texts(batch.column(1))])], ["node", "s"])
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    key = prints.select("node", "key").join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    key = if_small(cut_lineage(key))
+    key = if_small(cut_lineage(counts.select("node", "key").join(asked, "node", "left_semi")))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(key, "key").select("node", "text")
     sets = map_arrow(rows, "node long, s array<long>", work).dropDuplicates(["node"])  # one exchange serves both joins
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _near_roots(edges: DataFrame) -> DataFrame:
+    """(node, root): nodes of one root are connected; not all that are connected have one. One step is enough to leave most known links out."""
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("root")))
+    return cut_lineage(both.groupBy("node").agg(F.min("root").alias("root")).select("node", F.least("node", "root").alias("root")))
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge."""
     star = components(edges)
@@ -294,17 +299,14 @@ def _roots(edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """(doc_id, key, root): one row for each row of ``docs``; ``root`` is a node that stands for the group."""
     prints = sets_of(docs, id_col, text_col)
-    counts = cut_lineage(prints.groupBy("node").agg(F.count("*").alias("n_rows")))
+    counts = cut_lineage(prints.groupBy("node").agg(F.count("*").alias("n_rows"), F.min("key").alias("key")))
     many = if_small(cut_lineage(counts.where("n_rows > 1").select("node")))
     shape = ["node", "n", "fp", "parity", "sketch", "head"]
     # heads are moved only where a node has several rows
     nodes = prints.join(many, "node", "left_anti").select(shape).union(prints.join(many, "node", "left_semi").select(shape).dropDuplicates(["node"]))
 
     def proven(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(confirmed(pairs, docs, prints, id_col, text_col))
-
-    def more(roots: DataFrame, edges: DataFrame) -> DataFrame:
-        return roots if edges.isEmpty() else _roots(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges))
+        return cut_lineage(confirmed(pairs, docs, counts, id_col, text_col))
 
     # what SimHash finds
     prints_of = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n_rows")))
@@ -312,18 +314,23 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
     links = cut_lineage(link_edges(prints_of.select("fp")))
     least = prints_of.select("fp", "least")
     links = links.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
-    roots = _roots(proven(cut_lineage(screened(equal.union(links).distinct(), nodes))))
+    edges = proven(cut_lineage(screened(equal.union(links).distinct(), nodes)))
+    roots = _near_roots(edges)
     # short lists
     at = F.coalesce("root", "node").alias("root")
     filed = nodes.join(if_small(roots), "node", "left").select(F.explode("head").alias("token"), "node", at, "n", "parity")
     first = cut_lineage(short_pairs(filed, short))
-    roots = more(roots, proven(cut_lineage(screened(first.where("token is null").select("a", "b").distinct(), nodes))))
+    edges = edges.union(proven(cut_lineage(screened(first.where("token is null").select("a", "b").distinct(), nodes))))
     # long lists
     long = cut_lineage(first.where("token is not null").select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     failed = long.limit(0).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     for turn in range(ROUNDS + 1):
         if long.isEmpty():
             break
+        if turn:  # now that few lists are left, all that are connected are known by one root
+            roots = _roots(edges)
+        else:
+            roots = _near_roots(edges)
         rows = nodes.select(F.explode("head").alias("token"), "node").join(if_small(long), "token")
         rows = rows.join(nodes.select("node", "n", "parity", "sketch"), "node").join(if_small(roots), "node", "left")
         bad = failed.union(failed.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
@@ -335,14 +342,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
         found = cut_lineage(long_pairs(rows, turn == ROUNDS))
         pairs = cut_lineage(found.select("a", "b").distinct())
         good = proven(pairs)
-        roots = more(roots, good)
+        edges = edges.union(good)
         wrong = cut_lineage(pairs.join(good.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"))
         again = found.join(wrong, ["a", "b"], "left_semi").select("token").distinct()
         if not turn:
             again = again.union(long.where("blocks > 1").select("token")).distinct()
         failed = cut_lineage(failed.union(wrong))
         long = cut_lineage(long.join(again, "token", "left_semi"))
-    of = counts.join(roots, "node", "left").select("node", at, "n_rows")
+    of = counts.join(_roots(edges), "node", "left").select("node", at, "n_rows")
     return spread_join(prints.select("doc_id", "key", "node"), cut_lineage(of), "node", prints.count()).select("doc_id", "key", "root")
 
 
