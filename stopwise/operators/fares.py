@@ -7,46 +7,49 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FILTERS = (("route_id", 4), ("origin_id", 2), ("destination_id", 1))
+# What a rule can ask of a leg, with the weight of its being asked.
+FILTERS = (("route_id", 4), ("origin_id", 2), ("destination_id", 2), ("contains_id", 1))
 
 
 def best_fares(legs: DataFrame, rules: DataFrame, fares: DataFrame) -> DataFrame:
-    """(leg columns, fare_id, price, currency, transfers): for each leg the most specific rule, then the cheapest, then the least id.
+    """(leg columns, fare_id, price, currency, transfers, duration_s): for each leg the most specific rule, then the cheapest, then the least id; legs without a rule go.
 
-    A rule's null filters match anything. Instead of a nested loop, a leg is looked up under each of the eight keys that a
-    rule for it can have (each filter set or open), and of the rules of one key only the best is kept.
+    A rule's null filters match anything; ``contains_id`` matches either zone of the leg. Instead of a nested loop, a leg is looked up under each of the keys
+    that a rule for it can have (each filter set or open, the last one under both zones), and of the rules of one key only the best is kept.
     """
+    names = [name for name, _ in FILTERS]
 
-    def key(weight: int | Column, values: list[Column]) -> Column:
-        return F.concat_ws("|", F.lit(weight) if isinstance(weight, int) else weight, *(F.coalesce(v.cast("string"), F.lit("*")) for v in values))
+    def key(values: list[Column]) -> Column:
+        return F.concat_ws("|", *(F.coalesce(v.cast("string"), F.lit("*")) for v in values))
 
     weight = sum((F.when(F.col(name).isNotNull(), w).otherwise(0) for name, w in FILTERS), F.lit(0))
-    priced = rules.join(fares, "fare_id").select(weight.alias("weight"), key(weight, [F.col(n) for n, _ in FILTERS]).alias("key"), "price", "fare_id", "currency", "transfers")
-    best_rule = priced.groupBy("key", "weight").agg(F.min(F.struct("price", "fare_id", "currency", "transfers")).alias("r"))
+    priced = rules.join(fares, "fare_id").select(weight.alias("weight"), key([F.col(n) for n in names]).alias("key"), "price", "fare_id", "currency", "transfers", "duration_s")
+    best_rule = priced.groupBy("key", "weight").agg(F.min(F.struct("price", "fare_id", "currency", "transfers", "duration_s")).alias("r"))
     keys = []
     for sets in product((False, True), repeat=len(FILTERS)):
-        total = sum(w for (_, w), used in zip(FILTERS, sets, strict=True) if used)
-        usable = F.lit(True)
-        for (name, _), used in zip(FILTERS, sets, strict=True):
-            usable = usable & F.col(name).isNotNull() if used else usable
-        keys.append(F.when(usable, key(total, [F.col(n) if used else F.lit(None) for (n, _), used in zip(FILTERS, sets, strict=True)])))
-    tried = legs.withColumn("key", F.explode(F.array_compact(F.array(*keys)))).join(best_rule, "key")
+        for zone in ("origin_id", "destination_id") if sets[-1] else ("",):
+            columns = [*names[:-1], zone]
+            usable = F.lit(True)
+            for name, used in zip(columns, sets, strict=True):
+                usable = usable & F.col(name).isNotNull() if used else usable
+            keys.append(F.when(usable, key([F.col(n) if used else F.lit(None) for n, used in zip(columns, sets, strict=True)])))
+    tried = legs.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys))))).join(best_rule, "key")
     best = F.min(F.struct((-F.col("weight")).alias("w"), "r")).alias("x")
-    return tried.groupBy(*legs.columns).agg(best).select(*legs.columns, "x.r.fare_id", "x.r.price", "x.r.currency", "x.r.transfers")
+    return tried.groupBy(*legs.columns).agg(best).select(*legs.columns, "x.r.fare_id", "x.r.price", "x.r.currency", "x.r.transfers", "x.r.duration_s")
 
 
-def journey_fares(legs: DataFrame, duration_s: int = 5400) -> DataFrame:
-    """(journey_id, price, tickets) for legs (journey_id, leg, board_s, fare_id, price, transfers); unpriced or mixed currency gives null.
+def journey_fares(legs: DataFrame) -> DataFrame:
+    """(journey_id, price, tickets) for legs (journey_id, leg, board_s, fare_id, price, currency, transfers, duration_s); unpriced or mixed currency gives null.
 
     Legs are folded in order: a held ticket of the same fare serves again while transfers are left (null: any number) and
-    its first boarding is not longer ago than ``duration_s``.
+    its first boarding is not longer ago than the fare's duration (null: any time).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("leg", "board_s", "fare_id", "price", "transfers", "currency")))
+    ordered = F.array_sort(F.collect_list(F.struct("leg", "board_s", "fare_id", "price", "transfers", "currency", "duration_s")))
     rows = legs.groupBy("journey_id").agg(ordered.alias("legs"))
     start = F.struct(F.lit(0.0).alias("price"), F.lit(0).alias("tickets"), F.lit(None).cast("long").alias("held"), F.lit(0).alias("used"), F.lit(0).cast("long").alias("since"))
 
     def fold(now, leg):
-        again = (now["held"] == leg["fare_id"]) & (leg["transfers"].isNull() | (now["used"] < leg["transfers"])) & (leg["board_s"] - now["since"] <= duration_s)
+        again = (now["held"] == leg["fare_id"]) & (leg["transfers"].isNull() | (now["used"] < leg["transfers"])) & (leg["duration_s"].isNull() | (leg["board_s"] - now["since"] <= leg["duration_s"]))
         again = F.coalesce(again, F.lit(False))
         return F.struct(
             F.when(again, now["price"]).otherwise(now["price"] + leg["price"]).alias("price"), F.when(again, now["tickets"]).otherwise(now["tickets"] + 1).alias("tickets"),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOLERANCE_S, AMBIGUOUS_S, CERTAIN_S = 900, 120, 60
-TAIL_LEAST = 6
+TAIL_LEAST, TAIL_INSIDE = 6, 8
 
 
 def by_keys(refs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -17,34 +17,63 @@ def by_keys(refs: DataFrame, keys: DataFrame) -> DataFrame:
     return tried.join(first, "key").groupBy("ref").agg(F.min_by("trip_id", "at").alias("trip_id"))
 
 
-def by_time(refs: DataFrame, trips: DataFrame) -> DataFrame:
-    """(ref, trip_id): refs (ref, line, at_s) to the trip of the line whose departure is nearest within the tolerance.
+def by_time(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(ref, trip_id): refs (ref, line, at_s) to the trip of the line whose departure is nearest within the tolerance, of equals the least trip.
 
-    Two candidates within two minutes of each other are ambiguous unless the nearest is within one. Candidates come from an
-    equi-join on line and time slot, a slot being as long as the tolerance.
+    ``runs`` (line, trip_id, dep_s) are on the clock of ``at_s`` (``on_clock``). A trip with another one of its line within two minutes is
+    ambiguous unless it is within one minute of the reference. References and runs of a line are merged by time, in slots as
+    long as the tolerance to which runs of the neighbouring slots are added, so that no pair of them is made.
     """
-    slot = F.floor(F.col("at_s") / TOLERANCE_S)
-    asks = refs.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    runs = trips.select("line", "trip_id", "dep_s", F.floor(F.col("dep_s") / TOLERANCE_S).alias("slot"))
-    near = asks.join(runs, ["line", "slot"]).withColumn("delta", F.abs(F.col("dep_s") - F.col("at_s"))).where(F.col("delta") <= TOLERANCE_S)
-    order = W.partitionBy("ref").orderBy("delta", "trip_id")
-    near = near.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("delta").over(order)).where("n = 1")
-    clear = F.col("second").isNull() | (F.col("second") - F.col("delta") > AMBIGUOUS_S) | (F.col("delta") <= CERTAIN_S)
-    return near.where(clear).select("ref", "trip_id")
+    near = W.partitionBy("line").orderBy("dep_s").rangeBetween(-AMBIGUOUS_S, AMBIGUOUS_S)
+    # counted by line and time: a line has at most a day of seconds
+    per = runs.groupBy("line", "dep_s").agg(F.min("trip_id").alias("trip_id"), F.count_distinct("trip_id").alias("n"))
+    per = per.withColumn("close", F.sum("n").over(near)).drop("n")
+    slot = F.floor(F.col("dep_s") / TOLERANCE_S)
+    there = per.select("line", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), F.col("dep_s").alias("t"), F.struct("dep_s", "trip_id", "close").alias("run"), F.lit(None).cast(refs.schema["ref"].dataType).alias("ref"))
+    asks = refs.select("line", F.floor(F.col("at_s") / TOLERANCE_S).alias("slot"), F.col("at_s").alias("t"), F.lit(None).cast(there.schema["run"].dataType).alias("run"), "ref")
+    w = W.partitionBy("line", "slot").orderBy("t", F.col("ref").isNotNull())
+    before, after = w.rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("line", "slot").orderBy("t", F.col("ref").isNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
+    both = there.unionByName(asks).withColumn("a", F.last("run", True).over(before)).withColumn("b", F.first("run", True).over(after)).where("ref is not null")
+    found = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.dep_s") - F.col("t")).alias("delta"), F.col(f"{c}.trip_id").alias("trip_id"), F.col(f"{c}.close").alias("close"))) for c in "ab"]
+    both = both.select("ref", F.least(*found).alias("x"))
+    return both.where((F.col("x.delta") <= TOLERANCE_S) & ((F.col("x.close") <= 1) | (F.col("x.delta") <= CERTAIN_S))).select("ref", "x.trip_id")
 
 
-def by_tail(refs: DataFrame, trips: DataFrame, least: int = TAIL_LEAST) -> DataFrame:
-    """(ref, trip_id): refs (ref, tail) whose tail ends exactly one trip's name (name, trip_id).
+def on_clock(today: DataFrame, yesterday: DataFrame) -> DataFrame:
+    """(line, trip_id, dep_s) of both days' trips on today's clock; of the day before those of its second half, 24 hours earlier."""
+    return today.unionByName(yesterday.where(F.col("dep_s") >= 43_200).withColumn("dep_s", F.col("dep_s") - 86_400))
 
-    Names are filed under their endings of the lengths that tails have, which makes the search an equi-join.
+
+def by_tail(refs: DataFrame, trips: DataFrame, least: int = TAIL_LEAST, inside: int = TAIL_INSIDE) -> DataFrame:
+    """(ref, trip_id): refs (ref, tail) whose tail ends exactly one trip's name (name, trip_id), or stands anywhere in it from ``inside`` letters on.
+
+    Names are filed under their endings, and from ``inside`` letters on under all their parts, of the lengths that tails have, which makes
+    the search an equi-join. A name gives no more parts than it has letters for each length.
     """
-    asks = refs.where(F.length("tail") >= least).withColumn("n", F.length("tail"))
-    lengths = asks.select("n").distinct()
-    ends = trips.crossJoin(F.broadcast(lengths)).where(F.length("name") >= F.col("n")).select(F.expr("right(name, n)").alias("tail"), "trip_id")
+    asks = refs.where(F.length("tail") >= least)
+    lengths = [r[0] for r in asks.select(F.length("tail").alias("n")).distinct().collect()]  # as many as a name has letters
+    if not lengths:
+        return asks.join(trips.limit(0), F.lit(False)).select("ref", "trip_id")
+    anywhere, at_end = "transform(sequence(1, length(name) - {n} + 1), k -> substring(name, k, {n}))", "array(right(name, {n}))"
+    parts = [F.expr(f"case when length(name) >= {n} then {(anywhere if n >= inside else at_end).format(n=n)} end") for n in sorted(lengths)]
+    ends = trips.select("trip_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))).alias("tail"))
     hits = asks.join(ends, "tail").groupBy("ref").agg(F.count_distinct("trip_id").alias("n"), F.min("trip_id").alias("trip_id"))
     return hits.where("n = 1").select("ref", "trip_id")
 
 
+def by_descriptor(refs: DataFrame, live: DataFrame) -> DataFrame:
+    """(ref, trip_id): refs (ref, route_id, direction_id, start_date) that name a route, and a direction and date or not, to the least live trip of that kind.
+
+    ``live`` (trip_id, route_id, direction_id, start_date). Routes are equal as they stand, or one is the other's name without its feed. What a
+    reference names the live trip has to have.
+    """
+    tail = F.element_at(F.split("route_id", ":"), -1)
+    keys = live.where("route_id is not null").select("trip_id", F.col("direction_id").alias("d"), F.col("start_date").alias("s"), F.explode(F.array_distinct(F.array(F.struct(F.lit("as it is").alias("how"), F.col("route_id").alias("key")), F.struct(F.lit("tail").alias("how"), tail.alias("key"))))).alias("k")).select("trip_id", "d", "s", "k.*")
+    asks = refs.select("ref", "direction_id", "start_date", F.explode(F.array_distinct(F.array(F.struct(F.lit("as it is").alias("how"), F.col("route_id").alias("key")), F.struct(F.lit("tail").alias("how"), F.col("route_id").alias("key")), F.struct(F.lit("as it is").alias("how"), tail.alias("key"))))).alias("k")).select("ref", "direction_id", "start_date", "k.*")
+    fits = (F.col("direction_id").isNull() | (F.col("d") == F.col("direction_id"))) & (F.col("start_date").isNull() | (F.col("s") == F.col("start_date")))
+    return asks.join(keys, ["how", "key"]).where(fits).groupBy("ref").agg(F.min("trip_id").alias("trip_id"))
+
+
 def cascade(refs: DataFrame, steps: list) -> DataFrame:
     """(ref, trip_id, step): ``steps`` are (name, function of the refs still open); earlier ones win."""
     found, left = None, refs

@@ -26,13 +26,15 @@ def max_rounds(rounds: int, max_transfers: int) -> int:
 def ride(frontier: DataFrame, events: DataFrame, buffer_s: int) -> DataFrame:
     """(query_id, stop_id, arr, trip_id, board_stop, board_off, board_s, off): every stop that the boarded trips reach.
 
-    Of each trip the earliest stop where it can be caught is boarded.
+    Of each trip the stop where it leaves earliest of those where it can be caught is boarded. A stop is reached with its own delay if it has one, else with the
+    delay at boarding.
     """
-    boards = frontier.join(events.where("pickup_type <> 1").select("stop_id", "trip_id", "off", "departure_s"), "stop_id").where(F.col("departure_s") >= F.col("arr") + buffer_s)
-    boards = boards.groupBy("query_id", "trip_id").agg(F.min(F.struct(F.col("off").alias("board_off"), F.col("departure_s").alias("board_s"), F.col("stop_id").alias("board_stop"))).alias("b"))
-    onward = events.where("drop_off_type <> 1").select("trip_id", "off", "stop_id", F.col("arrival_s").alias("arr"))
+    boards = frontier.join(events.where("pickup_type <> 1").select("stop_id", "trip_id", "off", "departure_s", "shift"), "stop_id").where(F.col("departure_s") >= F.col("arr") + buffer_s)
+    boards = boards.groupBy("query_id", "trip_id").agg(F.min(F.struct(F.col("departure_s").alias("board_s"), F.col("off").alias("board_off"), F.col("stop_id").alias("board_stop"), "shift")).alias("b"))
+    onward = events.where("drop_off_type <> 1").select("trip_id", "off", "stop_id", "arrival_s", "own_delay")
+    arr = F.greatest(F.col("arrival_s") + F.coalesce("own_delay", "b.shift"), F.lit(0)).cast("long")
     out = boards.join(onward, "trip_id").where(F.col("off") > F.col("b.board_off"))
-    return out.select("query_id", "stop_id", "arr", "trip_id", "b.board_stop", "b.board_off", "b.board_s", "off")
+    return out.select("query_id", "stop_id", arr.alias("arr"), "trip_id", "b.board_stop", "b.board_off", "b.board_s", "off")
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -46,20 +48,27 @@ def _improving(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, KEY, "left").where(F.col("known").isNull() | (F.col("arr") < F.col("known"))).drop("known")
 
 
-def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int, buffer_s: int = 120) -> DataFrame:
+def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int, buffer_s: int = 120, targets: DataFrame | None = None) -> DataFrame:
     """Labels of all rounds: (query_id, stop_id, arr, round, kind, trip_id, board_stop, board_off, board_s, off, from_stop).
 
     ``start`` (query_id, stop_id, arr); no buffer before the first boarding. A stop has a row for each round that improved it.
     Round k's rides and walks have ``round`` k, starting from 1; the start has 0. The strict one-hop walk is used: only
-    stops improved by riding in this round are walked from.
+    stops improved by riding in this round are walked from. With ``targets`` (query_id, stop_id), labels that are not earlier than the query's
+    latest best target cannot improve one and are not kept; labels of the targets themselves stay exact.
     """
     nothing = {c: F.lit(None).cast("long") for c in ("trip_id", "board_stop", "board_off", "board_s", "off", "from_stop")}
     labels = cut(start.select(*KEY, F.col("arr").cast("long").alias("arr"), F.lit(0).alias("round"), F.lit(START).alias("kind"), *(v.alias(c) for c, v in nothing.items())))
     every, frontier = labels, labels.select(*KEY, "arr")
-    events = events.select("trip_id", "off", "stop_id", "arrival_s", "departure_s", "pickup_type", "drop_off_type").persist()
+    for c in ("shift", "own_delay"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(0).cast("long"))
+    events = events.select("trip_id", "off", "stop_id", "arrival_s", "departure_s", "pickup_type", "drop_off_type", "shift", "own_delay").persist()
+    wanted = None if targets is None else targets.select(*KEY).distinct()
     for k in range(1, n + 1):
         best = earliest(every)  # over the cut labels of all rounds, which are small beside the events
         rides = _improving(_best(ride(frontier, events, 0 if k == 1 else buffer_s)), best)
+        if wanted is not None:
+            rides = _within(rides, best, wanted)
         rides = cut(rides.select(*KEY, "arr", F.lit(k).alias("round"), F.lit(RIDE).alias("kind"), "trip_id", "board_stop", "board_off", "board_s", "off", F.lit(None).cast("long").alias("from_stop")))
         new = rides
         if walks is not None:
@@ -75,6 +84,12 @@ def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int,
     return every
 
 
+def _within(rows: DataFrame, best: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows that can still improve a target of their query: all while a target is not reached, then those before the latest best target."""
+    reached = targets.join(best, KEY, "left").groupBy("query_id").agg(F.when(F.count_if(F.col("arr").isNull()) == 0, F.max("arr")).alias("limit"))
+    return rows.join(reached, "query_id", "left").where(F.col("limit").isNull() | (F.col("arr") < F.col("limit"))).drop("limit")
+
+
 def earliest(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*KEY).agg(F.min("arr").alias("arr"))
 
@@ -151,7 +166,14 @@ def arrive_by_seeds(queries: DataFrame, look_back_s: int = 21_600, step_s: int =
 
 
 def pareto(journeys: DataFrame, group: str = "query_id") -> DataFrame:
-    """Journeys that no other one of the query beats: arrival, transfers and walk not more, departure not less, one of them better."""
+    """Journeys that no other one of the query beats: arrival, transfers and walk not more, departure not less, one of them better.
+
+    Journeys beaten by the one of least walk among the earlier arrivals of as many transfers go first, in one pass by arrival; only those left are compared with each other.
+    """
+    earlier = W.partitionBy(group, "transfers").orderBy("arrival_s").rangeBetween(W.unboundedPreceding, -1)
+    least = F.min(F.struct("walk_m", (-F.col("departure_s")).alias("back"))).over(earlier)
+    beaten = (F.col("least.walk_m") <= F.col("walk_m")) & (-F.col("least.back") >= F.col("departure_s"))
+    journeys = journeys.withColumn("least", least).where(~F.coalesce(beaten, F.lit(False))).drop("least")
     cols = ["arrival_s", "transfers", "walk_m", "departure_s"]
     other = journeys.select(F.col(group).alias("o_group"), *(F.col(c).alias(f"o_{c}") for c in cols)).distinct()
     better = (F.col("o_arrival_s") <= F.col("arrival_s")) & (F.col("o_transfers") <= F.col("transfers")) & (F.col("o_walk_m") <= F.col("walk_m")) & (F.col("o_departure_s") >= F.col("departure_s"))

@@ -123,14 +123,22 @@ def line_positions(stop_times: DataFrame) -> DataFrame:
 
 
 def fifo_lines(stop_times: DataFrame) -> DataFrame:
-    """(line_key, n_trips, fifo): no trip of the line is overtaken at any stop by the next one."""
+    """(line_key, n_trips, fifo): no trip of the line is overtaken at any stop by the next one, and all may be boarded and left alike there."""
     rows = stop_times.join(line_positions(stop_times), "trip_id")
     w = W.partitionBy("line_key", "off").orderBy("position")
     kept = (F.col("departure_s") >= F.lag("departure_s").over(w)) & (F.col("arrival_s") >= F.lag("arrival_s").over(w))
-    rows = rows.withColumn("kept", F.coalesce(kept, F.lit(True)))
+    alike = (F.col("pickup_type") == F.lag("pickup_type").over(w)) & (F.col("drop_off_type") == F.lag("drop_off_type").over(w))
+    rows = rows.withColumn("kept", F.coalesce(kept & alike, F.lit(True)))
     return rows.groupBy("line_key").agg(F.count_distinct("trip_id").alias("n_trips"), F.bool_and("kept").alias("fifo"))
 
 
+def scheduled_runs(stop_times: DataFrame, least_s: int = 30) -> DataFrame:
+    """(trip_id, off, run_s, from_stop): seconds from the stop before by schedule, ``least_s`` at least."""
+    w = W.partitionBy("trip_id").orderBy("off")
+    rows = stop_times.select("trip_id", "off", F.greatest(F.col("arrival_s") - F.lag("departure_s").over(w), F.lit(least_s)).alias("run_s"), F.lag("stop_id").over(w).alias("from_stop"))
+    return rows.where("from_stop is not null")
+
+
 def layout_links(stop_times: DataFrame) -> DataFrame:
     """(a, b, weight): how often two stops follow each other in either direction."""
     low, high = F.least("from_stop", "to_stop"), F.greatest("from_stop", "to_stop")

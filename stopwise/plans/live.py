@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ NOW = 1_705_302_000
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     def register(f):
         QUERIES[f.__name__] = lambda spark, folder: f(Network(spark, folder))
         if sql:
-            SQL[f.__name__] = with_views(sql)
+            SQL[f.__name__] = with_views(sql, recursive)
         return f
 
     return register
@@ -127,8 +129,12 @@ def vehicles_synthetic(net: Network) -> DataFrame:
 
 
 LEGS_SQL = "legs as (select l_orderkey as journey_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as leg, l_partkey % 40 as route_id, l_suppkey % 4 as origin_id, (l_suppkey + 1) % 4 as destination_id, 28800 + l_linenumber * 1500 as board_s from lineitem)"
-BEST_SQL = """best as (select * from (select l.*, r.fare_id, a.price, a.currency, a.transfers, row_number() over (partition by l.journey_id, l.leg order by -(case when r.route_id is not null then 4 else 0 end + case when r.origin_id is not null then 2 else 0 end + case when r.destination_id is not null then 1 else 0 end), a.price, r.fare_id) as n
-from legs l join fare_rules r on (r.route_id is null or r.route_id = l.route_id) and (r.origin_id is null or r.origin_id = l.origin_id) and (r.destination_id is null or r.destination_id = l.destination_id) join fare_attributes a on a.fare_id = r.fare_id) where n = 1)"""
+BEST_SQL = """best as (select * from (select l.*, r.fare_id, a.price, a.currency, a.transfers, a.duration_s, row_number() over (partition by l.journey_id, l.leg order by -(case when r.route_id is not null then 4 else 0 end + case when r.origin_id is not null then 2 else 0 end + case when r.destination_id is not null then 2 else 0 end + case when r.contains_id is not null then 1 else 0 end), a.price, r.fare_id) as n
+from legs l join fare_rules r on (r.route_id is null or r.route_id = l.route_id) and (r.origin_id is null or r.origin_id = l.origin_id) and (r.destination_id is null or r.destination_id = l.destination_id) and (r.contains_id is null or r.contains_id = l.origin_id or r.contains_id = l.destination_id) join fare_attributes a on a.fare_id = r.fare_id) where n = 1)"""
+FOLD_SQL = f"""{LEGS_SQL}, {BEST_SQL}, every as (select l.*, b.fare_id, b.price, b.currency, b.transfers, b.duration_s from legs l left join best b using (journey_id, leg)),
+fold as (select journey_id, leg, price, 1 as tickets, fare_id as held, 0 as used, board_s as since from every where leg = 1
+union all select e.journey_id, e.leg, case when g then f.price else f.price + e.price end, case when g then f.tickets else f.tickets + 1 end, e.fare_id, case when g then f.used + 1 else 0 end, case when g then f.since else e.board_s end
+from fold f join (select * from every) e on e.journey_id = f.journey_id and e.leg = f.leg + 1, lateral (select coalesce(f.held = e.fare_id and (e.transfers is null or f.used < e.transfers) and (e.duration_s is null or e.board_s - f.since <= e.duration_s), false) as g))"""
 
 
 def _legs(net: Network) -> DataFrame:
@@ -139,9 +145,9 @@ def _legs(net: Network) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("journey_id"), (F.col("off") + 1).alias("leg"), (F.col("l_partkey") % 40).alias("route_id"), (s % 4).alias("origin_id"), ((s + 1) % 4).alias("destination_id"), (28800 + F.col("l_linenumber") * 1500).alias("board_s"))
 
 
-@query(f"with {LEGS_SQL}, {BEST_SQL} select journey_id, leg::int as leg, fare_id, round(price, 2) as price from best")
+@query(f"with {LEGS_SQL}, {BEST_SQL} select journey_id, leg::int as leg, fare_id, round(price, 4) as price from best")
 def fare_best(net: Network) -> DataFrame:
-    return fares.best_fares(_legs(net), net.fare_rules, net.fare_attributes).select("journey_id", "leg", "fare_id", F.round("price", 2).alias("price"))
+    return fares.best_fares(_legs(net), net.fare_rules, net.fare_attributes).select("journey_id", "leg", "fare_id", F.round("price", 4).alias("price"))
 
 
 @query(f"with {LEGS_SQL}, {BEST_SQL} select journey_id, count(*) as legs, count(distinct fare_id) as fares, sum(cast(round(price * 1000) as bigint))::bigint as single_mills from best group by journey_id")
@@ -150,11 +156,13 @@ def fare_tickets(net: Network) -> DataFrame:
     return rows.groupBy("journey_id").agg(F.count("*").alias("legs"), F.count_distinct("fare_id").alias("fares"), F.sum(F.round(F.col("price") * 1000).cast("long")).alias("single_mills"))
 
 
-@query()
+@query(f"with {FOLD_SQL} select f.journey_id, case when x.priced then round(f.price, 6) end as price, case when x.priced then f.tickets end::int as tickets from fold f join (select journey_id, max(leg) as leg, bool_and(fare_id is not null) and count(distinct currency) = 1 as priced from every group by journey_id) x using (journey_id, leg)", recursive=True)
 def journey_fare(net: Network) -> DataFrame:
-    """Tickets used again along a journey; a fold, checked by its own tests."""
-    rows = fares.best_fares(_legs(net), net.fare_rules, net.fare_attributes)
-    return fares.journey_fares(rows.select("journey_id", "leg", "board_s", "fare_id", "price", "currency", "transfers"))
+    """Tickets used again along a journey."""
+    legs = _legs(net)
+    rows = legs.join(fares.best_fares(legs, net.fare_rules, net.fare_attributes).select("journey_id", "leg", "fare_id", "price", "currency", "transfers", "duration_s"), ["journey_id", "leg"], "left")
+    found = fares.journey_fares(rows.select("journey_id", "leg", "board_s", "fare_id", "price", "currency", "transfers", "duration_s"))
+    return found.withColumn("price", F.round("price", 6))
 
 
 @query("select event_id as ref, trip_id from rt_events join trips using (trip_id) where event_id % 3 <> 2")
@@ -167,24 +175,84 @@ def resolve_trip_exact_alias(net: Network) -> DataFrame:
     return resolve.by_keys(refs, keys)
 
 
-@query("""with asks as (select event_id as ref, e.trip_id % 40 as line, t.first_dep_s + event_id % 1300 - 650 as at_s from rt_events e join trips t using (trip_id)),
-near as (select ref, t.trip_id, abs(first_dep_s - at_s) as delta, row_number() over w as n, lead(abs(first_dep_s - at_s)) over w as second from asks join trips t on t.pattern_id = line and abs(first_dep_s - at_s) <= 900 window w as (partition by ref order by abs(first_dep_s - at_s), t.trip_id))
-select ref, trip_id from near where n = 1 and (second is null or second - delta > 120 or delta <= 60)""")
+BEFORE_SQL = """active_before as (select service_id from (select service_id from services where date '2024-01-14' between start_date and end_date and days & (1 << (isodow(date '2024-01-14') - 1)) > 0
+union select service_id from calendar_dates where date = date '2024-01-14' and exception_type = 1) where service_id not in (select service_id from calendar_dates where date = date '2024-01-14' and exception_type = 2))"""
+CLOCK_SQL = f"""{BEFORE_SQL}, runs as (select pattern_id as line, trip_id, first_dep_s as dep_s from trips where service_id in (from active)
+union all select pattern_id, trip_id, first_dep_s - 86400 from trips where service_id in (from active_before) and first_dep_s >= 43200)"""
+
+
+def _clock(net: Network) -> DataFrame:
+    """Departures of the day and of the day before on the day's clock."""
+    from ..operators import calendar
+
+    before = calendar.active_services(net.services, net.calendar_dates, DAY - dt.timedelta(days=1))
+    today, yesterday = (net.trips.join(days, "service_id", "left_semi").select(F.col("pattern_id").alias("line"), "trip_id", F.col("first_dep_s").alias("dep_s")) for days in (active(net), before))
+    return resolve.on_clock(today, yesterday)
+
+
+@query(f"""with {CLOCK_SQL}, asks as (select event_id as ref, e.trip_id % 40 as line, (t.first_dep_s + event_id % 1300 - 650) % 86400 as at_s from rt_events e join trips t using (trip_id)),
+near as (select ref, r.line, r.dep_s, r.trip_id, abs(r.dep_s - at_s) as delta, row_number() over (partition by ref order by abs(r.dep_s - at_s), r.trip_id) as n from asks a join runs r on r.line = a.line and abs(r.dep_s - at_s) <= 900)
+select ref, trip_id from near x where n = 1 and (delta <= 60 or (select count(*) from runs r where r.line = x.line and abs(r.dep_s - x.dep_s) <= 120) <= 1)""")
 def resolve_trip_time(net: Network) -> DataFrame:
     trips = net.trips.select(F.col("pattern_id").alias("line"), "trip_id", F.col("first_dep_s").alias("dep_s"))
-    asks = net.rt_events.join(trips, "trip_id").select(F.col("event_id").alias("ref"), "line", (F.col("dep_s") + F.col("event_id") % 1300 - 650).alias("at_s"))
-    return resolve.by_time(asks, trips)
+    asks = net.rt_events.join(trips, "trip_id").select(F.col("event_id").alias("ref"), "line", ((F.col("dep_s") + F.col("event_id") % 1300 - 650) % 86_400).alias("at_s"))
+    return resolve.by_time(asks, _clock(net))
+
 
+_NAME_SQL = "'T' || lpad((trip_id * 7919 % 1000000)::varchar, 8, '0')"
 
-@query("""with names as (select trip_id, 'T' || lpad((trip_id * 7919 % 1000000)::varchar, 8, '0') as name from trips),
-asks as (select event_id as ref, right('T' || lpad((trip_id * 7919 % 1000000)::varchar, 8, '0'), (6 + event_id % 2)::int) as tail from rt_events)
-select ref, min(n.trip_id) as trip_id from asks join names n on ends_with(n.name, tail) group by ref having count(distinct n.trip_id) = 1""")
+
+@query(f"""with names as (select trip_id, {_NAME_SQL} as name from trips),
+asks as (select event_id as ref, case event_id % 3 when 2 then left({_NAME_SQL}, 8) else right({_NAME_SQL}, (6 + event_id % 3)::int) end as tail from rt_events),
+parts as (select trip_id, unnest([right(name, 6), right(name, 7), left(name, 8), right(name, 8)]) as part from names)
+select ref, min(n.trip_id) as trip_id from asks join parts n on n.part = tail group by ref having count(distinct n.trip_id) = 1""")
 def resolve_trip_fuzzy(net: Network) -> DataFrame:
+    """Tails of six and seven letters end a name; beginnings of eight stand anywhere in one."""
     name = F.concat(F.lit("T"), F.lpad((F.col("trip_id") * 7919 % 1000000).cast("string"), 8, "0"))
-    asks = net.rt_events.withColumn("name", name).select(F.col("event_id").alias("ref"), F.expr("right(name, cast(6 + event_id % 2 as int))").alias("tail"))
+    asks = net.rt_events.withColumn("name", name).select(F.col("event_id").alias("ref"), F.expr("if(event_id % 3 = 2, left(name, 8), right(name, cast(6 + event_id % 3 as int)))").alias("tail"))
     return resolve.by_tail(asks, net.trips.select("trip_id", name.alias("name")))
 
 
+_LIVE_TRIPS_SQL = "lt as (select distinct e.trip_id, 'net:' || t.route_id::varchar as route_id, case when e.trip_id % 3 <> 0 then e.trip_id % 2 end as direction_id, case when e.trip_id % 5 <> 0 then '20240115' end as start_date from rt_events e join trips t using (trip_id))"
+
+
+@query(f"""with {_LIVE_TRIPS_SQL}, asks as (select event_id as ref, case when event_id % 4 = 0 then (event_id % 40)::varchar when event_id % 4 = 3 then 'far:' || (event_id % 40)::varchar else 'net:' || (event_id % 40)::varchar end as route_id, case when event_id % 3 = 0 then event_id % 2 end as direction_id, case when event_id % 7 = 0 then '20240115' end as start_date from rt_events)
+select ref, min(trip_id) as trip_id from asks a join lt l on (l.route_id = a.route_id or split_part(l.route_id, ':', 2) = a.route_id) and (a.direction_id is null or a.direction_id = l.direction_id) and (a.start_date is null or a.start_date = l.start_date) group by ref""")
+def resolve_trip_descriptor(net: Network) -> DataFrame:
+    """References that name only a route, a direction or a date."""
+    t, e = F.col("trip_id"), F.col("event_id")
+    live_trips = net.rt_events.select("trip_id").distinct().join(net.trips.select("trip_id", "route_id"), "trip_id")
+    live_trips = live_trips.select("trip_id", F.concat(F.lit("net:"), F.col("route_id").cast("string")).alias("route_id"), F.when(t % 3 != 0, t % 2).alias("direction_id"), F.when(t % 5 != 0, "20240115").alias("start_date"))
+    route = (e % 40).cast("string")
+    asks = net.rt_events.select(e.alias("ref"), F.when(e % 4 == 0, route).when(e % 4 == 3, F.concat(F.lit("far:"), route)).otherwise(F.concat(F.lit("net:"), route)).alias("route_id"), F.when(e % 3 == 0, e % 2).alias("direction_id"), F.when(e % 7 == 0, "20240115").alias("start_date"))
+    return resolve.by_descriptor(asks, live_trips)
+
+
+@query(f"""with {CLOCK_SQL}, asks as (select event_id as ref, e.trip_id, t.pattern_id as line, (t.first_dep_s + event_id % 700) % 86400 as at_s, case event_id % 5 when 0 then 'net:' || e.trip_id::varchar when 1 then 'OP:VehicleJourney::' || e.trip_id::varchar || ':LOC' when 2 then 'X' || right({_NAME_SQL.replace("trip_id", "e.trip_id")}, 7) else 'none' end as name from rt_events e join trips t using (trip_id)),
+exact as (select ref, trip_id, 'exact' as step from asks where event_kind(ref) = 0), alias as (select ref, trip_id, 'alias' as step from asks where event_kind(ref) = 1),
+near as (select ref, r.line, r.dep_s, r.trip_id, abs(r.dep_s - at_s) as delta, row_number() over (partition by ref order by abs(r.dep_s - at_s), r.trip_id) as n from asks a join runs r on r.line = a.line and abs(r.dep_s - at_s) <= 900 where event_kind(ref) >= 2),
+timed as (select ref, trip_id, 'time' as step from near x where n = 1 and (delta <= 60 or (select count(*) from runs r where r.line = x.line and abs(r.dep_s - x.dep_s) <= 120) <= 1)),
+tails as (select ref, min(n.trip_id) as trip_id, 'tail' as step from asks a join (select trip_id, right({_NAME_SQL}, 7) as part from trips) n on n.part = right(a.name, 7) where event_kind(ref) = 2 and ref not in (select ref from timed) group by ref having count(distinct n.trip_id) = 1)
+from exact union all from alias union all from timed union all from tails""".replace("event_kind(ref)", "ref % 5"))
+def resolve_cascade(net: Network) -> DataFrame:
+    """The whole way: name, alias, line and time, tail; each step only for what the steps before left over."""
+    t, e = F.col("trip_id"), F.col("event_id")
+    own, alias = F.concat(F.lit("net:"), t.cast("string")), F.concat(F.lit("OP:VehicleJourney::"), t.cast("string"), F.lit(":LOC"))
+    name = F.concat(F.lit("T"), F.lpad((t * 7919 % 1000000).cast("string"), 8, "0"))
+    asks = net.rt_events.join(net.trips.select("trip_id", F.col("pattern_id").alias("line"), "first_dep_s"), "trip_id")
+    called = F.when(e % 5 == 0, own).when(e % 5 == 1, alias).when(e % 5 == 2, F.concat(F.lit("X"), F.right(name, F.lit(7)))).otherwise("none")
+    asks = asks.select(e.alias("ref"), "line", ((F.col("first_dep_s") + e % 700) % 86_400).alias("at_s"), called.alias("name"))
+    trips = net.trips
+
+    def named(column):
+        return lambda left: resolve.by_keys(left.select("ref", F.array("name").alias("candidates")), trips.select(column.alias("key"), "trip_id"))
+
+    clock = _clock(net)
+    steps = [("exact", named(own)), ("alias", named(alias)), ("time", lambda left: resolve.by_time(left.select("ref", "line", "at_s"), clock))]
+    steps.append(("tail", lambda left: resolve.by_tail(left.where("name like 'X%'").select("ref", F.right("name", F.lit(7)).alias("tail")), trips.select("trip_id", name.alias("name")))))
+    return resolve.cascade(asks, steps)
+
+
 @query(f"select alert_id, active_start <= {NOW} and (active_end is null or active_end >= {NOW}) as active, active_end is not null and active_end < {NOW} as ended from alerts")
 def alert_active(net: Network) -> DataFrame:
     periods = F.array(F.struct(F.col("active_start").alias("start"), F.col("active_end").alias("end")))

@@ -238,7 +238,7 @@ def line_positions(net: Network) -> DataFrame:
     return timetable.line_positions(net.stop_times)
 
 
-@query(f"with {RANKED_SQL}, seen as (select line_key, trip_id, coalesce(departure_s >= lag(departure_s) over w and arrival_s >= lag(arrival_s) over w, true) as kept from stop_times join ranked using (trip_id) window w as (partition by line_key, off order by position)) select line_key, count(distinct trip_id) as n_trips, bool_and(kept) as fifo from seen group by line_key")
+@query(f"with {RANKED_SQL}, seen as (select line_key, trip_id, coalesce(departure_s >= lag(departure_s) over w and arrival_s >= lag(arrival_s) over w and pickup_type = lag(pickup_type) over w and drop_off_type = lag(drop_off_type) over w, true) as kept from stop_times join ranked using (trip_id) window w as (partition by line_key, off order by position)) select line_key, count(distinct trip_id) as n_trips, bool_and(kept) as fifo from seen group by line_key")
 def line_fifo(net: Network) -> DataFrame:
     return timetable.fifo_lines(net.stop_times)
 

@@ -110,7 +110,10 @@ class Network:
     @property
     def fare_attributes(self) -> DataFrame:
         size = F.col("p_size")
-        return self.raw("part").where("p_partkey < 20").select(F.col("p_partkey").alias("fare_id"), (F.col("p_retailprice") / 100).alias("price"), F.lit("EUR").alias("currency"), F.when(size % 7 == 0, F.lit(None)).otherwise(size % 3).cast("int").alias("transfers"))
+        return self.raw("part").select(
+            F.col("p_partkey").alias("fare_id"), (F.col("p_retailprice") / 100).alias("price"), F.lit("EUR").alias("currency"), F.when(size % 7 == 0, F.lit(None)).otherwise(size % 3).cast("int").alias("transfers"),
+            F.when(size % 5 == 0, F.lit(None)).otherwise(900 + size % 4 * 1800).cast("long").alias("duration_s"),
+        )
 
     @property
     def fare_rules(self) -> DataFrame:
@@ -120,7 +123,7 @@ class Network:
         def unless(n: int, value: Column) -> Column:
             return F.when(k % n == 0, F.lit(None)).otherwise(value).cast("long")
 
-        return self.raw("part").where("p_partkey < 60").select((k % 20).alias("fare_id"), unless(2, k % 40).alias("route_id"), unless(3, k % 4).alias("origin_id"), unless(5, (k + 1) % 4).alias("destination_id"))
+        return self.raw("part").select(k.alias("fare_id"), unless(2, k % 40).alias("route_id"), unless(3, k % 4).alias("origin_id"), unless(5, (k + 1) % 4).alias("destination_id"), F.when(k % 11 == 0, k % 5).cast("long").alias("contains_id"))
 
 
 #: The same tables as SQL, for engines that check results; in the order in which they build on each other.
@@ -144,9 +147,9 @@ VIEWS = {
     "addresses": """select c_custkey as address_id, 1 + c_custkey % 120 as num, concat('rue de ', p_name) as street, cast(75000 + c_nationkey as varchar(10)) as postcode, n_name as city,
        48.8e0 + ((c_custkey * 53) % 1000) * 0.0002e0 as lat, 2.2e0 + ((c_custkey * 71) % 1000) * 0.0003e0 as lon
        from (select c.*, n.cnt from customer c cross join (select count(*) as cnt from part) n) c join part on p_partkey = c_custkey % cnt join nation on n_nationkey = c_nationkey""",
-    "fare_attributes": "select p_partkey as fare_id, p_retailprice / 100 as price, 'EUR' as currency, case when p_size % 7 = 0 then null else p_size % 3 end as transfers from part where p_partkey < 20",
-    "fare_rules": """select p_partkey % 20 as fare_id, case when p_partkey % 2 = 0 then null else p_partkey % 40 end as route_id, case when p_partkey % 3 = 0 then null else p_partkey % 4 end as origin_id,
-       case when p_partkey % 5 = 0 then null else (p_partkey + 1) % 4 end as destination_id from part where p_partkey < 60""",
+    "fare_attributes": "select p_partkey as fare_id, p_retailprice / 100 as price, 'EUR' as currency, case when p_size % 7 = 0 then null else p_size % 3 end as transfers, case when p_size % 5 = 0 then null else 900 + p_size % 4 * 1800 end as duration_s from part",
+    "fare_rules": """select p_partkey as fare_id, case when p_partkey % 2 = 0 then null else p_partkey % 40 end as route_id, case when p_partkey % 3 = 0 then null else p_partkey % 4 end as origin_id,
+       case when p_partkey % 5 = 0 then null else (p_partkey + 1) % 4 end as destination_id, case when p_partkey % 11 = 0 then p_partkey % 5 end as contains_id from part""",
     "active": """select service_id from (select service_id from services where date '2024-01-15' between start_date and end_date and days & (1 << (isodow(date '2024-01-15') - 1)) > 0
        union select service_id from calendar_dates where date = date '2024-01-15' and exception_type = 1) where service_id not in (select service_id from calendar_dates where date = date '2024-01-15' and exception_type = 2)""",
 }

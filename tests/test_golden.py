@@ -156,14 +156,14 @@ def test_grid_equals_all_pairs(spark):
 
 
 def test_fares(spark):
-    attributes = spark.createDataFrame([(1, 2.0, "EUR", 1), (2, 1.5, "EUR", 0), (3, 9.0, "EUR", None)], "fare_id long, price double, currency string, transfers int")
-    rules = spark.createDataFrame([(1, 7, None, None), (2, None, None, None), (3, 7, 1, None)], "fare_id long, route_id long, origin_id long, destination_id long")
-    legs = spark.createDataFrame([(1, 1, 7, 2, 2, 0), (1, 2, 7, 2, 2, 600), (1, 3, 7, 2, 2, 1200), (2, 1, 8, 1, 1, 0), (3, 1, 7, 1, 1, 0)], "journey_id long, leg int, route_id long, origin_id long, destination_id long, board_s long")
+    attributes = spark.createDataFrame([(1, 2.0, "EUR", 1, 5400), (2, 1.5, "EUR", 0, 5400), (3, 9.0, "EUR", None, None), (4, 1.0, "EUR", None, 100)], "fare_id long, price double, currency string, transfers int, duration_s long")
+    rules = spark.createDataFrame([(1, 7, None, None, None), (2, None, None, None, None), (3, 7, 1, None, None), (4, None, None, None, 5)], "fare_id long, route_id long, origin_id long, destination_id long, contains_id long")
+    legs = spark.createDataFrame([(1, 1, 7, 2, 2, 0), (1, 2, 7, 2, 2, 600), (1, 3, 7, 2, 2, 1200), (2, 1, 8, 1, 1, 0), (3, 1, 7, 1, 1, 0), (4, 1, 8, 5, 1, 0), (4, 2, 8, 1, 5, 100), (4, 3, 8, 5, 5, 101)], "journey_id long, leg int, route_id long, origin_id long, destination_id long, board_s long")
     priced = fares.best_fares(legs, rules, attributes)
-    assert {(r.journey_id, r.leg): r.fare_id for r in priced.collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 1): 2, (3, 1): 3}
+    assert {(r.journey_id, r.leg): r.fare_id for r in priced.collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 1): 2, (3, 1): 3, (4, 1): 4, (4, 2): 4, (4, 3): 4}
     got = {r.journey_id: (r.price, r.tickets) for r in fares.journey_fares(priced).collect()}
-    assert got == {1: (4.0, 2), 2: (1.5, 1), 3: (9.0, 1)}
-    open_leg = priced.select("journey_id", "leg", "board_s", "fare_id", "price", "currency", "transfers").union(spark.createDataFrame([(1, 9, 99, None, None, None, None)], "a long, b int, c long, d long, e double, f string, g int"))
+    assert got == {1: (4.0, 2), 2: (1.5, 1), 3: (9.0, 1), 4: (2.0, 2)}
+    open_leg = priced.select("journey_id", "leg", "board_s", "fare_id", "price", "currency", "transfers", "duration_s").union(spark.createDataFrame([(1, 9, 99, None, None, None, None, None)], "a long, b int, c long, d long, e double, f string, g int, h long"))
     assert {r.journey_id: r.price for r in fares.journey_fares(open_leg).collect()}[1] is None
 
 
