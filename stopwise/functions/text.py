@@ -119,6 +119,23 @@ def humanize_ref(ref: Column) -> Column:
     return F.get(parts, F.lit(0))
 
 
+def repetition_fits(asked: Column, held: Column) -> Column:
+    """Whether an address's repetition is what is asked: nothing asked takes any, one letter what begins with it (b: bis)."""
+    a, h = F.lower(F.coalesce(asked, F.lit(""))), F.lower(F.coalesce(held, F.lit("")))
+    return (a == "") | (a == h) | ((F.length(a) == 1) & F.startswith(h, a))
+
+
+def stop_ref_keys(feed: Column, ref: Column) -> Column:
+    """Names under which a stop that a live feed names so may be filed, in the order in which they are tried."""
+    said = F.when(F.contains(ref, F.lit(":")), ref).otherwise(F.concat(feed, F.lit(":"), ref))
+    quay = F.regexp_extract(ref, ":Q:([0-9]{4,})", 1)
+    digits = F.when(quay != "", quay).otherwise(F.regexp_extract(ref, "([0-9]+)$", 1))
+    # fixed values: places of the number in stop names
+    forms = ("{f}:{d}", "{f}:IDFM:{d}", "{f}:IDFM:monomodalStopPlace:{d}", "{f}:IDFM:StopPoint:{d}", "IDFM:{d}", "IDFM:monomodalStopPlace:{d}", "StopPoint:{d}", "{d}", "idfm:IDFM:monomodalStopPlace:{d}", "idfm:IDFM:{d}")
+    made = F.array(*(F.replace(F.replace(F.lit(form), F.lit("{f}"), feed), F.lit("{d}"), digits) for form in forms))
+    return F.array_distinct(F.concat(F.array(ref, said), F.when(F.length(digits) >= 4, made).otherwise(F.array().cast("array<string>"))))
+
+
 def product_code(ref: Column) -> Column:
     """``C`` and five or more digits anywhere in a reference."""
     return F.nullif(F.regexp_extract(ref, r"\b(C[0-9]{5,8})\b", 1), F.lit(""))

@@ -51,13 +51,20 @@ def place_clusters(stops: DataFrame, radius_m: float = 900.0, name_km: float = 8
 
 
 def totals(journeys: DataFrame) -> DataFrame:
-    """Journeys with ``duration_s``, ``leave_s`` (first boarding less the walks before it) and ``same_vehicle`` (block kept over a change)."""
+    """Journeys with ``duration_s``, ``leave_s`` (first boarding less the walks before it), ``n_rides`` and ``transfers``; a pure walk leaves at its departure.
+
+    ``legs`` are structs (kind, departure_s, arrival_s, duration_s) in travel order, walks with their duration.
+    """
     rides = F.filter("legs", lambda x: x["kind"] == "ride")
-    return journeys.withColumn("duration_s", F.col("arrival_s") - F.col("departure_s")).withColumn("n_rides", F.size(rides))
+    first = F.array_position(F.transform("legs", lambda x: x["kind"]), "ride")
+    before = F.aggregate(F.slice("legs", 1, F.greatest(first - 1, F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["duration_s"], F.lit(0)).cast("long"))
+    leave = F.when(first > 0, F.get(rides, F.lit(0))["departure_s"] - before).otherwise(F.col("departure_s"))
+    out = journeys.withColumn("duration_s", F.col("arrival_s") - F.col("departure_s")).withColumn("leave_s", leave).withColumn("n_rides", F.size(rides))
+    return out.withColumn("transfers", F.greatest(F.size(rides) - 1, F.lit(0)))
 
 
 def same_vehicle(legs: DataFrame) -> DataFrame:
-    """``same_vehicle``: the leg runs on the block of the transit leg before it."""
+    """``same_vehicle``: the leg runs on the block of the ride before it."""
     before = F.lag(F.struct("feed_id", "block_id")).over(W.partitionBy("journey_id").orderBy("leg"))
     return legs.withColumn("same_vehicle", F.coalesce(F.col("block_id").isNotNull() & (before == F.struct("feed_id", "block_id")), F.lit(False)))
 

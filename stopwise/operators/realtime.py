@@ -70,7 +70,7 @@ def vehicle_estimate(events: DataFrame, now_s: int, stops: DataFrame) -> DataFra
     between = (F.lit(now_s) > F.col("rt_departure_s")) & (F.lit(now_s) < F.col("next_arrival"))
     rows = rows.where(at_stop | between)
     fraction = F.when(at_stop, 0.0).otherwise((now_s - F.col("rt_departure_s")) / F.greatest(F.col("next_arrival") - F.col("rt_departure_s"), F.lit(1)))
-    rows = rows.withColumn("fraction", fraction).withColumn("state", F.when(at_stop, "STOPPED_AT").when(F.col("fraction") > 0.92, "INCOMING_AT").otherwise("IN_TRANSIT_TO"))
+    rows = rows.withColumn("fraction", fraction).withColumn("state", F.when(at_stop, "STOPPED_AT").when(F.col("fraction") > 0.92, "INCOMING_AT").otherwise("UNDER_WAY"))
     here = stops.select("stop_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     there = stops.select(F.col("stop_id").alias("next_stop"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     rows = rows.join(here, "stop_id").join(there, "next_stop", "left")

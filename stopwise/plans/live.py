@@ -113,7 +113,7 @@ from (select *, lead(stop_id) over (partition by trip_id order by off) as next_s
 where 28800 between rt_arrival_s and rt_departure_s or (28800 > rt_departure_s and 28800 < next_arrival))) where n = 1)"""
 
 
-@query(f"with {LIVE_SQL}, {ESTIMATE_SQL} select trip_id, off, case when halted then 'STOPPED_AT' when fraction > 0.92::double then 'INCOMING_AT' else 'IN_TRANSIT_TO' end as state, round(fraction, 6) as fraction, round(a.lat + fraction * (coalesce(b.lat, a.lat) - a.lat), 5) as lat from est join stops a using (stop_id) left join stops b on b.stop_id = est.next_stop")
+@query(f"with {LIVE_SQL}, {ESTIMATE_SQL} select trip_id, off, case when halted then 'STOPPED_AT' when fraction > 0.92::double then 'INCOMING_AT' else 'UNDER_WAY' end as state, round(fraction, 6) as fraction, round(a.lat + fraction * (coalesce(b.lat, a.lat) - a.lat), 5) as lat from est join stops a using (stop_id) left join stops b on b.stop_id = est.next_stop")
 def vehicle_estimate(net: Network) -> DataFrame:
     rows = realtime.vehicle_estimate(_live(net), AT_S, net.stops)
     return rows.select("trip_id", "off", "state", F.round("fraction", 6).alias("fraction"), F.round("lat", 5).alias("lat"))

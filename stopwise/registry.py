@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boards, journeys, live, more, names, network, texts
+from .plans import boards, extra, journeys, live, more, names, network, texts
 
-_MODULES = (network, journeys, live, boards, texts, names, more)
+_MODULES = (network, journeys, live, boards, texts, names, more, extra)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

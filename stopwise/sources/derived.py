@@ -1,4 +1,4 @@
-"""A transit network derived from plain business tables by integer arithmetic, so that any engine derives the same.
+"""A public-transport network derived from plain business tables by integer arithmetic, so that any engine derives the same.
 
 Orders become trips of forty patterns with eight stops each, suppliers stops, events live updates,
 documents alerts, customers addresses.

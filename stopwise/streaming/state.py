@@ -20,6 +20,7 @@ from ..shipping import ship
 STATE = "feed_id string, kind string, key string, ts timestamp, generation long, payload string, gone boolean"
 #: Seconds after which an entry that was not seen again goes, and how many stay at most, by kind.
 TTL_S = {"trip": 7_200, "vehicle": 900, "alert": 21_600}
+WATCHED = 32
 CAPS = {"trip": 100_000, "vehicle": 50_000, "alert": 10_000}
 
 
@@ -83,8 +84,10 @@ def publish(changes: DataFrame, folder: str, then: Callable[[DataFrame, int], No
 
 
 def changed(changes: DataFrame, watched: list[str]) -> DataFrame:
-    """Changes of the watched keys only, as a subscription sees them."""
-    return changes.where(F.col("key").isin(*watched[:32]))
+    """Changes of the watched keys only, as a subscription sees them; more than ``WATCHED`` keys are refused."""
+    if len(watched) > WATCHED:
+        raise ValueError(f"a subscription watches {WATCHED} keys at most")
+    return changes.where(F.col("key").isin(*watched))
 
 
 def delays_by_window(updates: DataFrame, length: str = "15 minutes", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:

@@ -208,7 +208,7 @@ def test_vehicle_estimates(spark):
     rows = spark.createDataFrame([(1, 0, 1, 0, 100), (1, 1, 2, 200, 230), (2, 0, 1, 0, 60), (2, 1, 2, 1000, 1000), (3, 0, 1, 900, 950)], "trip_id long, off long, stop_id long, rt_arrival_s long, rt_departure_s long")
     stops = spark.createDataFrame([(1, 48.0, 2.0), (2, 49.0, 2.0)], "stop_id long, lat double, lon double")
     at = lambda now: {r.trip_id: (r.state, round(r.lat, 3)) for r in realtime.vehicle_estimate(rows, now, stops).collect()}
-    assert at(150) == {1: ("IN_TRANSIT_TO", 48.5), 2: ("IN_TRANSIT_TO", round(48 + 90 / 940, 3))}
+    assert at(150) == {1: ("UNDER_WAY", 48.5), 2: ("UNDER_WAY", round(48 + 90 / 940, 3))}
     assert at(220)[1] == ("STOPPED_AT", 49.0) and at(195)[1][0] == "INCOMING_AT"
 
 

@@ -138,3 +138,33 @@ def test_siri_monitoring_and_messages(spark):
     assert [(r.vehicle_id, r.lat) for r in siri.positions(seen).collect()] == [("J2", 48.1)]
     got = siri.messages(rows).first()
     assert (got.message_id, got.severity, got.line_ref, got.text) == ("m1", "SEVERE", "L2", "Arrêt non desservi")
+
+
+def test_every_payload_finds_its_parser(spark):
+    from stopwise.operators import ingest
+
+    header = field(1, field(1, "2.0") + field(3, 1700))
+    trip = field(1, "t1")
+    update, vehicle = field(3, field(1, trip)), field(4, field(1, trip) + field(2, field(1, 48.5) + field(2, 2.5)))
+    both = header + field(2, field(1, "a") + update) + field(2, field(1, "b") + vehicle)
+    call = {"StopPointRef": "S", "AimedArrivalTime": "2024-01-15T08:00:00Z"}
+    timetable = json.dumps({"Siri": {"ServiceDelivery": {"EstimatedTimetableDelivery": [{"EstimatedJourneyVersionFrame": [{"EstimatedVehicleJourney": [{"DatedVehicleJourneyRef": "J", "EstimatedCalls": {"EstimatedCall": [call]}}]}]}]}}})
+    rows = [("p", None, bytearray(both)), ("q", None, bytearray(header + field(2, field(1, "a") + update))), ("j", timetable, None), ("k", None, bytearray(b"\xef\xbb\xbf" + timetable.encode())), ("x", "<xml/>", None), ("e", "", None), ("n", None, None), ("o", "{}", None)]
+    got = ingest.ingest(spark.createDataFrame(rows, "feed_id string, content string, bytes binary"))
+    kinds = {r.feed_id: r.kind for r in ingest.kind_of(got["entities"].select("feed_id", "kind"), ["feed_id"]).collect()}
+    assert kinds == {"p": "mixed", "q": "trip"}
+    assert sorted(r.feed_id for r in got["calls"].collect()) == ["j", "k"]
+    assert got["visits"].count() == 0 and got["messages"].count() == 0
+    assert sorted(r.feed_id for r in got["unknown"].collect()) == ["e", "n", "o", "x"]
+
+
+def test_names_of_stops_and_repetitions(spark):
+    from stopwise.functions.text import repetition_fits, stop_ref_keys
+
+    rows = spark.createDataFrame([("STIF:StopPoint:Q:412986:",), ("99",), ("net:7",), ("IDFM:4001",)], "ref string").select("ref", stop_ref_keys(F.lit("f"), F.col("ref")).alias("k"))
+    got = {r.ref: r.k for r in rows.collect()}
+    assert got["99"] == ["99", "f:99"] and got["net:7"] == ["net:7"]
+    assert got["STIF:StopPoint:Q:412986:"][1:4] == ["f:412986", "f:IDFM:412986", "f:IDFM:monomodalStopPlace:412986"] and "412986" in got["STIF:StopPoint:Q:412986:"]
+    assert got["IDFM:4001"].count("IDFM:4001") == 1 and "StopPoint:4001" in got["IDFM:4001"]
+    asked = spark.createDataFrame([(None, "bis", True), ("b", "bis", True), ("b", "b", True), ("bis", "b", False), ("t", "bis", False), ("", None, True), ("B", "Bis", True)], "a string, h string, want boolean")
+    assert asked.where(repetition_fits(F.col("a"), F.col("h")) != F.col("want")).count() == 0
