@@ -24,7 +24,8 @@ def active_services(services: DataFrame, exceptions: DataFrame, day: dt.date) ->
 
 def services_in_range(services: DataFrame, exceptions: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     """(service_id, date) for each date from ``first`` to ``last`` on which the service runs."""
-    days = services.withColumn("date", F.explode(F.sequence(F.greatest("start_date", F.lit(first)), F.least("end_date", F.lit(last)))))
+    low, high = F.greatest("start_date", F.lit(first)), F.least("end_date", F.lit(last))
+    days = services.where(low <= high).withColumn("date", F.explode(F.sequence(low, high)))
     regular = days.where(F.col("days").bitwiseAND(weekday_bit(F.col("date"))) != 0).select("service_id", "date")
     within = exceptions.where(F.col("date").between(F.lit(first), F.lit(last)))
     on = within.where("exception_type = 1").select("service_id", "date")

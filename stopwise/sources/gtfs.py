@@ -7,9 +7,11 @@ yields its rows as text by column name, the typed tables are projections of that
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import zipfile
 from collections.abc import Iterator
+from zoneinfo import available_timezones
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import gtfs_date, gtfs_seconds
+from ..operators.calendar import services_in_range
 from ..operators.timetable import interpolate
 from ..shipping import ship
 
@@ -60,10 +63,14 @@ def entry_rows(content: bytes, wanted: str, optional: bool = True, cap: int | No
 
 
 class Feed:
-    """One or more archives under a path; each table has ``feed_id`` and namespaced ids."""
+    """One or more archives under a path; each table has ``feed_id`` and namespaced ids.
 
-    def __init__(self, spark: SparkSession, path: str, feed_id: str | None = None):
-        self.spark, self.feed_id = spark, feed_id
+    With ``horizon`` (first and last date; yesterday belongs to it, as its late trips still run) only trips whose service runs on a day of it
+    are kept, and with them only their stop times.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, feed_id: str | None = None, horizon: tuple[dt.date, dt.date] | None = None):
+        self.spark, self.feed_id, self.horizon = spark, feed_id, horizon
         self.archives = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def raw(self, entry: str, optional: bool = True) -> DataFrame:
@@ -121,7 +128,12 @@ class Feed:
             t("block_id").alias("block_id"), t("shape_id").alias("shape_id"), n("direction_id").alias("direction_id"), n("wheelchair_accessible", "int", 0).alias("wheelchair"), n("bikes_allowed", "int", 0).alias("bikes_allowed"),
         )
         last = F.row_number().over(W.partitionBy("trip_id").orderBy(F.desc("row")))
-        return rows.withColumn("n", last).where("n = 1").drop("n", "row")
+        rows = rows.withColumn("n", last).where("n = 1").drop("n", "row")
+        if self.horizon is None:
+            return rows
+        own = F.concat_ws(":", "feed_id", "service_id").alias("service_id")
+        runs = services_in_range(self.services.select(own, "days", "start_date", "end_date"), self.calendar_dates.select(own, "date", "exception_type"), *self.horizon)
+        return rows.join(runs.select(F.col("service_id").alias("runs")).distinct(), F.concat_ws(":", "feed_id", "service_id") == F.col("runs"), "left_semi")
 
     def stop_times(self, trips: DataFrame | None = None) -> DataFrame:
         """Stop events of the kept ``trips`` at known stops, blank times filled."""
@@ -148,6 +160,13 @@ class Feed:
         rows = self.raw("calendar_dates.txt").select("feed_id", self._text("service_id").alias("service_id"), gtfs_date(self._text("date")).alias("date"), kind.alias("exception_type"))
         return rows.where("exception_type in (1, 2) and date is not null")
 
+    @property
+    def timezone(self) -> DataFrame:
+        """(feed_id, timezone): the first agency's zone that is one."""
+        zone = self._text("agency_timezone")
+        rows = self.raw("agency.txt").where(zone.isin(*sorted(available_timezones())))
+        return rows.groupBy("feed_id").agg(F.min_by(zone, "row").alias("timezone"))
+
     @property
     def agencies(self) -> DataFrame:
         t = self._text

@@ -46,6 +46,20 @@ def test_blank_times_are_filled_and_untimed_ends_dropped(feed):
     assert rows == [("net:T", 0, 28800, 1), ("net:T", 1, 28860 + 600, 0), ("net:T", 2, 30060, 1)]
 
 
+def test_horizon_keeps_trips_that_run_in_it(spark, tmp_path):
+    import datetime as dt
+
+    files = {**FILES, "trips.txt": FILES["trips.txt"] + "R,old,V,gone\nR,once,W,special\n", "agency.txt": "agency_id,agency_name,agency_timezone\na,A,Nowhere/Land\nb,B,Europe/Berlin\nc,C,Europe/Paris\n"}
+    files["calendar.txt"] += "old,1,1,1,1,1,1,1,20200101,20201231\n"
+    files["calendar_dates.txt"] += "once,20240106,1\n"
+    with zipfile.ZipFile(tmp_path / "net.zip", "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    kept = lambda *days: sorted(r.trip_id for r in gtfs.Feed(spark, str(tmp_path / "net.zip"), horizon=tuple(dt.date(2024, 1, d) for d in days)).trips.collect())
+    assert kept(5, 7) == ["net:T", "net:U", "net:W"] and kept(7, 7) == [] and kept(9, 9) == ["net:T", "net:U"]
+    assert gtfs.Feed(spark, str(tmp_path / "net.zip")).timezone.first().timezone == "Europe/Berlin"
+
+
 def test_calendar(feed):
     import datetime as dt
 
