@@ -22,12 +22,19 @@ def place_kind(raw_id: Column, location_type: Column, station: Column) -> Column
 def stop_search(stops: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query, rank, stop_id, name, score) for stops (stop_id, raw_id, name, place_kind, has_departures).
 
-    Queries (query) are few and broadcast when their measured size allows; each stop is scored against each.
+    Stops are filed under the parts of one to three letters of their names that queries ask for; a query looks up its rarest
+    part of three letters (or itself, if shorter), so that only stops that have it are scored, by an equi-join for any number of queries.
     Queries of fewer than two bytes find nothing.
     """
     asks = queries.withColumn("q", tx.normalize(F.trim("query"))).where(F.octet_length("q") >= 2)
     rows = stops.withColumn("name_n", tx.normalize(F.col("name"))).withColumn("id_n", tx.normalize(F.col("raw_id")))
-    hits = rows.join(asks, F.contains("name_n", F.col("q")) | F.contains("id_n", F.col("q")))
+    parts = lambda c, n: f"if(length({c}) >= {n}, transform(sequence(1, length({c}) - {n} + 1), k -> substring({c}, k, {n})), array())"
+    filed = rows.withColumn("part", F.explode(F.array_distinct(F.concat(*(F.expr(parts(c, n)) for c in ("name_n", "id_n") for n in (1, 2, 3))))))
+    wanted = asks.select("query", "q", F.explode(F.array_distinct(F.expr(f"case length(q) when 1 then {parts('q', 1)} when 2 then {parts('q', 2)} else {parts('q', 3)} end"))).alias("part"))
+    filed = filed.join(wanted.select("part").distinct(), "part", "left_semi")
+    sizes = filed.groupBy("part").agg(F.count("*").alias("n"))
+    rarest = wanted.join(sizes, "part", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("x")).select("query", "q", "x.part")
+    hits = filed.join(rarest, "part").where(F.contains("name_n", F.col("q")) | F.contains("id_n", F.col("q"))).drop("part")
     by_name, by_id = tx.match_kind(F.col("name_n"), F.col("q")), tx.match_kind(F.col("id_n"), F.col("q"))
     hits = hits.withColumn("by_name", by_name).withColumn("by_id", by_id)
     score = 100 * F.greatest("by_name", "by_id") + F.when((F.col("by_name") >= F.col("by_id")) & (F.col("by_name") > 0), 30).otherwise(0)
