@@ -22,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="stopwise-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Let go of what finished steps left on executors' disks.
+
+    Spark removes the shuffle files of a step once the driver no longer knows it, which it sees only when its memory is collected; long
+    chains of small steps would otherwise pile their files up.
+    """
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
