@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import release
 from .common import cut_lineage, spread_join
 
 
@@ -47,6 +48,7 @@ def components(edges: DataFrame, max_steps: int = 50) -> DataFrame:
     for _ in range(max_steps):
         if not seen[0]:
             break
+        release(now)
         larger = cut_lineage(_large_star(now, seen[0]))
         now = cut_lineage(_small_star(larger, 2 * seen[0]))
         before, seen = seen, _digest(now)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import release
 from ..shipping import ship
 from .common import cut_lineage, if_small, map_arrow, raw_texts, row_key, spread_join
 from .components import components
@@ -316,6 +317,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
     links = links.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
     edges = proven(cut_lineage(screened(equal.union(links).distinct(), nodes)))
     roots = _near_roots(edges)
+    release(docs)
     # short lists
     at = F.coalesce("root", "node").alias("root")
     filed = nodes.join(if_small(roots), "node", "left").select(F.explode("head").alias("token"), "node", at, "n", "parity")
@@ -325,6 +327,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
     long = cut_lineage(first.where("token is not null").select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     failed = long.limit(0).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     for turn in range(ROUNDS + 1):
+        release(docs)
         if long.isEmpty():
             break
         if turn:  # now that few lists are left, all that are connected are known by one root
@@ -349,6 +352,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
             again = again.union(long.where("blocks > 1").select("token")).distinct()
         failed = cut_lineage(failed.union(wrong))
         long = cut_lineage(long.join(again, "token", "left_semi"))
+    release(docs)
     of = counts.join(_roots(edges), "node", "left").select("node", at, "n_rows")
     return spread_join(prints.select("doc_id", "key", "node"), cut_lineage(of), "node", prints.count()).select("doc_id", "key", "root")
 
