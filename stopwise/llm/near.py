@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..lineage import release
 from ..shipping import ship
 from .common import cut_lineage, if_small, map_arrow, raw_texts, row_key, spread_join
-from .components import components
+from .components import HOT_EDGES, components
 from .simhash import bit_totals, keep_least, link_edges
 
 WIDTH = 5
@@ -285,16 +285,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, counts: DataFrame, id_col: str,
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _near_roots(edges: DataFrame) -> DataFrame:
-    """(node, root): nodes of one root are connected; not all that are connected have one. One step is enough to leave most known links out."""
-    both = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("root")))
-    return cut_lineage(both.groupBy("node").agg(F.min("root").alias("root")).select("node", F.least("node", "root").alias("root")))
+def _near_roots(edges: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, root): the least node within some steps; nodes of one root are connected, and those around one node or two have one root."""
+    both = cut_lineage(edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("other"))))
+    roots = cut_lineage(both.groupBy("node").agg(F.min("other").alias("root"), F.count("*").alias("n_rows")).select("node", F.least("node", "root").alias("root"), "n_rows"))
+    total = both.count()
+    for _ in range(steps - 1):
+        seen = spread_join(both, roots.select(F.col("node").alias("other"), "root", "n_rows"), "other", total, least=HOT_EDGES).select("node", "root", F.lit(0).cast("long").alias("n_rows"))
+        roots = cut_lineage(seen.union(roots).groupBy("node").agg(F.min("root").alias("root"), F.max("n_rows").alias("n_rows")))
+    return roots.select("node", "root")
 
 
 def _roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge."""
-    star = components(edges)
-    return cut_lineage(star.union(star.select(F.col("root").alias("node"), "root").distinct()))
+    """(node, root) of every node that has an edge: near roots first, then components of what is left between them."""
+    near = _near_roots(edges, 3)
+    left = edges.join(near.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(near.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+    left = cut_lineage(left.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    if left.isEmpty():
+        return near
+    star = components(left).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut_lineage(near.join(star, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
@@ -330,10 +340,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sho
         release(docs)
         if long.isEmpty():
             break
-        if turn:  # now that few lists are left, all that are connected are known by one root
-            roots = _roots(edges)
-        else:
-            roots = _near_roots(edges)
+        roots = _near_roots(edges, 2 + turn)
         rows = nodes.select(F.explode("head").alias("token"), "node").join(if_small(long), "token")
         rows = rows.join(nodes.select("node", "n", "parity", "sketch"), "node").join(if_small(roots), "node", "left")
         bad = failed.union(failed.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
