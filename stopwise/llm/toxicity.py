@@ -37,7 +37,7 @@ from .common import bounded, cut_lineage, held_out, if_small, map_arrow, row_key
 THRESHOLD, Z, RELEVANT, BOOST = 0.3, 5.0, 0.1, 200.0
 BLOCK, K, SOFT, PRIOR = 64, 24, 0.03, 13.0
 #: Blocks read one by one; if more cannot be left out by their bounds, or these are nearly alike from the start, all is read by term.
-FIRST, ALIKE = 3, 0.7
+FIRST, ALIKE = 3, 0.2
 STEMS = (4, 5, 6, 7, 8)
 SEED = 5
 _WORD = re.compile(r"\w+")
