@@ -21,6 +21,8 @@ from ..shipping import ship
 SPACE = r"[\x20\x09-\x0D]+"
 #: Texts are handed to Python code in slices of at most about so many bytes.
 SLICE_BYTES = 8 << 20
+#: The same for code that makes arrays of several times the texts' size beside tables of its own.
+SMALL_SLICE = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,13 +82,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_arrow(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Apply ``work`` to Arrow batches cut to bounded size; rows stay in the partition they are in."""
+def map_arrow(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
+    """Apply ``work`` to Arrow batches cut to about ``limit`` bytes; rows stay in the partition they are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded(batch):
+            for part in bounded(batch, limit):
                 yield work(part)
+            batch = part = None  # else it stays beside the next one
+        pa.default_memory_pool().release_unused()  # workers live on, beside those of later steps
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

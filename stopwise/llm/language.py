@@ -29,12 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, held_out, if_small, map_arrow, texts
+from .common import SMALL_SLICE, cut_lineage, fresh, held_out, if_small, map_arrow, texts
 
 SEGMENT = 512
 DENSE = 61
-_STRIDE = DENSE + 3  # 0: no letter; DENSE + 1: any other letter; the last: padding. Even, so that the lowest bit of a row's offset is free.
-_OTHER, _PAD = DENSE + 1, DENSE + 2
 UNKNOWN = "und"
 LEAST, FIT = 40, 1.6
 
@@ -84,32 +82,35 @@ class ParseTable:
         """``symbols`` of the labelled text, of ``n_symbols`` in all; the last of these is padding."""
         own, n = np.unique(symbols[symbols > 0], return_counts=True)
         own = own[np.lexsort((own, -n))]
+        # columns: 0 no letter, the dense letters, any other letter, padding; an even number, so that the lowest bit of a row's offset is free
+        other = len(own[:DENSE]) + 1
+        pad, self.stride = other + 1, other + 2 + other % 2
         #: Of each symbol its column, and its number among the letters without one (0: none).
-        self.column = np.full(n_symbols, _OTHER, np.uint8)
+        self.column = np.full(n_symbols, other, np.uint8)
         self.rare = np.zeros(n_symbols, np.int64)
-        self.column[0], self.column[-1] = 0, _PAD
+        self.column[0], self.column[-1] = 0, pad
         self.column[own[:DENSE]] = np.arange(1, len(own[:DENSE]) + 1)
         self.rare[own[DENSE:]] = np.arange(1, len(own[DENSE:]) + 1)
         self.width = len(own[DENSE:]) + 1
-        states = suffix_automaton(np.where(self.rare[symbols] > 0, _STRIDE + self.rare[symbols], self.column[symbols]).tolist())
-        table = np.full((len(states), _STRIDE), -1, np.int32)  # about 20 MB for 38,000 letters
+        states = suffix_automaton(np.where(self.rare[symbols] > 0, self.stride + self.rare[symbols], self.column[symbols]).tolist())
+        table = np.full((len(states), self.stride), -1, np.int32)  # about 8 MB for 38,000 letters of an alphabet of 35
         keys, to = [], []
         for k, (row, nexts) in enumerate(zip(table, states, strict=True)):
             for c, x in nexts.items():
-                if c < _STRIDE:
+                if c < self.stride:
                     row[c] = x
                 else:
-                    keys.append(k * self.width + c - _STRIDE)
+                    keys.append(k * self.width + c - self.stride)
                     to.append(x)
-        root = np.maximum(table[0], 0) * _STRIDE
+        root = np.maximum(table[0], 0) * self.stride
         new = table < 0
         new[0] = True  # each symbol at the start begins a phrase
-        table *= _STRIDE
+        table *= self.stride
         np.copyto(table, (root | 1).astype(np.int32), where=new)
-        table[:, _PAD] = np.arange(len(states)) * _STRIDE  # padding changes nothing
+        table[:, pad] = np.arange(len(states)) * self.stride  # padding changes nothing
         self.table = table.ravel()
         order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.to = np.array(keys, np.int64)[order], (np.array(to, np.int64)[order] * _STRIDE).astype(np.int32)
+        self.keys, self.to = np.array(keys, np.int64)[order], (np.array(to, np.int64)[order] * self.stride).astype(np.int32)
         self.first = np.zeros(self.width, np.int32)  # the row after a rare letter that begins a phrase
         at_root = self.keys < self.width
         self.first[self.keys[at_root]] = self.to[at_root]
@@ -122,7 +123,7 @@ class ParseTable:
             if len(self.keys):
                 rare = self.rare[symbols]
                 some = np.flatnonzero(rare)
-                state, rare = row[some].astype(np.int64) // _STRIDE, rare[some]
+                state, rare = row[some].astype(np.int64) // self.stride, rare[some]
                 key = state * self.width + rare
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 now[some] = np.where((self.keys[at] == key) & (state > 0), self.to[at], self.first[rare] | 1)
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *carry: str,
         return pa.RecordBatch.from_arrays(arrays, [*kept, *names])
 
     fields = [*narrow.schema.fields[: len(kept)], *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))]
-    return map_arrow(narrow, T.StructType(fields), work)
+    return map_arrow(narrow, T.StructType(fields), work, SMALL_SLICE)
 
 
 def reject_unknown(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import release
 from ..shipping import ship
-from .common import cut_lineage, if_small, map_arrow, raw_texts, row_key, spread_join
+from .common import SMALL_SLICE, cut_lineage, if_small, map_arrow, raw_texts, row_key, spread_join
 from .components import HOT_EDGES, components
 from .simhash import bit_totals, keep_least, link_edges
 
@@ -105,7 +105,7 @@ def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
     every = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod(row_key(id_col, text_col)["a"], F.lit(every)) == 0).select(F.col(text_col).alias("text"))
-    rows = map_arrow(sample, "h long", work).groupBy("h").count().where(F.col("count") >= FREQUENT)
+    rows = map_arrow(sample, "h long", work, SMALL_SLICE).groupBy("h").count().where(F.col("count") >= FREQUENT)
     most = rows.orderBy(F.desc("count"), "h").limit(KNOWN).select("h").toArrow().column(0)
     return np.sort(most.to_numpy().view(np.uint64))
 
@@ -125,7 +125,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    prints = cut_lineage(map_arrow(narrow, f"doc_id {kind}, key struct<a: long, b: long>, node long, check long, n int, fp long, parity long, sketch array<long>, head array<long>", work))
+    prints = cut_lineage(map_arrow(narrow, f"doc_id {kind}, key struct<a: long, b: long>, node long, check long, n int, fp long, parity long, sketch array<long>, head array<long>", work, SMALL_SLICE))
     # of different sets that meet in 64 bits by chance the node takes up the other 64 bits too
     clash = cut_lineage(prints.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node"))
     if clash.isEmpty():
@@ -280,7 +280,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, counts: DataFrame, id_col: str,
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     key = if_small(cut_lineage(counts.select("node", "key").join(asked, "node", "left_semi")))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(key, "key").select("node", "text")
-    sets = map_arrow(rows, "node long, s array<long>", work).dropDuplicates(["node"])  # one exchange serves both joins
+    sets = map_arrow(rows, "node long, s array<long>", work, SMALL_SLICE).dropDuplicates(["node"])  # one exchange serves both joins
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 

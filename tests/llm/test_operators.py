@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stopwise.llm import components, decontaminate, language, licences, mixing, quality, secrets, shards, simhash, tokens, toxicity
+from stopwise.llm import common, components, decontaminate, language, licences, mixing, quality, secrets, shards, simhash, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,6 +207,20 @@ def test_every_labelled_letter_tells_languages_apart():
             assert parser.phrases([parser.symbol[points]])[0][k] == n
 
 
+def test_parse_tables_take_memory_by_their_alphabet():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc ") for _ in range(500))
+    parser = language.CrossParser((("x", text),))
+    states = language.suffix_automaton(parser.symbol[language._points(text)].tolist())
+    assert parser.tables[0].table.size == len(states) * 6  # no letter, three letters, any other letter, padding
+
+
+def test_slices_are_as_small_as_asked(spark):
+    frame = spark.createDataFrame([("x" * 1000,)] * 3000, "text string").coalesce(1)
+    got = common.map_arrow(frame, "rows long, bytes long", lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"]), 100_000).collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= 101_000
+
+
 def test_language_of_held_out_documents(docs, rows, empty):
     samples = language.learn(docs)
     assert [s[0] for s in samples] == ["de", "en"]
