@@ -7,7 +7,9 @@ words that tell nothing and for words seen too seldom to tell. Document frequenc
 
 Search. Labelled examples become unit vectors, sorted so that like stands by like, in blocks of ``BLOCK``. For each term the index
 holds its weights by example and the largest of each block; a query's products with these maxima bound its cosine with any example of a block.
-Blocks of the highest bounds are read first; blocks whose bound is below the ``K``-th cosine found are never read. The result is exact.
+Blocks of the highest bounds are read first; blocks whose bound is below the ``K``-th cosine found are never read. Where the bounds do not part the
+blocks, or no term of the query weighs enough (``PEAK``) that they could, all examples are read by term: terms of many examples as one product of
+matrices for ``GROUP`` queries, the others by their lists. The result is exact either way.
 The nearest ``K`` examples (and all that tie with the last) vote, each with weight 1 / (distance + ``SOFT``), against ``PRIOR`` votes of the base rate;
 the share is the score, and the nearest examples' ids are its evidence.
 
@@ -23,10 +25,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,10 @@ THRESHOLD, Z, RELEVANT, BOOST = 0.3, 5.0, 0.1, 200.0
 BLOCK, K, SOFT, PRIOR = 64, 24, 0.03, 13.0
 #: Blocks read one by one; if more cannot be left out by their bounds, or these are nearly alike from the start, all is read by term.
 FIRST, ALIKE = 3, 0.2
+#: Least weight in a unit query of its heaviest term for the bounds to be looked at; queries that share a product of matrices.
+PEAK, GROUP = 0.3, 64
+#: Words whose terms are kept once seen.
+SEEN = 200_000
 STEMS = (4, 5, 6, 7, 8)
 SEED = 5
 _WORD = re.compile(r"\w+")
@@ -101,38 +109,46 @@ def relevances(examples: DataFrame) -> dict[int, float]:
     return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
-class Terms:
-    """Number of each term of the index, looked up by word, with words kept once seen."""
+class Terms(dict):
+    """Term of each word: its number, -1 for none, or -2 - k for all in ``several[k]`` where beginnings of the word are terms too; words are kept once seen."""
 
-    def __init__(self, ids: np.ndarray, markers: frozenset[int]):
-        """``ids``: sorted hashes of the terms; ``markers``: those of the beginnings of words that count as terms."""
+    def __init__(self, ids: np.ndarray, markers: Mapping[int, str]):
+        """``ids``: sorted hashes of the terms; ``markers``: the beginnings of words that count as terms, by their hashes."""
+        super().__init__()
         self.of = {t: k for k, t in enumerate(ids.tolist())}
-        self.markers = markers
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.seen.get(word)
-        if found is None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            found = tuple(self.of[t] for t in terms_of(word, self.markers) if t in self.of)
-            self.seen[word] = found
+        self.markers = {m: self.of[t] for t, m in markers.items() if t in self.of}
+        self.starts = {m[: STEMS[0]] for m in self.markers}
+        self.several: list[list[int]] = []
+
+    def __missing__(self, word: str) -> int:
+        found = self.of.get(term_id(word), -1)
+        if word[: STEMS[0]] in self.starts:
+            more = [self.markers[s] for s in stems(word) if s in self.markers]
+            if more:
+                self.several.append(more if found < 0 else [found, *more])
+                found = -1 - len(self.several)
+        self[word] = found
         return found
 
+    def numbers(self, words: Collection[str]) -> np.ndarray:
+        """Numbers of the terms of all ``words``, as often as they come."""
+        if len(self) > SEEN:
+            self.clear()
+            self.several.clear()
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        more = [k for x in found[found < -1].tolist() for k in self.several[-2 - x]]
+        return np.concatenate([found[found >= 0], np.array(more, np.int64)])
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(term, times) of a text."""
-        found: Counter[int] = Counter()
-        for word, n in Counter(words_of(text)).items():
-            for k in self.word(word):
-                found[k] += n
-        return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        return np.unique(self.numbers(words_of(text)), return_counts=True)
 
 
-def terms_of(word: str, markers: frozenset[int]) -> list[int]:
+def terms_of(word: str, markers: Collection[int]) -> list[int]:
     return [term_id(word), *(t for s in stems(word) if (t := term_id(s)) in markers)]
 
 
-def document_frequency(docs: DataFrame, ids: np.ndarray, markers: frozenset[int]) -> tuple[np.ndarray, int]:
+def document_frequency(docs: DataFrame, ids: np.ndarray, markers: Mapping[int, str]) -> tuple[np.ndarray, int]:
     """How many of all documents have each term; the number of documents. One row for each term and partition is shuffled at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +156,7 @@ def document_frequency(docs: DataFrame, ids: np.ndarray, markers: frozenset[int]
         for batch in batches:
             for part in bounded(batch):
                 for text in texts(part.column(0)):
-                    found = {k for word in set(words_of(text)) for k in place.word(word)}
-                    count[np.fromiter(found, np.int64, len(found))] += 1
+                    count[place.numbers(set(words_of(text)))] += 1  # a term once, however many words have it
                 count[-1] += part.num_rows
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["term", "n"])
@@ -178,10 +193,7 @@ class BlockMaxIndex:
         # by term: of terms that many examples have all weights, of the others those that are there
         by = np.argsort(term, kind="stable")
         start = np.searchsorted(term[by], np.arange(len(weight) + 1))
-        common = np.flatnonzero(np.diff(start) > max(self.n // 8, BLOCK))
-        self.dense = np.zeros((len(common), self.n))
-        for k, t in enumerate(common.tolist()):
-            self.dense[k, owner[by[start[t] : start[t + 1]]]] = value[by[start[t] : start[t + 1]]]
+        common = np.flatnonzero(np.diff(start) > max(self.n // 16, BLOCK))
         self.dense_row = np.full(len(weight), -1)
         self.dense_row[common] = np.arange(len(common))
         rare = by[self.dense_row[term[by]] < 0]
@@ -204,17 +216,39 @@ class BlockMaxIndex:
         at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
         return at, np.repeat(w, n)
 
-    def _all(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of the terms that many examples have, by term and example; made where it is needed, not sent."""
+        row = self.dense_row[self.term]
+        out = np.zeros((int(self.dense_row.max(initial=-1)) + 1, self.n))
+        out[row[row >= 0], self.owner[row >= 0]] = self.value[row >= 0]
+        return out
+
+    def shares(self, units: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms of many examples add to the cosine of each query with each example."""
+        many = np.zeros((len(units), len(self.dense)))
+        for own, (term, w) in zip(many, units, strict=True):
+            row = self.dense_row[term]
+            own[row[row >= 0]] = w[row >= 0]
+        return many @ self.dense
+
+    def _all(self, term: np.ndarray, w: np.ndarray, share: np.ndarray | None) -> np.ndarray:
         """Cosine of every example."""
-        at, own = self._gather(self.post_start, term, w)
-        row = self.dense_row[term]
-        many = np.zeros(len(self.dense))
-        many[row[row >= 0]] = w[row >= 0]
-        return np.bincount(self.posted[at], self.post_value[at] * own, self.n) + many @ self.dense
-
-    def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, example) of the nearest ``k`` that share a term, and of all that tie with the last."""
+        rare = self.dense_row[term] < 0
+        at, own = self._gather(self.post_start, term[rare], w[rare])
+        return np.bincount(self.posted[at], self.post_value[at] * own, self.n) + (self.shares([(term, w)])[0] if share is None else share)
+
+    def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, example) of the nearest ``k`` that share a term, and of all that tie with the last; ``share``: the query's row of ``shares``."""
         term, w = self.unit(term, times)
+        cosine = self._by_block(term, w, k, share) if w.max(initial=0) >= PEAK else self._all(term, w, share)
+        floor = max(np.partition(cosine, -min(k, self.n))[-min(k, self.n)] - 1e-9, 1e-12)
+        near = np.flatnonzero(cosine >= floor)
+        near = near[np.argsort(-cosine[near], kind="stable")]
+        return cosine[near], near
+
+    def _by_block(self, term: np.ndarray, w: np.ndarray, k: int, share: np.ndarray | None) -> np.ndarray:
+        """Cosines, 0 in blocks that hold none of the nearest ``k``."""
         at, own = self._gather(self.most_start, term, w)
         bound = np.bincount(self.most_block[at], self.most[at] * own, self.blocks)
         order = np.argsort(-bound, kind="stable")
@@ -223,7 +257,7 @@ class BlockMaxIndex:
         floor, done = 0.0, 0
         while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= floor - 1e-9:
             if done >= FIRST or (not done and bound[order[min(FIRST, len(order) - 1)]] > ALIKE * bound[order[0]]):  # bounds that do not part the blocks: all by term
-                cosine = self._all(term, w)
+                cosine = self._all(term, w, share)
                 break
             b = order[done]
             x, y = self.start[b], self.start[b + 1]
@@ -231,16 +265,21 @@ class BlockMaxIndex:
             done += 1
             floor = np.partition(cosine, -min(k, self.n))[-min(k, self.n)]
         self.query[term] = 0
-        floor = max(np.partition(cosine, -min(k, self.n))[-min(k, self.n)] - 1e-9, 1e-12)
-        near = np.flatnonzero(cosine >= floor)
-        near = near[np.argsort(-cosine[near], kind="stable")]
-        return cosine[near], near
+        return cosine
+
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
+        """``score`` of each of the vectors."""
+        out = []
+        for at in range(0, len(vectors), GROUP):
+            group = vectors[at : at + GROUP]
+            out += [self.score(*v, share) for v, share in zip(group, self.shares([self.unit(*v) for v in group]), strict=True)]
+        return out
 
-    def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list]:
+    def score(self, term: np.ndarray, times: np.ndarray, share: np.ndarray | None = None) -> tuple[float, list]:
         if not self.n:
             return 0.0, []
         if len(term):
-            cosine, near = self.nearest(term, times)
+            cosine, near = self.nearest(term, times, share=share)
         else:
             cosine, near = np.ones(len(self.bare)), self.bare
         vote = 1 / (1 - np.minimum(cosine, 1.0) + SOFT)
@@ -250,7 +289,7 @@ class BlockMaxIndex:
 class Model:
     """What scoring needs: the index and its terms."""
 
-    def __init__(self, index: BlockMaxIndex, ids: np.ndarray, markers: frozenset[int]):
+    def __init__(self, index: BlockMaxIndex, ids: np.ndarray, markers: Mapping[int, str]):
         self.index, self.ids, self.markers = index, ids, markers
 
 
@@ -263,25 +302,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_in
     if examples.isEmpty():
         return None
     relevance = relevances(examples)
-    markers = frozenset(t for t, r in relevance.items() if r >= RELEVANT)
+    relevant = frozenset(t for t, r in relevance.items() if r >= RELEVANT)
     n = examples.count()
     few = examples if n <= max_index else examples.where(F.col("draw") < _cut(examples, max_index))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        terms, times = [], []
+        terms, times, marks = [], [], []
         for text in texts(batch.column(1)):
             found: Counter[int] = Counter()
             for word, n in Counter(words_of(text)).items():
-                for t in terms_of(word, markers):
+                for t in terms_of(word, relevant):
                     found[t] += n
             terms.append(list(found))
             times.append(list(found.values()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "terms", "times", "toxic"])
+            marks.append(list({s for word in set(words_of(text)) for s in stems(word) if term_id(s) in relevant}))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), batch.column(2), pa.array(marks, pa.list_(pa.string()))], ["doc_id", "terms", "times", "toxic", "marks"])
 
     kind = examples.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(few.select("doc_id", "text", "toxic"), f"doc_id {kind}, terms array<long>, times array<int>, toxic int", work).toArrow()
+    rows = map_arrow(few.select("doc_id", "text", "toxic"), f"doc_id {kind}, terms array<long>, times array<int>, toxic int, marks array<string>", work).toArrow()
     terms, times = (rows.column(c).combine_chunks() for c in ("terms", "times"))
     cuts = np.cumsum(np.r_[0, terms.value_lengths().to_numpy(zero_copy_only=False)])
+    markers = {term_id(s): s for s in pc.unique(rows.column("marks").combine_chunks().flatten()).to_pylist()}
     ids, at = np.unique(terms.flatten().to_numpy(), return_inverse=True)
     df, total = document_frequency(docs, ids, markers)
     weight = (np.log((1 + total) / (1 + df)) + 0.1) * (1 + BOOST * np.array([max(relevance.get(t, 0.0), 0.0) for t in ids.tolist()]))
@@ -305,7 +346,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         place = found and Terms(found.ids, found.markers)
         for batch in batches:
             for part in bounded(batch):
-                made = [found.index.score(*place.vector(text)) if found else (0.0, []) for text in texts(part.column(1))]
+                made = found.index.scores([place.vector(text) for text in texts(part.column(1))]) if found else [(0.0, [])] * part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array([e for _, e in made], pa.list_(part.schema.field(0).type))], ["doc_id", "score", "evidence"])
 
     ship(docs.sparkSession)

@@ -487,6 +487,41 @@ def test_block_max_search_is_exact(n, terms):
         assert index.score(*v)[0] == pytest.approx(score)
 
 
+def test_queries_scored_together_equal_each_alone(monkeypatch):
+    """Also where bounds are always looked at, and where terms of many examples have no product of their own."""
+    rng = np.random.default_rng(6)
+
+    def vector(most=60):
+        t = np.unique(np.minimum(rng.geometric(0.02, rng.integers(0, most)), 900) - 1)
+        return t, rng.integers(1, 4, len(t))
+
+    index = toxicity.BlockMaxIndex([vector() for _ in range(1500)], rng.integers(0, 2, 1500).tolist(), list(range(1500)), rng.random(900) + 0.1)
+    queries = [vector() for _ in range(2 * toxicity.GROUP + 3)]
+    together = index.scores(queries)
+    assert len(index.dense) and len(together) == len(queries)
+    monkeypatch.setattr(toxicity, "PEAK", 0.0)
+    for q, (score, who) in zip(queries, together, strict=True):
+        alone = index.score(*q)
+        assert score == pytest.approx(alone[0]) and who == alone[1]
+    assert toxicity.BlockMaxIndex([], [], [], np.zeros(0)).scores([(np.zeros(0, np.int64), np.zeros(0, np.int64))]) == [(0.0, [])]
+
+
+def test_terms_of_words_equal_a_plain_lookup(monkeypatch):
+    rng = random.Random(7)
+    known = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    fronts = sorted({w[:k] + "*" for w in known[::9] for k in (4, 6) if len(w) >= k})
+    markers = {toxicity.term_id(s): s for s in fronts}
+    ids = np.array(sorted({toxicity.term_id(w) for w in known[::2]} | set(list(markers)[::2])))
+    monkeypatch.setattr(toxicity, "SEEN", 50)
+    place, number = toxicity.Terms(ids, markers), {t: k for k, t in enumerate(ids.tolist())}
+    for _ in range(40):
+        text = rng.choices(known, k=80) + ["never", "é"]
+        want = collections.Counter(number[t] for w in text for t in toxicity.terms_of(w, markers) if t in number)
+        term, times = place.vector(" ".join(text))
+        assert dict(zip(term.tolist(), times.tolist(), strict=True)) == want
+    assert place.vector("")[0].tolist() == []
+
+
 def test_frequencies_and_vectors_equal_a_plain_count(spark, docs, rows):
     marks = spark.createDataFrame([(i, k % 2) for k, (i, *_) in enumerate(rows) if i is not None], "doc_id long, toxic int")
     model = toxicity.learn(docs, marks)
