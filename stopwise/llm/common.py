@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,26 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+#: Narrow rows of a cut table that one task may read.
+PART_ROWS = 20_000
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df``, narrow rows, cut from its lineage, and how many they are, counted as they are written.
+
+    A small table is read back by few tasks, so that each step on it makes few tasks and few files, however many partitions it came from.
+    """
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    rows = seen.get["n"]
+    return out.coalesce(max(1, -(-rows // PART_ROWS))), rows
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``if_small`` for a table whose rows are counted."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 #: A key of no more rows than this is left to one task.
 HOT_ROWS = 2_000
 
@@ -71,6 +91,13 @@ def spread_join(rows: DataFrame, table: DataFrame, on: str, total: int, how: str
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(keys, on, "left_anti").join(cool, on, how))
 
 
+def table_join(rows: DataFrame, table: DataFrame, n: int, on: str, total: int, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """``spread_join`` with a table of ``n`` counted rows, broadcast whole if these are ``SMALL_ROWS`` at most."""
+    if n <= SMALL_ROWS:
+        return rows.join(F.broadcast(table.drop("n_rows")), on, how)
+    return spread_join(rows, table, on, total, how, least)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores as it takes to be no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import release
 from ..shipping import ship
-from .common import SMALL_SLICE, cut_lineage, if_small, map_arrow, raw_texts, row_key, spread_join
+from .common import SMALL_ROWS, SMALL_SLICE, cut_counted, cut_lineage, map_arrow, raw_texts, row_key, small, table_join
 from .components import HOT_EDGES, components
 from .simhash import bit_totals, keep_least, link_edges
 
@@ -110,8 +110,10 @@ def _frequent(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     return np.sort(most.to_numpy().view(np.uint64))
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, node, check, n, fp, parity, sketch, head): ``node`` and ``check`` are hashes of the set."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, key, node, check, n, fp, parity, sketch, head, row), where ``node`` and ``check`` are hashes of the set and ``row`` is unique;
+    (node, n_rows, key, row) with the least key and row of each node, and the number of nodes.
+    """
     frequent = _frequent(docs, id_col, text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -123,15 +125,21 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         made = [pa.array(node), pa.array(check), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array(folded), _lists(odd), _lists([head(x, frequent) for x in sets])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "key", "node", "check", "n", "fp", "parity", "sketch", "head"])
 
+    def counted(prints: DataFrame) -> tuple[DataFrame, int]:
+        return cut_counted(prints.groupBy("node").agg(F.count("*").alias("n_rows"), F.min("key").alias("key"), F.min("row").alias("row"), F.min("check").alias("low"), F.max("check").alias("high")))
+
     narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    prints = cut_lineage(map_arrow(narrow, f"doc_id {kind}, key struct<a: long, b: long>, node long, check long, n int, fp long, parity long, sketch array<long>, head array<long>", work, SMALL_SLICE))
+    made = map_arrow(narrow, f"doc_id {kind}, key struct<a: long, b: long>, node long, check long, n int, fp long, parity long, sketch array<long>, head array<long>", work, SMALL_SLICE)
+    prints = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
+    counts, total = counted(prints)
     # of different sets that meet in 64 bits by chance the node takes up the other 64 bits too
-    clash = cut_lineage(prints.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node"))
-    if clash.isEmpty():
-        return prints
-    other = prints.join(if_small(clash), "node", "left_semi").withColumn("node", F.xxhash64("node", "check")).select(prints.columns)
-    return cut_lineage(prints.join(if_small(clash), "node", "left_anti").select(prints.columns).union(other))
+    clash, clashes = cut_counted(counts.where("low <> high").select("node"))
+    if clashes:
+        other = prints.join(small(clash, clashes), "node", "left_semi").withColumn("node", F.xxhash64("node", "check")).select(prints.columns)
+        prints = cut_lineage(prints.join(small(clash, clashes), "node", "left_anti").select(prints.columns).union(other))
+        counts, total = counted(prints)
+    return prints, counts.drop("low", "high"), total
 
 
 def _possible(n: np.ndarray, parity: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,8 +267,10 @@ def long_pairs(rows: DataFrame, whole: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, token long")
 
 
-def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sketches allow the similarity."""
+def screened(pairs: DataFrame, total: int, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes, ``total`` of them and cut from their lineage, whose sketches allow the similarity."""
+    if total <= SMALL_ROWS // 2:  # only the sketches asked for are moved
+        nodes = nodes.join(F.broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "node", "left_semi")
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch{side}")), side)
     # sizes of a pair differ by a quarter at most, so that the longer sketch is folded once if at all
@@ -278,92 +288,114 @@ def confirmed(pairs: DataFrame, docs: DataFrame, counts: DataFrame, id_col: str,
         return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x) for x in raw_texts(batch.column(1))])], ["node", "s"])
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    key = if_small(cut_lineage(counts.select("node", "key").join(asked, "node", "left_semi")))
+    key = small(*cut_counted(counts.select("node", "key").join(asked, "node", "left_semi")))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(key, "key").select("node", "text")
     sets = map_arrow(rows, "node long, s array<long>", work, SMALL_SLICE).dropDuplicates(["node"])  # one exchange serves both joins
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _near_roots(edges: DataFrame, steps: int = 2) -> DataFrame:
-    """(node, root): the least node within some steps; nodes of one root are connected, and those around one node or two have one root."""
-    both = cut_lineage(edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("other"))))
-    roots = cut_lineage(both.groupBy("node").agg(F.min("other").alias("root"), F.count("*").alias("n_rows")).select("node", F.least("node", "root").alias("root"), "n_rows"))
-    total = both.count()
+def _near_roots(edges: DataFrame, steps: int = 2) -> tuple[DataFrame, int]:
+    """(node, root): the least node within some steps, and how many nodes; those of one root are connected, and those around one node or two have one root."""
+    both, total = cut_counted(edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("other"))))
+    roots, n = cut_counted(both.groupBy("node").agg(F.min("other").alias("root"), F.count("*").alias("n_rows")).select("node", F.least("node", "root").alias("root"), "n_rows"))
     for _ in range(steps - 1):
-        seen = spread_join(both, roots.select(F.col("node").alias("other"), "root", "n_rows"), "other", total, least=HOT_EDGES).select("node", "root", F.lit(0).cast("long").alias("n_rows"))
-        roots = cut_lineage(seen.union(roots).groupBy("node").agg(F.min("root").alias("root"), F.max("n_rows").alias("n_rows")))
-    return roots.select("node", "root")
+        seen = table_join(both, roots.select(F.col("node").alias("other"), "root", "n_rows"), n, "other", total, least=HOT_EDGES).select("node", "root", F.lit(0).cast("long").alias("n_rows"))
+        roots, n = cut_counted(seen.union(roots).groupBy("node").agg(F.min("root").alias("root"), F.max("n_rows").alias("n_rows")))
+    release(edges)
+    return roots.select("node", "root"), n
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge: near roots first, then components of what is left between them."""
-    near = _near_roots(edges, 3)
-    left = edges.join(near.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(near.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-    left = cut_lineage(left.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    if left.isEmpty():
-        return near
-    star = components(left).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return cut_lineage(near.join(star, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+def _roots(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, root) of every node that has an edge, and how many: near roots first, then components of what is left between them."""
+    near, n = _near_roots(edges, 3)
+    left = edges.join(small(near.select(F.col("node").alias("u"), F.col("root").alias("a")), n), "u").join(small(near.select(F.col("node").alias("v"), F.col("root").alias("b")), n), "v")
+    left, apart = cut_counted(left.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    if not apart:
+        return near, n
+    star, met = cut_counted(components(left).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    return cut_counted(near.join(small(star, met), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """(doc_id, key, root): one row for each row of ``docs``; ``root`` is a node that stands for the group."""
-    prints = sets_of(docs, id_col, text_col)
-    counts = cut_lineage(prints.groupBy("node").agg(F.count("*").alias("n_rows"), F.min("key").alias("key")))
-    many = if_small(cut_lineage(counts.where("n_rows > 1").select("node")))
-    shape = ["node", "n", "fp", "parity", "sketch", "head"]
-    # heads are moved only where a node has several rows
-    nodes = prints.join(many, "node", "left_anti").select(shape).union(prints.join(many, "node", "left_semi").select(shape).dropDuplicates(["node"]))
+    prints, counts, total = sets_of(docs, id_col, text_col)
+    many, repeated = cut_counted(counts.where("n_rows > 1").select("node", F.col("row").alias("first")))
+    # one row of each node; heads are moved only where many nodes have several rows
+    if repeated <= SMALL_ROWS:
+        nodes = prints.join(F.broadcast(many), "node", "left").where("first is null or row = first")
+    else:
+        nodes = prints.join(counts.select("row"), "row", "left_semi")
+    nodes = nodes.select("node", "n", "fp", "parity", "sketch", "head")
+    release(docs)
 
-    def proven(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(confirmed(pairs, docs, counts, id_col, text_col))
+    def proven(pairs: DataFrame) -> tuple[DataFrame, int]:
+        found = cut_counted(confirmed(pairs, docs, counts, id_col, text_col))
+        release(docs)
+        return found
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        pairs = cut_counted(pairs.distinct())
+        release(docs)
+        return cut_counted(screened(*pairs, nodes))[0]
 
     # what SimHash finds
-    prints_of = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n_rows")))
-    equal = spread_join(nodes.select("node", "fp"), prints_of, "fp", counts.count()).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    links = cut_lineage(link_edges(prints_of.select("fp")))
-    least = prints_of.select("fp", "least")
-    links = links.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
-    edges = proven(cut_lineage(screened(equal.union(links).distinct(), nodes)))
-    roots = _near_roots(edges)
+    prints_of, prints_n = cut_counted(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n_rows")))
+    equal, equals = cut_counted(prints_of.where("n_rows > 1"))
+    equal = table_join(nodes.select("node", "fp"), equal, equals, "fp", total).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links, linked = cut_counted(link_edges(prints_of.select("fp")))
     release(docs)
+    for end, side in (("u", "a"), ("v", "b")):
+        links = small(links, linked).join(prints_of.select(F.col("fp").alias(end), F.col("least").alias(side)), end)
+    edges = proven(candidates(equal.union(links.select("a", "b"))))[0]
+    roots = _near_roots(edges)
     # short lists
     at = F.coalesce("root", "node").alias("root")
-    filed = nodes.join(if_small(roots), "node", "left").select(F.explode("head").alias("token"), "node", at, "n", "parity")
-    first = cut_lineage(short_pairs(filed, short))
-    edges = edges.union(proven(cut_lineage(screened(first.where("token is null").select("a", "b").distinct(), nodes))))
+    filed = nodes.join(small(*roots), "node", "left").select(F.explode("head").alias("token"), "node", at, "n", "parity")
+    first = cut_counted(short_pairs(filed, short))[0]
+    release(docs)
+    edges = edges.union(proven(candidates(first.where("token is null").select("a", "b")))[0])
     # long lists
-    long = cut_lineage(first.where("token is not null").select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    failed = long.limit(0).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    long, lists = cut_counted(first.where("token is not null").select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    failed, fails = long.limit(0).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), 0
     for turn in range(ROUNDS + 1):
-        release(docs)
-        if long.isEmpty():
+        if not lists:
             break
         roots = _near_roots(edges, 2 + turn)
-        rows = nodes.select(F.explode("head").alias("token"), "node").join(if_small(long), "token")
-        rows = rows.join(nodes.select("node", "n", "parity", "sketch"), "node").join(if_small(roots), "node", "left")
-        bad = failed.union(failed.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-        rows = rows.join(bad, "node", "left").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        if lists <= SMALL_ROWS:
+            rows = nodes.select(F.explode("head").alias("token"), "node", "n", "parity", "sketch").join(F.broadcast(long), "token")
+        else:
+            rows = nodes.select(F.explode("head").alias("token"), "node").join(long, "token").join(nodes.select("node", "n", "parity", "sketch"), "node")
+        rows = rows.join(small(*roots), "node", "left")
+        if fails:
+            bad = failed.union(failed.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+            rows = rows.join(bad, "node", "left")
+        else:
+            rows = rows.withColumn("failed", F.lit(None))
+        rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # first within blocks, then between any two
         others = F.array("side") if not turn else F.sequence(F.lit(0), F.col("blocks") - 1)
         rows = rows.select("token", "node", at, "n", "parity", "sketch", "side", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"), F.explode(others).alias("other"))
         rows = rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-        found = cut_lineage(long_pairs(rows, turn == ROUNDS))
-        pairs = cut_lineage(found.select("a", "b").distinct())
-        good = proven(pairs)
+        found = cut_counted(long_pairs(rows, turn == ROUNDS))[0]
+        pairs = cut_counted(found.select("a", "b").distinct())[0]
+        release(docs)
+        good, goods = proven(pairs)
         edges = edges.union(good)
-        wrong = cut_lineage(pairs.join(good.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"))
-        again = found.join(wrong, ["a", "b"], "left_semi").select("token").distinct()
+        wrong, wrongs = cut_counted(pairs.join(small(good.select(F.col("u").alias("a"), F.col("v").alias("b")), goods), ["a", "b"], "left_anti"))
+        again = found.join(small(wrong, wrongs), ["a", "b"], "left_semi").select("token")
         if not turn:
-            again = again.union(long.where("blocks > 1").select("token")).distinct()
-        failed = cut_lineage(failed.union(wrong))
-        long = cut_lineage(long.join(again, "token", "left_semi"))
+            again = again.union(long.where("blocks > 1").select("token"))
+        again = small(*cut_counted(again.distinct()))
+        failed, fails = cut_counted(failed.union(wrong))
+        long, lists = cut_counted(long.join(again, "token", "left_semi"))
+    of, n = cut_counted(counts.join(small(*_roots(edges)), "node", "left").select("node", at, "n_rows"))
     release(docs)
-    of = counts.join(_roots(edges), "node", "left").select("node", at, "n_rows")
-    return spread_join(prints.select("doc_id", "key", "node"), cut_lineage(of), "node", prints.count()).select("doc_id", "key", "root")
+    return table_join(prints.select("doc_id", "key", "node"), of, n, "node", prints.count() if n > SMALL_ROWS else 0).select("doc_id", "key", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group: that of the least id, nulls last; of rows equal in id and text the least of all columns."""
-    return keep_least(docs, cut_lineage(grouped(docs, id_col, text_col, short, block)), id_col, text_col)
+    of = cut_counted(grouped(docs, id_col, text_col, short, block))[0]
+    release(docs)
+    return keep_least(docs, of, id_col, text_col)
