@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 TOLERANCE_S, AMBIGUOUS_S, CERTAIN_S = 900, 120, 60
 TAIL_LEAST, TAIL_INSIDE = 6, 8
 
@@ -69,9 +71,14 @@ def by_descriptor(refs: DataFrame, live: DataFrame) -> DataFrame:
     """
     tail = F.element_at(F.split("route_id", ":"), -1)
     keys = live.where("route_id is not null").select("trip_id", F.col("direction_id").alias("d"), F.col("start_date").alias("s"), F.explode(F.array_distinct(F.array(F.struct(F.lit("as it is").alias("how"), F.col("route_id").alias("key")), F.struct(F.lit("tail").alias("how"), tail.alias("key"))))).alias("k")).select("trip_id", "d", "s", "k.*")
+    # the least trip of each route, direction and date, and of each with the direction, the date or both left open: a reference meets one row of it
+    least = keys.groupBy("how", "key", "d", "s").agg(F.min("trip_id").alias("trip_id"))
+    open_d, open_s = (F.lit(None).cast(keys.schema[c].dataType) for c in "ds")
+    sides = [F.when(given, F.struct(d.alias("d"), s.alias("s"))) for d, s, given in ((F.col("d"), F.col("s"), F.col("d").isNotNull() & F.col("s").isNotNull()), (F.col("d"), open_s, F.col("d").isNotNull()), (open_d, F.col("s"), F.col("s").isNotNull()), (open_d, open_s, F.lit(True)))]
+    least = least.select("how", "key", "trip_id", F.explode(F.array_compact(F.array(*sides))).alias("x")).groupBy(F.col("how").alias("l_how"), F.col("key").alias("l_key"), "x.d", "x.s").agg(F.min("trip_id").alias("trip_id"))
     asks = refs.select("ref", "direction_id", "start_date", F.explode(F.array_distinct(F.array(F.struct(F.lit("as it is").alias("how"), F.col("route_id").alias("key")), F.struct(F.lit("tail").alias("how"), F.col("route_id").alias("key")), F.struct(F.lit("as it is").alias("how"), tail.alias("key"))))).alias("k")).select("ref", "direction_id", "start_date", "k.*")
-    fits = (F.col("direction_id").isNull() | (F.col("d") == F.col("direction_id"))) & (F.col("start_date").isNull() | (F.col("s") == F.col("start_date")))
-    return asks.join(keys, ["how", "key"]).where(fits).groupBy("ref").agg(F.min("trip_id").alias("trip_id"))
+    same = (F.col("how") == F.col("l_how")) & (F.col("key") == F.col("l_key")) & F.col("d").eqNullSafe(F.col("direction_id")) & F.col("s").eqNullSafe(F.col("start_date"))
+    return asks.join(least, same).groupBy("ref").agg(F.min("trip_id").alias("trip_id"))
 
 
 def cascade(refs: DataFrame, steps: list) -> DataFrame:
