@@ -23,9 +23,9 @@ def proximity(stops: DataFrame, radius_m: float) -> DataFrame:
     return links.select("from_stop", "to_stop", walk_seconds(F.col("distance_m"), least=LEAST_S).alias("duration_s"), "distance_m")
 
 
-def star_links(stops: DataFrame, places: DataFrame, radius_m: float = 900.0, k: int = 32) -> DataFrame:
+def star_links(stops: DataFrame, places: DataFrame, radius_m: float = 900.0, k: int = 32, digits: int | None = None) -> DataFrame:
     """(place_id, stop_id, distance_m, rank): place shells to their nearest boardable stops."""
-    return nearest(places.select(F.col("stop_id").alias("place_id"), "lat", "lon"), stops, radius_m, k, "place_id").where("place_id <> stop_id")
+    return nearest(places.select(F.col("stop_id").alias("place_id"), "lat", "lon"), stops, radius_m, k, "place_id", digits).where("place_id <> stop_id")
 
 
 def pathway_edges(pathways: DataFrame) -> DataFrame:
