@@ -201,7 +201,7 @@ def hub_links(net: Network) -> DataFrame:
 @query(f"with d as (select p.address_id as point_id, s.stop_id, round({HAVERSINE.format(a='p', b='s')}, 3) as distance_m from addresses p, stops s) select point_id, stop_id, distance_m, rank::int as rank from (select *, row_number() over (partition by point_id order by distance_m, stop_id) as rank from d where distance_m <= {RADIUS}) where rank <= 3")
 def near_stops(net: Network) -> DataFrame:
     points = net.addresses.select(F.col("address_id").alias("point_id"), "lat", "lon")
-    return spatial.nearest(points, net.stops, RADIUS, 3).withColumn("distance_m", F.round("distance_m", 3))
+    return spatial.nearest(points, net.stops, RADIUS, 3, digits=3)
 
 
 @query(f"with d as (select a.stop_id as place_id, b.stop_id, round({HAVERSINE.format(a='a', b='b')}, 3) as distance_m from stops a, stops b where a.wheelchair = 1), ranked as (select *, row_number() over (partition by place_id order by distance_m, stop_id) as rank from d where distance_m <= 5000) select place_id, stop_id, distance_m, rank::int as rank from ranked where rank <= 4 and place_id <> stop_id")
