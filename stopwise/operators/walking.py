@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import walk_seconds
-from .spatial import hub_links, nearest
+from .dealing import dealt_join
+from .spatial import grid_join, nearest
 
 SIBLING_S, SIBLING_M, LEAST_S = 120, 50.0, 75
 
 
-def siblings(stops: DataFrame) -> DataFrame:
-    """Stops of one parent, each pair in both directions."""
-    a = stops.where("parent_id is not null").select("parent_id", F.col("stop_id").alias("from_stop"))
+def _starts(stops: DataFrame, starts: DataFrame | None) -> DataFrame:
+    return stops if starts is None else stops.join(starts.select("stop_id").distinct(), "stop_id", "left_semi")
+
+
+def siblings(stops: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Stops of one parent, each pair in both directions; with ``starts`` (stop_id) only the pairs from those."""
+    a = _starts(stops, starts).where("parent_id is not null").select("parent_id", F.col("stop_id").alias("from_stop"))
     b = stops.where("parent_id is not null").select("parent_id", F.col("stop_id").alias("to_stop"))
-    return a.join(b, "parent_id").where("from_stop <> to_stop").select("from_stop", "to_stop", F.lit(SIBLING_S).alias("duration_s"), F.lit(SIBLING_M).alias("distance_m"))
+    return dealt_join(a, b, ["parent_id"]).where("from_stop <> to_stop").select("from_stop", "to_stop", F.lit(SIBLING_S).alias("duration_s"), F.lit(SIBLING_M).alias("distance_m"))
 
 
-def proximity(stops: DataFrame, radius_m: float) -> DataFrame:
-    links = hub_links(stops, radius_m)
-    return links.select("from_stop", "to_stop", walk_seconds(F.col("distance_m"), least=LEAST_S).alias("duration_s"), "distance_m")
+def proximity(stops: DataFrame, radius_m: float, starts: DataFrame | None = None) -> DataFrame:
+    """Stops within the radius that are no siblings; the walk takes the time of whole millimetres."""
+    a = _starts(stops, starts).select(F.col("stop_id").alias("from_stop"), F.col("parent_id").alias("from_parent"), "lat", "lon")
+    b = stops.select(F.col("stop_id").alias("to_stop"), F.col("parent_id").alias("to_parent"), "lat", "lon")
+    apart = (F.col("from_stop") != F.col("to_stop")) & (F.col("distance_m") > 1.0) & ~F.coalesce(F.col("from_parent") == F.col("to_parent"), F.lit(False))
+    return grid_join(a, b, radius_m).where(apart).select("from_stop", "to_stop", walk_seconds(F.round("distance_m", 3), least=LEAST_S).alias("duration_s"), "distance_m")
 
 
 def star_links(stops: DataFrame, places: DataFrame, radius_m: float = 900.0, k: int = 32, digits: int | None = None) -> DataFrame:
@@ -34,17 +42,19 @@ def pathway_edges(pathways: DataFrame) -> DataFrame:
     return pathways.select("from_stop", "to_stop", "duration_s", "distance_m", "mode").unionByName(back)
 
 
-def walk_graph(stops: DataFrame, radius_m: float, pathways: DataFrame | None = None) -> DataFrame:
-    """(from_stop, to_stop, duration_s, distance_m): pathways first, then siblings, then proximity; a pair is taken from the first that has it."""
-    sources = [siblings(stops), proximity(stops, radius_m)]
-    if pathways is not None:
-        sources.insert(0, pathway_edges(pathways).drop("mode"))
-    rows = None
-    for k, source in enumerate(sources):
-        part = source.withColumn("source", F.lit(k))
-        rows = part if rows is None else rows.unionByName(part)
-    best = F.min(F.struct("source", "duration_s", "distance_m")).alias("x")
-    return rows.groupBy("from_stop", "to_stop").agg(best).select("from_stop", "to_stop", "x.duration_s", "x.distance_m")
+def walk_graph(stops: DataFrame, radius_m: float, pathways: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """(from_stop, to_stop, duration_s, distance_m): pathways first, then siblings, then proximity; a pair is taken from the first that has it.
+
+    Pairs grow with the square of the stops in an area; with ``starts`` (stop_id) only those from these stops are made. No pair is in
+    two of the sources, so that none is sorted or shuffled once it is made.
+    """
+    rows = siblings(stops, starts).unionByName(proximity(stops, radius_m, starts))
+    if pathways is None:
+        return rows
+    edges = pathway_edges(pathways).groupBy("from_stop", "to_stop").agg(F.min(F.struct("duration_s", "distance_m")).alias("x")).select("from_stop", "to_stop", "x.*")
+    if starts is not None:
+        edges = edges.join(starts.select(F.col("stop_id").alias("from_stop")).distinct(), "from_stop", "left_semi")
+    return edges.unionByName(rows.join(edges.select("from_stop", "to_stop"), ["from_stop", "to_stop"], "left_anti"))
 
 
 def between(pairs: DataFrame, edges: DataFrame, stops: DataFrame, most_m: float, speed: float = 1.2) -> DataFrame:
