@@ -206,7 +206,7 @@ def near_stops(net: Network) -> DataFrame:
 
 @query(f"with d as (select a.stop_id as place_id, b.stop_id, round({HAVERSINE.format(a='a', b='b')}, 3) as distance_m from stops a, stops b where a.wheelchair = 1), ranked as (select *, row_number() over (partition by place_id order by distance_m, stop_id) as rank from d where distance_m <= 5000) select place_id, stop_id, distance_m, rank::int as rank from ranked where rank <= 4 and place_id <> stop_id")
 def place_star_links(net: Network) -> DataFrame:
-    return walking.star_links(net.stops, net.stops.where("wheelchair = 1"), 5000.0, 4).withColumn("distance_m", F.round("distance_m", 3))
+    return walking.star_links(net.stops, net.stops.where("wheelchair = 1"), 5000.0, 4, digits=3)
 
 
 SIBLINGS_SQL = "siblings as (select a.stop_id as from_stop, b.stop_id as to_stop, 120 as duration_s, 50.0::double as distance_m from stops a join stops b on a.parent_id = b.parent_id and a.stop_id <> b.stop_id)"
