@@ -55,8 +55,7 @@ def live_order(net: Network) -> DataFrame:
 @query(f"select from_stop, to_stop from (select a.stop_id as from_stop, b.stop_id as to_stop, round({HAVERSINE.format(a='a', b='b')}, 3) as d from stops a, stops b where a.stop_id < b.stop_id) where d > 1 and d <= {RADIUS} order by d, from_stop, to_stop limit 300")
 def shortest_links(net: Network) -> DataFrame:
     """The shortest pairs of stops within reach; a top-k, not a cut of the walk graph."""
-    rows = spatial.hub_links(net.stops, RADIUS).where("from_stop < to_stop")
-    return rows.orderBy(F.round("distance_m", 3), "from_stop", "to_stop").limit(300).select("from_stop", "to_stop")
+    return spatial.shortest_links(net.stops, RADIUS, 300).select("from_stop", "to_stop")
 
 
 @query("""with words as (select alert_id, unnest(list_distinct(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'))) as word from alerts), seen as (select alert_id, word as line from words where word in ('the', 'en', 'de', 'la'))
