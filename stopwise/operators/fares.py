@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from .dealing import if_small
+
 # What a rule can ask of a leg, with the weight of its being asked.
 FILTERS = (("route_id", 4), ("origin_id", 2), ("destination_id", 2), ("contains_id", 1))
 
 
-def best_fares(legs: DataFrame, rules: DataFrame, fares: DataFrame) -> DataFrame:
-    """(leg columns, fare_id, price, currency, transfers, duration_s): for each leg the most specific rule, then the cheapest, then the least id; legs without a rule go.
+def best_fares(legs: DataFrame, rules: DataFrame, fares: DataFrame, unpriced: bool = False) -> DataFrame:
+    """(leg columns, fare_id, price, currency, transfers, duration_s): for each leg the most specific rule, then the cheapest, then the least id; legs without a rule go, or stay ``unpriced``.
 
     A rule's null filters match anything; ``contains_id`` matches either zone of the leg. Instead of a nested loop, a leg is looked up under each of the keys
-    that a rule for it can have (each filter set or open, the last one under both zones), and of the rules of one key only the best is kept.
+    that a rule for it can have (each filter set or open, the last one under both zones), and of the rules of one key only the best is kept. What is looked up are the distinct routes and zones of
+    legs, which are few beside the legs; of these each leg then takes its fare.
     """
     names = [name for name, _ in FILTERS]
 
@@ -33,9 +39,12 @@ def best_fares(legs: DataFrame, rules: DataFrame, fares: DataFrame) -> DataFrame
             for name, used in zip(columns, sets, strict=True):
                 usable = usable & F.col(name).isNotNull() if used else usable
             keys.append(F.when(usable, key([F.col(n) if used else F.lit(None) for n, used in zip(columns, sets, strict=True)])))
-    tried = legs.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys))))).join(best_rule, "key")
+    kind = names[:-1]
+    tried = legs.select(*kind).distinct().withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys))))).join(best_rule, "key")
     best = F.min(F.struct((-F.col("weight")).alias("w"), "r")).alias("x")
-    return tried.groupBy(*legs.columns).agg(best).select(*legs.columns, "x.r.fare_id", "x.r.price", "x.r.currency", "x.r.transfers", "x.r.duration_s")
+    found = if_small(cut(tried.groupBy(*(F.col(c).alias(f"of_{c}") for c in kind)).agg(best)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in kind))
+    return legs.join(found, same, "left" if unpriced else "inner").select(*legs.columns, "x.r.fare_id", "x.r.price", "x.r.currency", "x.r.transfers", "x.r.duration_s")
 
 
 def journey_fares(legs: DataFrame) -> DataFrame:
