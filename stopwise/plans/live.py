@@ -159,8 +159,7 @@ def fare_tickets(net: Network) -> DataFrame:
 @query(f"with {FOLD_SQL} select f.journey_id, case when x.priced then round(f.price, 6) end as price, case when x.priced then f.tickets end::int as tickets from fold f join (select journey_id, max(leg) as leg, bool_and(fare_id is not null) and count(distinct currency) = 1 as priced from every group by journey_id) x using (journey_id, leg)", recursive=True)
 def journey_fare(net: Network) -> DataFrame:
     """Tickets used again along a journey."""
-    legs = _legs(net)
-    rows = legs.join(fares.best_fares(legs, net.fare_rules, net.fare_attributes).select("journey_id", "leg", "fare_id", "price", "currency", "transfers", "duration_s"), ["journey_id", "leg"], "left")
+    rows = fares.best_fares(_legs(net), net.fare_rules, net.fare_attributes, unpriced=True)
     found = fares.journey_fares(rows.select("journey_id", "leg", "board_s", "fare_id", "price", "currency", "transfers", "duration_s"))
     return found.withColumn("price", F.round("price", 6))
 
