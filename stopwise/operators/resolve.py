@@ -50,7 +50,8 @@ def by_tail(refs: DataFrame, trips: DataFrame, least: int = TAIL_LEAST, inside:
     """(ref, trip_id): refs (ref, tail) whose tail ends exactly one trip's name (name, trip_id), or stands anywhere in it from ``inside`` letters on.
 
     Names are filed under their endings, and from ``inside`` letters on under all their parts, of the lengths that tails have, which makes
-    the search an equi-join. A name gives no more parts than it has letters for each length.
+    the search an equi-join. A name gives no more parts than it has letters for each length; trips of one name and names of one part
+    are brought down to their least and greatest trip before anything is joined, which are the same where there is one.
     """
     asks = refs.where(F.length("tail") >= least)
     lengths = [r[0] for r in asks.select(F.length("tail").alias("n")).distinct().collect()]  # as many as a name has letters
@@ -58,9 +59,11 @@ def by_tail(refs: DataFrame, trips: DataFrame, least: int = TAIL_LEAST, inside:
         return asks.join(trips.limit(0), F.lit(False)).select("ref", "trip_id")
     anywhere, at_end = "transform(sequence(1, length(name) - {n} + 1), k -> substring(name, k, {n}))", "array(right(name, {n}))"
     parts = [F.expr(f"case when length(name) >= {n} then {(anywhere if n >= inside else at_end).format(n=n)} end") for n in sorted(lengths)]
-    ends = trips.select("trip_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))).alias("tail"))
-    hits = asks.join(ends, "tail").groupBy("ref").agg(F.count_distinct("trip_id").alias("n"), F.min("trip_id").alias("trip_id"))
-    return hits.where("n = 1").select("ref", "trip_id")
+    names = trips.groupBy("name").agg(F.min("trip_id").alias("low"), F.max("trip_id").alias("high"))
+    ends = names.select("low", "high", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))).alias("tail"))
+    ends = ends.groupBy("tail").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hits = asks.join(ends, "tail").groupBy("ref").agg(F.min("low").alias("trip_id"), F.max("high").alias("high"))
+    return hits.where("trip_id = high").select("ref", "trip_id")
 
 
 def by_descriptor(refs: DataFrame, live: DataFrame) -> DataFrame:
