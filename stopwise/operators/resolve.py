@@ -85,10 +85,14 @@ def by_descriptor(refs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def cascade(refs: DataFrame, steps: list) -> DataFrame:
-    """(ref, trip_id, step): ``steps`` are (name, function of the refs still open); earlier ones win."""
-    found, left = None, refs
-    for name, step in steps:
-        part = step(left).withColumn("step", F.lit(name))
+    """(ref, trip_id, step): ``steps`` are (name, function of the refs still open); earlier ones win.
+
+    What a step found and what it left over are cut from their lineage: else each step would run all steps before it twice.
+    """
+    found, left = None, cut(refs)
+    for k, (name, step) in enumerate(steps):
+        part = cut(step(left).withColumn("step", F.lit(name)))
         found = part if found is None else found.unionByName(part)
-        left = left.join(part.select("ref"), "ref", "left_anti")
+        if k + 1 < len(steps):
+            left = cut(left.join(part.select("ref"), "ref", "left_anti"))
     return found
