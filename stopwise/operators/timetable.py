@@ -68,29 +68,29 @@ def interpolate(stop_times: DataFrame) -> DataFrame:
 
     The weight along a gap is shape distance where it is complete, never falls and rises over all, else straight-line
     distance where all stops have coordinates and it is positive, else the index. Trips whose first or last
-    stop has no time are dropped. Halves round away from zero.
+    stop has no time are dropped. Halves round away from zero. All is one order of a trip's stops, so that rows are sorted once.
     """
     from ..functions.geo import haversine
 
-    trip = W.partitionBy("trip_id")
-    order = trip.orderBy("off")
+    order = W.partitionBy("trip_id").orderBy("off")
     before, after = order.rowsBetween(W.unboundedPreceding, W.currentRow), order.rowsBetween(W.currentRow, W.unboundedFollowing)
     timed = F.col("arrival_s").isNotNull() | F.col("departure_s").isNotNull()
     rows = stop_times.withColumn("a", F.coalesce("arrival_s", "departure_s")).withColumn("d", F.coalesce("departure_s", "arrival_s")).withColumn("timed", timed)
     ends = F.first("timed").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) & F.last("timed").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     rows = rows.withColumn("ends", ends).where("ends")
     leg = haversine(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
-    rows = rows.withColumn("leg", leg).withColumn("gap", F.sum(F.when(F.col("timed"), 1).otherwise(0)).over(before))
+    rows = rows.withColumn("leg", leg)
     rows = rows.withColumn("line", F.sum(F.coalesce("leg", F.lit(0.0))).over(before))
-    mark = F.struct("off", "a", "d", "shape_dist", "line")
+    falls = ~F.col("timed") & (F.lag("shape_dist").over(order) > F.col("shape_dist"))
+    off_shape, off_map = F.col("shape_dist").isNull() | F.coalesce(falls, F.lit(False)), F.col("lat").isNull() | F.col("lon").isNull()
+    rows = rows.withColumn("off_shape", off_shape.cast("int")).withColumn("off_map", off_map.cast("int")).withColumn("last_shape", F.lag("shape_dist").over(order))
+    rows = rows.withColumn("n_shape", F.sum("off_shape").over(before) - F.col("off_shape")).withColumn("n_map", F.sum("off_map").over(before) - F.col("off_map"))
+    # counts up to a timed stop: their difference is what lies in the gap, its first stop included; a distance that never falls is greatest before the next timed stop
+    mark = F.struct("off", "a", "d", "shape_dist", "line", "n_shape", "n_map", "last_shape")
     rows = rows.withColumn("low", F.last(F.when(F.col("timed"), mark), True).over(before)).withColumn("high", F.first(F.when(F.col("timed"), mark), True).over(after))
-    gap = W.partitionBy("trip_id", "gap").orderBy("off")
-    whole = gap.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    falls = F.lag("shape_dist").over(gap) > F.col("shape_dist")
-    rows = rows.withColumn("falls", falls)
-    complete = (F.sum(F.when(F.col("shape_dist").isNull() | F.coalesce(F.col("falls"), F.lit(False)), 1).otherwise(0)).over(whole) == 0) & (F.col("high.shape_dist") >= F.max("shape_dist").over(whole))
+    complete = (F.col("high.n_shape") == F.col("low.n_shape")) & (F.col("high.shape_dist") >= F.col("high.last_shape"))
     by_shape = complete & (F.col("high.shape_dist") > F.col("low.shape_dist"))
-    placed = (F.sum(F.when(F.col("lat").isNull() | F.col("lon").isNull(), 1).otherwise(0)).over(whole) == 0) & (F.col("high.line") > F.col("low.line"))
+    placed = (F.col("high.n_map") == F.col("low.n_map")) & (F.col("high.line") > F.col("low.line"))
     share = (
         F.when(by_shape, (F.col("shape_dist") - F.col("low.shape_dist")) / (F.col("high.shape_dist") - F.col("low.shape_dist")))
         .when(placed, (F.col("line") - F.col("low.line")) / (F.col("high.line") - F.col("low.line")))
