@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..operators import router, timetable, walking
 from ..sources.derived import Network, with_views
-from .network import AT_S, HAVERSINE, ORIGINS, RADIUS, TRANSFERS_SQL, WALK_SQL, day_events
+from .network import AT_S, HAVERSINE, ORIGINS, RADIUS, TRANSFERS_SQL, WALK_SQL, day_events, day_runs
 
 QUERIES, SQL = {}, {}
 ROUNDS, TARGETS = 4, (1, 2, 5, 8, 13, 21)
@@ -106,7 +108,7 @@ def arrive_by(net: Network) -> DataFrame:
     """Latest seed of the last two hours that still arrives by nine."""
     asks = net.stops.where(F.col("stop_id").isin(*ORIGINS)).select(F.col("stop_id").alias("origin"), F.lit(32_400).alias("deadline_s"))
     seeds = router.arrive_by_seeds(asks, 7_200).withColumn("query_id", F.col("origin") * 1_000_000 + F.col("seed_s"))
-    labels = router.rounds(seeds.select("query_id", F.col("origin").alias("stop_id"), F.col("seed_s").alias("arr")), day_events(net), None, 3)
+    labels = router.rounds(seeds.select("query_id", F.col("origin").alias("stop_id"), F.col("seed_s").alias("arr")), day_runs(net), None, 3)
     rows = router.earliest(labels).where(F.col("stop_id").isin(*TARGETS) & (F.col("arr") <= 32_400))
     return rows.groupBy(F.floor(F.col("query_id") / 1_000_000).alias("query_id"), F.col("stop_id").alias("target")).agg(F.max(F.col("query_id") % 1_000_000).alias("leave_s"))
 

@@ -9,7 +9,7 @@ from ..operators import equipment, realtime, router, walking
 from ..sources.derived import Network, with_views
 from .journeys import ORIGINS, TARGETS, rounds_sql
 from .live import GPS_SQL, LIVE_SQL, _gps, _live
-from .network import AT_S, HAVERSINE, RADIUS, WALK_SQL, day_events
+from .network import AT_S, HAVERSINE, RADIUS, WALK_SQL, day_runs
 
 QUERIES, SQL = {}, {}
 
@@ -63,7 +63,7 @@ _SEEDS = f"start as (select distinct o.stop_id * 1000000 + e.departure_s as quer
 select q::bigint as query_id, stop_id as target, seed_s::bigint as seed_s, arr as arrival_s from p where not exists (select 1 from p o where o.q = p.q and o.stop_id = p.stop_id and o.seed_s > p.seed_s and o.arr <= p.arr)""")
 def departure_profile(net: Network) -> DataFrame:
     """Departures of half an hour of which none is overtaken by a later one."""
-    events = day_events(net)
+    events = day_runs(net)
     start = net.stops.where(F.col("stop_id").isin(*ORIGINS)).select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(AT_S).alias("arr"))
     seeds = router.departure_seeds(start, events, 1_800).select((F.col("query_id") * 1_000_000 + F.col("seed_s")).alias("query_id"), "stop_id", F.col("seed_s").alias("arr"))
     labels = router.earliest(router.rounds(seeds, events, None, 2))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, timeutil
+from ..lineage import cut
 from ..operators import calendar, departures, spatial, timetable, walking
 from ..sources.derived import Network, with_views
 
@@ -39,6 +40,18 @@ def day_events(net: Network) -> DataFrame:
     return net.events_of(net.trips.join(active(net), "service_id", "left_semi"))
 
 
+def day_runs(net: Network, frequencies: DataFrame | None = None) -> DataFrame:
+    """Stop events of the day's distinct runs, for routing that asks nothing else of a trip: of trips with the same stops, times and headway windows the least.
+
+    Equal trips reach the same stops at the same times, and of equal arrivals the router takes the least trip, so that the others change no label.
+    """
+    trips = net.trips.join(active(net), "service_id", "left_semi").select("trip_id", "pattern_id", "first_dep_s")
+    if frequencies is None:
+        return net.events_of(cut(net.runs_of(trips)))
+    windows = frequencies.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "headway_s"))).alias("windows"))
+    return net.events_of(cut(net.runs_of(trips.join(windows, "trip_id", "left"), "windows").drop("windows")))
+
+
 @query("select stop_id, trip_id, route_id, off, departure_s from stop_times join trips using (trip_id) where service_id in (from active) and pickup_type <> 1 and departure_s >= 28800 and stop_id in (0, 3, 7) order by departure_s, trip_id, off, stop_id limit 50")
 def departures_board(net: Network) -> DataFrame:
     wanted = net.stops.where(F.col("stop_id").isin(*ORIGINS)).select("stop_id")
