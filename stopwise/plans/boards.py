@@ -11,7 +11,7 @@ from ..operators import boarding, calendar, realtime, router
 from ..sources.derived import Network, with_views
 from .journeys import START_SQL, TARGETS, _start
 from .live import BEFORE_SQL, STOP_SQL, TRIP_SQL
-from .network import DAY, ORIGINS, active, day_events
+from .network import DAY, ORIGINS, active, day_events, day_runs
 
 QUERIES, SQL = {}, {}
 NIGHT_S = 3_600
@@ -74,7 +74,8 @@ def raptor_modes(net: Network) -> DataFrame:
 @query(boards_sql(HEADWAY_SQL, 3) + " from best3")
 def raptor_frequency(net: Network) -> DataFrame:
     """Trips with headway windows are boarded by their runs."""
-    events = boarding.keyed(boarding.headway_runs(day_events(net), net.frequencies))
+    runs = day_runs(net, net.frequencies)
+    events = boarding.keyed(boarding.headway_runs(runs, net.frequencies.join(runs.select("trip_id"), "trip_id", "left_semi")))
     return router.earliest(router.rounds(_start(net), events, None, 3))
 
 
@@ -95,7 +96,7 @@ def raptor_service_days(net: Network) -> DataFrame:
 def raptor_targets(net: Network) -> DataFrame:
     """Only labels that can still improve a target are kept; the targets' arrivals are those of the whole search."""
     targets = _start(net).select("query_id").crossJoin(net.stops.where(F.col("stop_id").isin(*TARGETS)).select("stop_id"))  # two handfuls of named stops
-    labels = router.rounds(_start(net), day_events(net), None, 4, targets=targets)
+    labels = router.rounds(_start(net), day_runs(net), None, 4, targets=targets)
     return router.earliest(labels).where(F.col("stop_id").isin(*TARGETS))
 
 
