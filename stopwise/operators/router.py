@@ -8,6 +8,8 @@ Each round's labels are cut from their lineage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,10 +50,12 @@ def _improving(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, KEY, "left").where(F.col("known").isNull() | (F.col("arr") < F.col("known"))).drop("known")
 
 
-def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int, buffer_s: int = 120, targets: DataFrame | None = None) -> DataFrame:
+def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | Callable[[DataFrame], DataFrame] | None, n: int, buffer_s: int = 120, targets: DataFrame | None = None) -> DataFrame:
     """Labels of all rounds: (query_id, stop_id, arr, round, kind, trip_id, board_stop, board_off, board_s, off, from_stop).
 
     ``start`` (query_id, stop_id, arr); no buffer before the first boarding. A stop has a row for each round that improved it.
+    ``walks`` (from_stop, to_stop, duration_s) may be a function that makes them from given stops (stop_id): walks between all stops grow with the
+    square of the stops, those from stops that rides reach do not.
     Round k's rides and walks have ``round`` k, starting from 1; the start has 0. The strict one-hop walk is used: only
     stops improved by riding in this round are walked from. With ``targets`` (query_id, stop_id), labels that are not earlier than the query's
     latest best target cannot improve one and are not kept; labels of the targets themselves stay exact.
@@ -72,7 +76,8 @@ def rounds(start: DataFrame, events: DataFrame, walks: DataFrame | None, n: int,
         rides = cut(rides.select(*KEY, "arr", F.lit(k).alias("round"), F.lit(RIDE).alias("kind"), "trip_id", "board_stop", "board_off", "board_s", "off", F.lit(None).cast("long").alias("from_stop")))
         new = rides
         if walks is not None:
-            hops = rides.select("query_id", F.col("stop_id").alias("from_stop"), "arr").join(walks.select("from_stop", F.col("to_stop").alias("stop_id"), "duration_s"), "from_stop")
+            edges = walks(rides.select("stop_id").distinct()) if callable(walks) else walks
+            hops = rides.select("query_id", F.col("stop_id").alias("from_stop"), "arr").join(edges.select("from_stop", F.col("to_stop").alias("stop_id"), "duration_s"), "from_stop")
             hops = _improving(_best(hops.select("query_id", "stop_id", (F.col("arr") + F.col("duration_s")).cast("long").alias("arr"), "from_stop")), earliest(every.union(rides)))
             hops = cut(hops.select(*KEY, "arr", F.lit(k).alias("round"), F.lit(WALK).alias("kind"), *(nothing[c].alias(c) for c in ("trip_id", "board_stop", "board_off", "board_s", "off")), "from_stop"))
             new = rides.union(hops)

@@ -57,25 +57,23 @@ def _start(net: Network) -> DataFrame:
     return at.select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(AT_S).cast("long").alias("arr"))
 
 
-def _walks(net: Network) -> DataFrame:
-    from ..lineage import cut
-
-    return cut(walking.walk_graph(net.stops, RADIUS))
+def _walks(net: Network) -> Callable[[DataFrame], DataFrame]:
+    return lambda starts: walking.walk_graph(net.stops, RADIUS, starts=starts)
 
 
 @query(rounds_sql(1, False) + " from best1")
 def raptor_one_round(net: Network) -> DataFrame:
-    return router.earliest(router.rounds(_start(net), day_events(net), None, 1))
+    return router.earliest(router.rounds(_start(net), day_runs(net), None, 1))
 
 
 @query(rounds_sql(1, True) + " from best1")
 def raptor_walk(net: Network) -> DataFrame:
-    return router.earliest(router.rounds(_start(net), day_events(net), _walks(net), 1))
+    return router.earliest(router.rounds(_start(net), day_runs(net), _walks(net), 1))
 
 
 @query(rounds_sql(ROUNDS, True) + f" from best{ROUNDS}")
 def raptor_rounds(net: Network) -> DataFrame:
-    return router.earliest(router.rounds(_start(net), day_events(net), _walks(net), ROUNDS))
+    return router.earliest(router.rounds(_start(net), day_runs(net), _walks(net), ROUNDS))
 
 
 def _goal(labels: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ _IMPROVED = " union all ".join(f"select query_id, stop_id, {k}::int as round, ar
 
 @query(rounds_sql(ROUNDS, True) + f" select query_id, stop_id as target, round, arr as arrival_s from ({_IMPROVED}) where stop_id in {TARGETS}")
 def itineraries_by_round(net: Network) -> DataFrame:
-    labels = router.rounds(_start(net), day_events(net), _walks(net), ROUNDS)
+    labels = router.rounds(_start(net), day_runs(net), _walks(net), ROUNDS)
     rows = router.per_round(labels, _goal(labels)).where("round > 0")
     return rows.select("query_id", F.col("stop_id").alias("target"), "round", F.col("arr").alias("arrival_s"))
 
@@ -95,7 +93,7 @@ def itineraries_by_round(net: Network) -> DataFrame:
 @query()
 def itineraries(net: Network) -> DataFrame:
     """Journeys with their legs; checked by replaying them in the tests."""
-    labels = router.rounds(_start(net), day_events(net), _walks(net), ROUNDS)
+    labels = router.rounds(_start(net), day_runs(net), _walks(net), ROUNDS)
     found = router.reconstruct(labels, _goal(labels), ROUNDS)
     return found.withColumn("journey_id", F.substring(F.sha2(F.to_json(F.struct("query_id", "target", "legs")), 256), 1, 32))
 

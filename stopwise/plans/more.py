@@ -47,7 +47,7 @@ def viewport_lines(net: Network) -> DataFrame:
 def walk_between(net: Network) -> DataFrame:
     a = net.stops.where(F.col("stop_id").isin(*ORIGINS)).select(F.col("stop_id").alias("from_stop"))
     b = net.stops.select(F.col("stop_id").alias("to_stop"))
-    edges = walking.walk_graph(net.stops, RADIUS)
+    edges = walking.walk_graph(net.stops, RADIUS, starts=a.select(F.col("from_stop").alias("stop_id")))
     return walking.between(a.join(b, F.col("from_stop") != F.col("to_stop")), edges, net.stops, 6_000.0)  # from three named stops to all
 
 
