@@ -122,14 +122,36 @@ def line_positions(stop_times: DataFrame) -> DataFrame:
     return rows.select("trip_id", "line_key", (F.row_number().over(W.partitionBy("line_key").orderBy("first_s", "trip_id")) - 1).alias("position"))
 
 
+#: Seconds of first departures of a line that one task puts in order.
+FIFO_SLOT_S = 900
+
+
 def fifo_lines(stop_times: DataFrame) -> DataFrame:
-    """(line_key, n_trips, fifo): no trip of the line is overtaken at any stop by the next one, and all may be boarded and left alike there."""
-    rows = stop_times.join(line_positions(stop_times), "trip_id")
-    w = W.partitionBy("line_key", "off").orderBy("position")
-    kept = (F.col("departure_s") >= F.lag("departure_s").over(w)) & (F.col("arrival_s") >= F.lag("arrival_s").over(w))
-    alike = (F.col("pickup_type") == F.lag("pickup_type").over(w)) & (F.col("drop_off_type") == F.lag("drop_off_type").over(w))
-    rows = rows.withColumn("kept", F.coalesce(kept & alike, F.lit(True)))
-    return rows.groupBy("line_key").agg(F.count_distinct("trip_id").alias("n_trips"), F.bool_and("kept").alias("fifo"))
+    """(line_key, n_trips, fifo): no trip of the line is overtaken at any stop by the next one, and all may be boarded and left alike there.
+
+    Each trip is one row with its events in order. Trips are compared with the one before in slots of their line's first departures, and the first of a slot
+    with the last of the slot before it.
+    """
+    event = F.struct("off", "stop_id", "departure_s", "arrival_s", "pickup_type", "drop_off_type")
+    trips = stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    times = F.transform("e", lambda x: F.struct(x["departure_s"].alias("d"), x["arrival_s"].alias("a"), x["pickup_type"].alias("p"), x["drop_off_type"].alias("o")))
+    trips = trips.select("trip_id", F.array_join(F.transform("e", lambda x: x["stop_id"]), ",").alias("line_key"), F.col("e")[0]["departure_s"].alias("first_s"), times.alias("times"))
+    trips = trips.withColumn("slot", F.floor(F.col("first_s") / FIFO_SLOT_S))
+
+    def fine(one, two):  # two comes after one; what is not known breaks nothing
+        later = (two["d"] >= one["d"]) & (two["a"] >= one["a"]) & (two["p"] == one["p"]) & (two["o"] == one["o"])
+        return F.coalesce(later, F.lit(True))
+
+    def kept(before, now):
+        return F.coalesce(F.forall(F.zip_with(before, now, fine), lambda x: x), F.lit(True))
+
+    order = W.partitionBy("line_key", "slot").orderBy("first_s", "trip_id")
+    at = F.struct("first_s", "trip_id")
+    slots = trips.withColumn("kept", kept(F.lag("times").over(order), F.col("times"))).groupBy("line_key", "slot")
+    slots = slots.agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"), F.min_by("times", at).alias("first"), F.max_by("times", at).alias("last"))
+    line = W.partitionBy("line_key").orderBy("slot")
+    slots = slots.withColumn("joint", kept(F.lag("last").over(line), F.col("first")))
+    return slots.groupBy("line_key").agg(F.sum("n").alias("n_trips"), F.bool_and(F.col("kept") & F.col("joint")).alias("fifo"))
 
 
 def scheduled_runs(stop_times: DataFrame, least_s: int = 30) -> DataFrame:
