@@ -194,7 +194,7 @@ near as (select ref, r.line, r.dep_s, r.trip_id, abs(r.dep_s - at_s) as delta, r
 select ref, trip_id from near x where n = 1 and (delta <= 60 or (select count(*) from runs r where r.line = x.line and abs(r.dep_s - x.dep_s) <= 120) <= 1)""")
 def resolve_trip_time(net: Network) -> DataFrame:
     trips = net.trips.select(F.col("pattern_id").alias("line"), "trip_id", F.col("first_dep_s").alias("dep_s"))
-    asks = net.rt_events.join(trips, "trip_id").select(F.col("event_id").alias("ref"), "line", ((F.col("dep_s") + F.col("event_id") % 1300 - 650) % 86_400).alias("at_s"))
+    asks = net.rt_events.join(trips.hint("merge"), "trip_id").select(F.col("event_id").alias("ref"), "line", ((F.col("dep_s") + F.col("event_id") % 1300 - 650) % 86_400).alias("at_s"))
     return resolve.by_time(asks, _clock(net))
 
 
@@ -220,7 +220,7 @@ select ref, min(trip_id) as trip_id from asks a join lt l on (l.route_id = a.rou
 def resolve_trip_descriptor(net: Network) -> DataFrame:
     """References that name only a route, a direction or a date."""
     t, e = F.col("trip_id"), F.col("event_id")
-    live_trips = net.rt_events.select("trip_id").distinct().join(net.trips.select("trip_id", "route_id"), "trip_id")
+    live_trips = net.rt_events.select("trip_id").distinct().join(net.trips.select("trip_id", "route_id").hint("merge"), "trip_id")  # ids in order pack too well to tell their number by size
     live_trips = live_trips.select("trip_id", F.concat(F.lit("net:"), F.col("route_id").cast("string")).alias("route_id"), F.when(t % 3 != 0, t % 2).alias("direction_id"), F.when(t % 5 != 0, "20240115").alias("start_date"))
     route = (e % 40).cast("string")
     asks = net.rt_events.select(e.alias("ref"), F.when(e % 4 == 0, route).when(e % 4 == 3, F.concat(F.lit("far:"), route)).otherwise(F.concat(F.lit("net:"), route)).alias("route_id"), F.when(e % 3 == 0, e % 2).alias("direction_id"), F.when(e % 7 == 0, "20240115").alias("start_date"))
@@ -238,7 +238,7 @@ def resolve_cascade(net: Network) -> DataFrame:
     t, e = F.col("trip_id"), F.col("event_id")
     own, alias = F.concat(F.lit("net:"), t.cast("string")), F.concat(F.lit("OP:VehicleJourney::"), t.cast("string"), F.lit(":LOC"))
     name = F.concat(F.lit("T"), F.lpad((t * 7919 % 1000000).cast("string"), 8, "0"))
-    asks = net.rt_events.join(net.trips.select("trip_id", F.col("pattern_id").alias("line"), "first_dep_s"), "trip_id")
+    asks = net.rt_events.join(net.trips.select("trip_id", F.col("pattern_id").alias("line"), "first_dep_s").hint("merge"), "trip_id")
     called = F.when(e % 5 == 0, own).when(e % 5 == 1, alias).when(e % 5 == 2, F.concat(F.lit("X"), F.right(name, F.lit(7)))).otherwise("none")
     asks = asks.select(e.alias("ref"), "line", ((F.col("first_dep_s") + e % 700) % 86_400).alias("at_s"), called.alias("name"))
     trips = net.trips
