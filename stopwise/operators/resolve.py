@@ -33,9 +33,11 @@ def by_time(refs: DataFrame, runs: DataFrame) -> DataFrame:
     slot = F.floor(F.col("dep_s") / TOLERANCE_S)
     there = per.select("line", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), F.col("dep_s").alias("t"), F.struct("dep_s", "trip_id", "close").alias("run"), F.lit(None).cast(refs.schema["ref"].dataType).alias("ref"))
     asks = refs.select("line", F.floor(F.col("at_s") / TOLERANCE_S).alias("slot"), F.col("at_s").alias("t"), F.lit(None).cast(there.schema["run"].dataType).alias("run"), "ref")
-    w = W.partitionBy("line", "slot").orderBy("t", F.col("ref").isNotNull())
-    before, after = w.rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("line", "slot").orderBy("t", F.col("ref").isNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
-    both = there.unionByName(asks).withColumn("a", F.last("run", True).over(before)).withColumn("b", F.first("run", True).over(after)).where("ref is not null")
+    # both ways from the first row on: a frame that reaches to the end is gone through anew for each row
+    w, so_far = W.partitionBy("line", "slot"), (W.unboundedPreceding, W.currentRow)
+    before = w.orderBy("t", F.col("ref").isNotNull()).rowsBetween(*so_far)
+    after = w.orderBy(F.desc("t"), F.col("ref").isNotNull()).rowsBetween(*so_far)
+    both = there.unionByName(asks).withColumn("a", F.last("run", True).over(before)).withColumn("b", F.last("run", True).over(after)).where("ref is not null")
     found = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.dep_s") - F.col("t")).alias("delta"), F.col(f"{c}.trip_id").alias("trip_id"), F.col(f"{c}.close").alias("close"))) for c in "ab"]
     both = both.select("ref", F.least(*found).alias("x"))
     return both.where((F.col("x.delta") <= TOLERANCE_S) & ((F.col("x.close") <= 1) | (F.col("x.delta") <= CERTAIN_S))).select("ref", "x.trip_id")
