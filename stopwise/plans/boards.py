@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import boarding, calendar, realtime, router
 from ..sources.derived import Network, with_views
 from .journeys import START_SQL, TARGETS, _start
@@ -75,7 +76,8 @@ def raptor_modes(net: Network) -> DataFrame:
 def raptor_frequency(net: Network) -> DataFrame:
     """Trips with headway windows are boarded by their runs."""
     runs = day_runs(net, net.frequencies)
-    events = boarding.keyed(boarding.headway_runs(runs, net.frequencies.join(runs.select("trip_id"), "trip_id", "left_semi")))
+    windows = cut(net.frequencies.join(runs.select("trip_id"), "trip_id", "left_semi"))
+    events = cut(boarding.keyed(boarding.headway_runs(runs, windows)))
     return router.earliest(router.rounds(_start(net), events, None, 3))
 
 
